@@ -123,7 +123,7 @@ def unpack(df: DataFrame, key: str, fields: list[str], known: DataFrame, known_c
     # The number of buckets follows the number of rows, read from the plan's own count.
     buckets = max(1, -(-df.count() * len(fields) // bucket_rows))
     long = long.withColumn("bucket", F.pmod(F.xxhash64("record_key", "field"), F.lit(buckets)).cast("int"))
-    wanted = long.select("bucket", F.explode(candidate_values(F.col("text"), min_digits)).alias("value")).select("bucket", F.col("value").cast("bigint").alias("value")).distinct()
+    wanted = long.select(F.col("bucket").alias("at_bucket"), F.explode(candidate_values(F.col("text"), min_digits)).alias("value")).select("at_bucket", F.col("value").cast("bigint").alias("value")).distinct()
     values = known.where(F.col(known_column).isNotNull()).select(F.col(known_column).cast("bigint").alias("value")).distinct()
     local = wanted.join(values, "value", "left_semi")
 
@@ -132,7 +132,7 @@ def unpack(df: DataFrame, key: str, fields: list[str], known: DataFrame, known_c
         found = [(f, k, i, v) for f, k, t in zip(records["field"], records["record_key"], records["text"]) for i, v in enumerate(segment(t, automaton, min_digits))]
         return pd.DataFrame(found, columns=["field", "record_key", "position", "value"])
 
-    return long.groupBy("bucket").cogroup(local.groupBy("bucket")).applyInPandas(solve, "field string, record_key bigint, position int, value bigint")
+    return long.groupBy("bucket").cogroup(local.groupBy("at_bucket")).applyInPandas(solve, "field string, record_key bigint, position int, value bigint")
 
 
 def id_list(text: Column, min_digits: int = 6) -> Column:
