@@ -38,13 +38,12 @@ def _collapse(pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
     owned = edges
     while n["rows"]:
         both = owned.select(F.col("a").alias("x"), F.col("b").alias("p")).unionAll(owned.select(F.col("b"), F.col("a")))
-        picks = scratch.cut(both.groupBy("x").agg(F.min("p").alias("p")))
-        roots = _jump(picks, F.when(F.col("pp") == F.col("x"), F.least("x", "p")).otherwise(F.col("p")))
-        pointers, seen = scratch.cut_with(roots, open=F.sum((F.col("p") != F.col("x")).cast("int")))
-        scratch.drop(picks)
+        picks = both.groupBy("x").agg(F.min("p").alias("p"))
+        pointers = scratch.cut(_jump(picks, F.when(F.col("pp") == F.col("x"), F.least("x", "p")).otherwise(F.col("p"))))
         moved = 1
-        while moved:
-            nxt, seen = scratch.cut_with(_jump(pointers, F.col("pp"), keep=True), moved=F.sum((F.col("p") != F.col("was")).cast("int")))
+        while moved:  # two doublings a pass, until the second one moves nothing
+            twice = _jump(_jump(pointers, F.col("pp")), F.col("pp"), keep=True)
+            nxt, seen = scratch.cut_with(twice, moved=F.sum((F.col("p") != F.col("was")).cast("int")))
             scratch.drop(pointers)
             pointers, moved = nxt, seen["moved"]
         label = pointers.select("x", F.col("p").alias("label"))

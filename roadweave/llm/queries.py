@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.llm.components import components
+from roadweave.llm.mixing import mix
+from roadweave.llm.packing import container_report, pack
 from roadweave.llm.topn import latest_top_n
 from roadweave.sources.tables import table
 
@@ -18,4 +20,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top.selectExpr("PRO_COM as pro_com", "cast(rank as int) as rank", "node_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found)}
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), "doc_id", "text", CAPACITY)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return container_report(p8_containers(spark, d), CAPACITY)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"), "doc_id", "text", "source")[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"), "doc_id", "text", "source")[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p8_containers, p8_report, p9_mixture, p9_shares)}
