@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from roadweave.llm.components import components
 from roadweave.llm.mixing import mix
 from roadweave.llm.packing import container_report, pack
+from roadweave.llm.pii import find_personal, redact
 from roadweave.llm.topn import latest_top_n
 from roadweave.sources.tables import table
 
@@ -40,4 +41,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "source_targets"), "doc_id", "text", "source")[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p8_containers, p8_report, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p8_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted)}
