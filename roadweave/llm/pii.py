@@ -151,10 +151,10 @@ def _phone(text: str, start: int) -> tuple[int, int] | None:
 _MONTH = "[ABCDEHLMPRSTabcdehlmprst]"
 _ID = re.compile(
     rf"""(?<![A-Za-z0-9])(?:
-      (?P<tax>[A-Za-z]{{3}}[  -]?[A-Za-z]{{3}}[  -]?[0-9]{{2}}{_MONTH}[0-9]{{2}}[  -]?[A-Za-z][0-9]{{3}}[A-Za-z])
-    | (?P<licence>[Uu]1[  ]?[A-Za-z][  ]?[0-9]{{6}}[  ]?[A-Za-z])
-    | (?P<card>[A-Z]{{2}}[  -]{{0,2}}[0-9]{{5}}[  -]{{0,2}}[A-Z]{{2}}|[a-z]{{2}}[  -]?[0-9]{{5}}[  -]?[a-z]{{2}})
-    | (?P<old>[A-Z]{{2}}[  ]?[0-9]{{7}}[A-Z]?)
+      (?P<tax>[A-Za-z]{{3}}[ \u00a0-]?[A-Za-z]{{3}}[ \u00a0-]?[0-9]{{2}}{_MONTH}[0-9]{{2}}[ \u00a0-]?[A-Za-z][0-9]{{3}}[A-Za-z])
+    | (?P<licence>[Uu]1[ \u00a0]?[A-Za-z][ \u00a0]?[0-9]{{6}}[ \u00a0]?[A-Za-z])
+    | (?P<card>[A-Z]{{2}}[ \u00a0-]{{0,2}}[0-9]{{5}}[ \u00a0-]{{0,2}}[A-Z]{{2}}|[a-z]{{2}}[0-9]{{5}}[a-z]{{2}})
+    | (?P<old>[A-Z]{{2}}[ \u00a0]?[0-9]{{7}}[A-Z]?)
     | (?P<emso>[0-9]{{13}})
     )(?![A-Za-z0-9])""",
     re.VERBOSE,
