@@ -1 +1,802 @@
-QUERIES, ORACLE = {}, {}
+"""Queries over the mobility operators and, beside each, its SQL.
+
+Origin-destination relations come from the order tables (customer nation to supplier
+nation); the road network, its access points, stations and matrices from their own tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from roadweave.functions import codes, geo
+from roadweave.operators import access, closure, demand, network, od, paths, quality, rejects, routing, stations, turns
+from roadweave.operators.packed import id_list
+from roadweave.runtime import Scratch
+from roadweave.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Relations shared by both sides
+
+
+def od_flows(s: SparkSession, d: str) -> DataFrame:
+    t = lambda n: table(s, d, n)
+    j = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.groupBy(F.col("c_nationkey").alias("o"), F.col("s_nationkey").alias("d")).agg(F.count(F.lit(1)).alias("flow"))
+
+
+_OD = "od as (select c_nationkey as o, s_nationkey as d, count(*) as flow from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2)"
+
+
+def od_marked(s: SparkSession, d: str) -> DataFrame:
+    inside = table(s, d, "nation").where("n_regionkey = 1").select("n_nationkey")
+    return od.membership(od_flows(s, d), inside, "n_nationkey")
+
+
+_MARKED = _OD + ", m as (select *, o in (select n_nationkey from nation where n_regionkey = 1) as o_in, d in (select n_nationkey from nation where n_regionkey = 1) as d_in, o = d as same from od)"
+
+
+def times(s: SparkSession, d: str) -> DataFrame:
+    """Travel minutes and kilometres between the 25 nations, by formula; zero to itself."""
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("o")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    own = F.col("o") == F.col("d")
+    minutes, km = 5 + (F.col("o") * 7 + F.col("d") * 13) % 60, 1 + (F.col("o") * 11 + F.col("d") * 5) % 40
+    return n.select("o", "d", F.when(own, 0).otherwise(minutes).alias("minutes"), F.when(own, 0).otherwise(km).alias("km"))
+
+
+_TIMES = "times as (select a.n_nationkey as o, b.n_nationkey as d, case when a.n_nationkey = b.n_nationkey then 0 else 5 + (a.n_nationkey * 7 + b.n_nationkey * 13) % 60 end as minutes, case when a.n_nationkey = b.n_nationkey then 0 else 1 + (a.n_nationkey * 11 + b.n_nationkey * 5) % 40 end as km from nation a cross join nation b)"
+
+
+def zones(s: SparkSession, d: str) -> DataFrame:
+    """Cars, tourism and retail per nation."""
+    c = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("z")).agg(F.count(F.lit(1)).alias("cars"), F.sum(F.abs("c_acctbal")).alias("tourism"))
+    r = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("z")).agg(F.sum(F.abs("s_acctbal")).alias("retail"))
+    return c.join(r, "z", "left").na.fill(0.0, ["retail"])
+
+
+_ZONES = "zones as (select c.*, coalesce(r.retail, 0) as retail from (select c_nationkey as z, count(*) as cars, sum(abs(c_acctbal)) as tourism from customer group by 1) c left join (select s_nationkey as z, sum(abs(s_acctbal)) as retail from supplier group by 1) r using (z)), shares as (select *, cars / sum(cars) over () as p_share, 0.5 * tourism / sum(tourism) over () + 0.5 * retail / sum(retail) over () as a_share from zones)"
+
+
+def gravity_pairs(s: SparkSession, d: str) -> DataFrame:
+    sh = od.territorial_shares(zones(s, d))
+    t = times(s, d).where("o <> d").select("o", "d", F.col("minutes").cast("double").alias("c"))
+    return t.join(sh.select(F.col("z").alias("o"), F.col("p_share").alias("p")), "o").join(sh.select(F.col("z").alias("d"), F.col("a_share").alias("a")), "d")
+
+
+_PAIRS = _TIMES + ", " + _ZONES + ", pairs as (select o, d, cast(minutes as double) as c, x.p_share as p, y.a_share as a from times join shares x on x.z = o join shares y on y.z = d where o <> d)"
+
+
+def exposures(s: SparkSession, d: str) -> DataFrame:
+    """Three sections with the pairs they see."""
+    t = times(s, d).where("o <> d").withColumn("section", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return t.where("(o * 3 + d * 5 + section) % 7 = 0").select("section", "o", "d", (0.4 + 0.1 * F.col("section")).alias("share"))
+
+
+_EXPOSED = "exposed as (select s.section, o, d, 0.4 + 0.1 * s.section as share from times cross join (select unnest([0, 1, 2]) as section) s where o <> d and (o * 3 + d * 5 + s.section) % 7 = 0)"
+
+
+def observed(s: SparkSession, d: str) -> DataFrame:
+    """Counts and known base flows of the sections: commuting over the exposed pairs, and a multiple of it."""
+    c = od.symmetric_flows(od_flows(s, d))
+    base = exposures(s, d).join(c.select("o", "d", "c"), ["o", "d"]).groupBy("section").agg(F.round(F.sum(F.col("share") * F.col("c")), 6).alias("base"))
+    return base.select("section", (F.col("base") * (2.0 + 0.3 * F.col("section"))).alias("y"), "base")
+
+
+_SYM = "sym as (select t.o, t.d, 0.42855 * coalesce(x.flow, 0) + 0.42855 * coalesce(y.flow, 0) as c from times t left join od x on x.o = t.o and x.d = t.d left join od y on y.o = t.d and y.d = t.o where t.o <> t.d)"
+_OBSERVED = _SYM + ", base as (select section, round(sum(share * c), 6) as base from exposed join sym using (o, d) group by 1), observed as (select section, base * (2.0 + 0.3 * section) as y, base from base)"
+_MODEL = f"with {_OD}, {_PAIRS}, {_EXPOSED}, {_OBSERVED}"
+
+
+def segments1(s: SparkSession, d: str) -> DataFrame:
+    """Segments with one row per uid."""
+    return table(s, d, "segments").groupBy("segment_uid").agg(*[F.min(c).alias(n) for c, n in (("way_id", "way_id"), ("seq", "seq"), ("osm_u", "u"), ("osm_v", "v"), ("length_m", "length_m"), ("highway", "highway"), ("direction_code", "direction_code"), ("ref", "ref"))])
+
+
+_SEG = "seg as (select segment_uid, min(way_id) as way_id, min(seq) as seq, min(osm_u) as u, min(osm_v) as v, min(length_m) as length_m, min(highway) as highway, min(direction_code) as direction_code, min(ref) as ref from segments group by 1)"
+
+
+def edges1(s: SparkSession, d: str) -> DataFrame:
+    """Directed edges with one row per edge."""
+    return table(s, d, "directed_edges").groupBy("edge_id").agg(*[F.min(c).alias(c) for c in ("segment_uid", "way_id", "seq", "u", "v", "length_m", "time_s", "way_direction", "core_eligible")])
+
+
+_EDGE = "edge as (select edge_id, min(segment_uid) as segment_uid, min(way_id) as way_id, min(seq) as seq, min(u) as u, min(v) as v, min(length_m) as length_m, min(time_s) as time_s, min(way_direction) as way_direction, min(core_eligible) as core_eligible from directed_edges group by 1)"
+
+
+def nodes1(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "nodes").groupBy("node_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+
+
+_NODE = "node as (select node_id, max(x) as x, max(y) as y from nodes group by 1)"
+
+
+def sequences(s: SparkSession, d: str) -> DataFrame:
+    """Turn sequences, one row per id: relation_id, rule_kind, seq."""
+    t = table(s, d, "restriction_sequences").groupBy("sequence_id").agg(F.max("rule_kind").alias("rule_kind"), F.max("edge_ids_json").alias("j"))
+    return t.select(F.col("sequence_id").alias("relation_id"), "rule_kind", id_list(F.coalesce("j", F.lit(""))).cast("array<bigint>").alias("seq"))
+
+
+_SEQ = "sequ as (select sequence_id as relation_id, max(rule_kind) as rule_kind, cast(list_filter(regexp_extract_all(regexp_replace(coalesce(max(edge_ids_json), ''), '\\b(\\d{1,3})[,.''](\\d{3})\\b', '\\1\\2', 'g'), '\\d+'), lambda x: length(x) >= 6) as bigint[]) as seq from restriction_sequences group by 1)"
+
+
+def candidates(s: SparkSession, d: str) -> DataFrame:
+    """Access candidates, the latest measure of each node."""
+    t = table(s, d, "access_candidates")
+    r = t.groupBy("PRO_COM", "node_id").agg(F.max_by(F.struct("distance_m", "x", "y"), "loaded_at").alias("r"))
+    return r.select("PRO_COM", "node_id", "r.*")
+
+
+_CAND = "cand as (select PRO_COM, node_id, distance_m, x, y from access_candidates qualify row_number() over (partition by PRO_COM, node_id order by loaded_at desc) = 1), ranked as (select *, cast(row_number() over (partition by PRO_COM order by distance_m, node_id) as integer) as rank from cand where distance_m is not null and not isnan(distance_m))"
+
+
+# Origin-destination tables
+
+
+@query(f"with {_MARKED} select case when same then 'intra' else 'inter' end as kind, cast(sum(flow) as bigint) as flow, count(*) as relations, round(100.0 * sum(flow) / sum(sum(flow)) over (), 2) as share_pct from m where o_in and d_in group by same")
+def od_intra_inter_share(s, d):
+    return od.intra_inter_share(od_marked(s, d))
+
+
+@query(f"with {_MARKED} select case when o_in then 'out' else 'in' end as direction, cast(sum(flow) as bigint) as flow, count(*) as relations, count(distinct o) as origins from m where o_in <> d_in group by o_in")
+def od_extra_direction(s, d):
+    return od.extra_direction(od_marked(s, d))
+
+
+@query(f"with {_MARKED} select cast(row_number() over (order by flow desc, o, d) as integer) as rank, o, d, flow from m where not same order by flow desc, o, d limit 15")
+def od_top15_corridors(s, d):
+    return od.top_corridors(od_marked(s, d))
+
+
+@query(f"with {_OD}, {_TIMES} select od.o, od.d, flow, a.minutes as minutes_there, a.km as km_there, b.minutes as minutes_back, b.o is not null as matched from od left join times a on a.o = od.o and a.d = od.d left join times b on b.o = od.d and b.d = od.o")
+def od_times_join_both_directions(s, d):
+    return od.both_directions(od_flows(s, d), times(s, d))
+
+
+@query(f"with {_OD}, {_TIMES}, {_SYM} select o, d, round(c, 6) as c from sym")
+def commuting_symmetric(s, d):
+    return od.symmetric_flows(od_flows(s, d)).select("o", "d", F.round("c", 6).alias("c"))
+
+
+@query(f"with {_ZONES} select z, round(p_share, 9) as p_share, round(a_share, 9) as a_share, cast(row_number() over (order by p_share desc, z) as integer) as p_rank, cast(row_number() over (order by a_share desc, z) as integer) as a_rank from shares")
+def territorial_shares(s, d):
+    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "z"))
+    return od.territorial_shares(zones(s, d)).select("z", F.round("p_share", 9).alias("p_share"), F.round("a_share", 9).alias("a_share"), rank("p_share").alias("p_rank"), rank("a_share").alias("a_rank"))
+
+
+def matrix(s: SparkSession, d: str) -> DataFrame:
+    return rejects.split_rows(rejects.parse_rows(table(s, d, "travel_matrix_raw").where("line_no > 1"), "raw_line", rejects.TRAVEL_MATRIX))[0]
+
+
+def _matrix_sql() -> str:
+    from roadweave.plans.problems import _LINES, _TYPED
+
+    return _LINES + f", matrix as (select line_id, source_file, {_TYPED} from judged where reason is null) "
+
+
+@query(_matrix_sql() + "select source_file, count(*) as n, count(distinct OR_PROCOM) as origins, count(distinct DEST_PROCOM) as destinations, count(distinct OR_PROCOM || '>' || DEST_PROCOM) as pairs, count(distinct OR_PROCOM || '>' || DEST_PROCOM) = count(distinct OR_PROCOM) * count(distinct DEST_PROCOM) as complete from matrix group by 1")
+def tm_completeness(s, d):
+    return od.completeness(matrix(s, d), ["source_file"], "OR_PROCOM", "DEST_PROCOM")
+
+
+_COUNTS = ", ".join(f"count(*) filter ({c} is null) as {c}_null, count(*) filter ({c} < 0) as {c}_negative, count(*) filter ({c} = 0) as {c}_zero, count(*) filter (isnan({c}) or isinf({c})) as {c}_odd" for c in ("TEP_TOT", "KM_TOT", "TTP_TOT"))
+
+
+@query(_matrix_sql() + f"select {_COUNTS} from matrix")
+def tm_null_zero_counts(s, d):
+    return od.value_counts(matrix(s, d), ["TEP_TOT", "KM_TOT", "TTP_TOT"])
+
+
+@query(_matrix_sql() + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from matrix" for a, b in (("TEP_TOT", "KM_TOT"), ("TEP_TOT", "TTP_TOT"), ("KM_TOT", "TTP_TOT"))))
+def tm_correlation(s, d):
+    return od.correlations(matrix(s, d), ["TEP_TOT", "KM_TOT", "TTP_TOT"])
+
+
+_ASYM = _matrix_sql() + ", m as (select lpad(OR_PROCOM, 6, '0') as o, lpad(DEST_PROCOM, 6, '0') as d, min(TEP_TOT) as v from matrix group by 1, 2), p as (select a.o, a.d, abs(a.v - b.v) as diff, case when least(a.v, b.v) > 0 then greatest(a.v, b.v) / least(a.v, b.v) end as ratio from m a join m b on a.o = b.d and a.d = b.o where a.o < a.d) "
+
+
+def asymmetric_pairs(s, d):
+    m = matrix(s, d).select(codes.normal_code("OR_PROCOM").alias("o"), codes.normal_code("DEST_PROCOM").alias("d"), "TEP_TOT")
+    return od.asymmetry(m, "TEP_TOT", "o", "d")
+
+
+def _stats_sql(c: str) -> str:
+    return f"count({c}) as n, round(quantile_cont({c}, 0.5), 6) as median, round(quantile_cont({c}, 0.95), 6) as p95, round(max({c}), 6) as greatest, round(avg({c}), 6) as mean, round(avg(case when {c} = 0 then 1 when {c} is not null then 0 end) * 100, 6) as zero_pct"
+
+
+@query(_ASYM + f"select {_stats_sql('diff')} from p")
+def tm_asymmetry_stats(s, d):
+    return od.distribution(asymmetric_pairs(s, d), "diff")
+
+
+@query(_ASYM + "select o, d, round(ratio, 6) as ratio from p where ratio is not null order by ratio desc, o, d limit 100")
+def asymmetry_ratio(s, d):
+    t = asymmetric_pairs(s, d).where("ratio is not null").orderBy(F.desc("ratio"), "o", "d").limit(100)
+    return t.select("o", "d", F.round("ratio", 6).alias("ratio"))
+
+
+@query(_matrix_sql() + " union all ".join(f"(select '{c}' as indicator, line_id, cast({c} as double) as value from matrix order by {c} desc, line_id limit 1)" for c in ("TEP_TOT", "KM_TOT", "TTP_TOT")))
+def tm_indicator_maxima(s, d):
+    return od.extreme_rows(matrix(s, d), ["TEP_TOT", "KM_TOT", "TTP_TOT"], ["line_id"])
+
+
+@query(f"with {_OD}, {_TIMES} select case when b.o is null then 'left_only' when a.o is null then 'right_only' else 'both' end as side, count(*) as n from (select distinct o, d from od where o <> d) a full join (select distinct o, d from times where minutes > 20) b on a.o = b.o and a.d = b.d group by 1")
+def key_set_compare(s, d):
+    return od.compare_keys(od_flows(s, d).where("o <> d"), times(s, d).where("minutes > 20"), ["o", "d"])
+
+
+# Codes
+
+
+@query("select PRO_COM, case when length(cast(PRO_COM as varchar)) >= 6 then cast(PRO_COM as varchar) else lpad(cast(PRO_COM as varchar), 6, '0') end as code, count(*) as n from access_candidates group by all")
+def code_normalise(s, d):
+    return table(s, d, "access_candidates").groupBy("PRO_COM", codes.normal_code("PRO_COM").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select edge_id, try_cast(nullif(regexp_extract('way/' || cast(way_id as varchar), '^(?:[a-z]+/|[nwr])?([0-9]+)$', 1), '') as bigint) as parsed, try_cast(nullif(regexp_extract(trim(segment_uid), '^(?:[a-z]+/|[nwr])?([0-9]+)$', 1), '') as bigint) as uid_as_id from directed_edges")
+def osm_id_parse(s, d):
+    return table(s, d, "directed_edges").select("edge_id", codes.osm_id(F.concat(F.lit("way/"), F.col("way_id").cast("string"))).alias("parsed"), codes.osm_id("segment_uid").alias("uid_as_id"))
+
+
+@query("select load_row, array_to_string(list_filter(list_transform(string_split(coalesce(PRIMARY_EDGE_IDS, ''), '|'), lambda x: trim(x)), lambda x: x <> ''), '|') as items from calibration_mapping")
+def pipe_list_roundtrip(s, d):
+    return table(s, d, "calibration_mapping").select("load_row", codes.join_list(codes.split_list(F.coalesce("PRIMARY_EDGE_IDS", F.lit("")))).alias("items"))
+
+
+@query("select segment_uid, ref, list_contains(list_filter(list_transform(regexp_split_to_array(coalesce(ref, ''), '[;,/|]+'), lambda t: regexp_replace(upper(t), '[^A-Z0-9]', '', 'g')), lambda t: t <> ''), 'SR150') as matches from segments")
+def ref_token_match(s, d):
+    return table(s, d, "segments").select("segment_uid", "ref", codes.ref_matches(F.lit("SR150"), "ref").alias("matches"))
+
+
+@query("select COMUNE, trim(regexp_replace(lower(strip_accents(COMUNE)), '\\s+', ' ', 'g')) as key, count(*) as n from access_candidates group by all")
+def name_fold(s, d):
+    return table(s, d, "access_candidates").groupBy("COMUNE", codes.fold_name("COMUNE").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select k as tag, count(*) as n, count(distinct v) as distinct_values from (select k, json_extract_string(props, '$.\"' || k || '\"') as v from (select props, unnest(json_keys(props)) as k from events)) group by 1")
+def tag_census(s, d):
+    return quality.tag_census(table(s, d, "events"), "props")
+
+
+@query("select direction_status, direction_code, case direction_code when '1' then 1 when '-1' then -1 when '0' then 0 end as parsed, count(*) as n from segments group by all")
+def direction_code(s, d):
+    t = table(s, d, "segments")
+    oneway = F.when(F.col("direction_code") == "1", "yes").when(F.col("direction_code") == "-1", "-1").when(F.col("direction_code") == "0", "no").otherwise("?")
+    return t.groupBy("direction_status", "direction_code", codes.direction_code(oneway, F.lit(None).cast("string"), F.col("highway")).alias("parsed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SPEED = "case highway " + " ".join(f"when '{k}' then {float(v)}" for k, v in codes.CLASS_SPEED_KMH.items()) + " end"
+
+
+@query(f"select edge_id, highway, case when speed_kmh is null then {_SPEED} when {_SPEED} is null then speed_kmh else least(speed_kmh, {_SPEED}) end as model_kmh, round(length_m * 3.6 / (case when speed_kmh is null then {_SPEED} when {_SPEED} is null then speed_kmh else least(speed_kmh, {_SPEED}) end), 6) as base_s from directed_edges")
+def speed_rule(s, d):
+    t = table(s, d, "directed_edges").withColumn("model_kmh", codes.model_speed(F.col("speed_kmh"), F.col("highway")))
+    return t.select("edge_id", "highway", "model_kmh", F.round(codes.base_time_s(F.col("length_m"), F.col("model_kmh")), 6).alias("base_s"))
+
+
+# Network
+
+
+@query(f"with {_NODE}, w as (select way_id, seq, max(node_id) as node_id from way_nodes group by 1, 2), p as (select way_id, seq, node_id as u, lead(node_id) over (partition by way_id order by seq) as v from w) select cast(way_id as varchar) || ':' || cast(seq as varchar) as segment_uid, u, v, round(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)), 6) as length_m, coalesce(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) > 0.01, false) as kept from p left join node a on a.node_id = u left join node b on b.node_id = v where u is not null and v is not null")
+def segments_lead(s, d):
+    w = table(s, d, "way_nodes").groupBy("way_id", "seq").agg(F.max("node_id").alias("node_id"))
+    return network.segments(w, nodes1(s, d)).select("segment_uid", "u", "v", F.round("length_m", 6).alias("length_m"), "kept")
+
+
+@query(f"""with {_SEG}, x as (select *, {_SPEED} as speed_kmh from seg where length_m > 0)
+  select segment_uid || ':F' as edge_uid, u, v, round(length_m * 3.6 / speed_kmh, 6) as time_s, 1 as core_eligible from x where direction_code in ('0', '1')
+  union all select segment_uid || ':B', v, u, round(length_m * 3.6 / speed_kmh, 6), 1 from x where direction_code in ('0', '-1')""")
+def directed_edges_v02(s, d):
+    f, b = network.codes_of_direction()
+    x = segments1(s, d).where("length_m > 0").withColumns({"forward_code": f, "backward_code": b, "speed_kmh": codes.model_speed(F.lit(None).cast("double"), F.col("highway"))})
+    return network.directed_edges(x).select("edge_uid", "u", "v", F.round("time_s", 6).alias("time_s"), "core_eligible")
+
+
+_DEG = f"with {_EDGE}, e as (select distinct u, v from edge where u is not null and v is not null), l as (select n, other, max(o) as o, max(i) as i from (select u as n, v as other, 1 as o, 0 as i from e union all select v, u, 0, 1 from e) group by 1, 2), deg as (select n as node_id, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree, cast(sum(case when n <> other then 1 else 0 end) as bigint) as undirected_degree from l group by 1)"
+
+
+@query(_DEG + " select * from deg")
+def degree_profile(s, d):
+    return network.degrees(edges1(s, d))
+
+
+@query(_DEG + " select case when in_degree = 0 then 'source_only' when out_degree = 0 then 'sink_only' when undirected_degree = 1 then 'dangling' else 'other' end as kind, count(*) as n from deg group by 1")
+def dangling_nodes(s, d):
+    return network.dead_ends(network.degrees(edges1(s, d)))
+
+
+@query(f"with {_EDGE} select u, v, count(distinct edge_id) as edges, min(length_m) as shortest_m from edge where u is not null and v is not null group by 1, 2 having count(distinct edge_id) > 1")
+def parallel_edges(s, d):
+    return network.parallel_edges(edges1(s, d))
+
+
+_STRUCT = _DEG + ", ways as (select n as node_id, count(distinct way_id) as ways from (select u as n, way_id from edge union select v, way_id from edge) where n is not null group by 1), structural as (select deg.node_id, undirected_degree, ways from deg join ways using (node_id) where undirected_degree <> 2 or ways >= 2)"
+
+
+@query(_STRUCT + " select * from structural")
+def structural_nodes(s, d):
+    return network.structural_nodes(edges1(s, d))
+
+
+_TOPO = _STRUCT + f""", {_SEG}, c as (select seg.*, st.node_id as cut from seg left join structural st on st.node_id = seg.v),
+  b as (select *, coalesce(seq <> lag(seq) over w + 1 or u <> lag(v) over w or lag(cut) over w is not null, true) as b from c window w as (partition by way_id order by seq)),
+  r as (select *, sum(cast(b as integer)) over (partition by way_id order by seq rows unbounded preceding) as run from b),
+  topo as (select way_id, min(seq) as first_seq, max(seq) as last_seq, arg_min(u, seq) as start_node, arg_max(v, seq) as end_node, count(*) as n, round(sum(length_m), 6) as length_m, cast(way_id as varchar) || ':' || cast(min(seq) as varchar) || '-' || cast(max(seq) as varchar) as topo_id from r group by way_id, run)"""
+
+
+def _way_segments(s, d):
+    return segments1(s, d).where("way_id is not null and seq is not null")
+
+
+@query(_TOPO.replace("from seg left join structural", "from (select * from seg where way_id is not null and seq is not null) seg left join structural") + " select way_id, first_seq, last_seq, start_node, end_node, n, length_m, topo_id from topo")
+def topo_segments(s, d):
+    return network.topo_segments(_way_segments(s, d), network.structural_nodes(edges1(s, d)))
+
+
+@query(f"""with recursive {_EDGE}, l as (select distinct u as a, v as b from edge where u is not null and v is not null union select v, u from edge where u is not null and v is not null),
+  n as (select distinct unnest([u, v]) as id from edge), cc(id, comp) using key (id) as (select id, id from n where id is not null union (select x.id, min(y.comp) from recurring.cc as x join l on l.a = x.id join cc as y on y.id = l.b where y.comp < x.comp group by x.id))
+  select id as node_id, comp as component from cc""")
+def wcc_labels(s, d):
+    return closure.weak_components(edges1(s, d).select("u", "v"))
+
+
+@query()
+def giant_component(s, d):
+    return closure.component_sizes(closure.weak_components(edges1(s, d).select("u", "v")))
+
+
+def _anchor(s, d):
+    return edges1(s, d).where("u is not null and v is not null").agg(F.min("u").alias("node_id"))
+
+
+@query(f"""with recursive {_EDGE}, l as (select distinct u, v from edge where u is not null and v is not null), f(n) as (select min(u) from l union select l.v from f join l on l.u = f.n), b(n) as (select min(u) from l union select l.u from b join l on l.v = b.n)
+  select n as node_id from f intersect select n from b""")
+def reach_forward_backward(s, d):
+    return closure.mutual_set(edges1(s, d), _anchor(s, d)).select("node_id")
+
+
+# Turn restrictions
+
+
+@query("select distinct sequence_id, restriction_value, case when restriction_value like 'no\\_%' escape '\\' then 'NO_SEQUENCE' when restriction_value like 'only\\_%' escape '\\' then 'ONLY_SEQUENCE' end as kind from restriction_sequences")
+def restriction_status(s, d):
+    return table(s, d, "restriction_sequences").select("sequence_id", "restriction_value", turns.rule_kind().alias("kind")).distinct()
+
+
+def _relations(s, d):
+    e = table(s, d, "restriction_sequence_edges").where("position in (0, 1)").groupBy("sequence_id", "position").agg(F.max(F.struct("way_id", "v")).alias("r"))
+    a = e.where("position = 0").select(F.col("sequence_id").alias("relation_id"), F.col("r.way_id").alias("from_way"), F.col("r.v").alias("via_node"))
+    b = e.where("position = 1").select(F.col("sequence_id").alias("relation_id"), F.col("r.way_id").alias("to_way"))
+    return a.join(b, "relation_id")
+
+
+@query(f"""with {_EDGE}, e as (select sequence_id, position, max(row(way_id, v)) as r from (select sequence_id, position, way_id, v from restriction_sequence_edges where position in (0, 1)) group by 1, 2),
+  rel as (select a.sequence_id as relation_id, a.r[1] as from_way, a.r[2] as via_node, b.r[1] as to_way from e a join e b on a.sequence_id = b.sequence_id and a.position = 0 and b.position = 1)
+  select distinct relation_id, array_to_string([x.edge_id, y.edge_id], '|') as seq from rel join edge x on x.way_id = from_way and x.v = via_node join edge y on y.way_id = to_way and y.u = via_node""")
+def via_node_sequences(s, d):
+    return turns.via_node_sequences(_relations(s, d), edges1(s, d)).select("relation_id", F.array_join(F.col("seq").cast("array<string>"), "|").alias("seq"))
+
+
+@query(f"with {_SEQ} select distinct array_to_string(seq[1:k], '|') as prefix, cast(k as integer) as prefix_len, seq[k] as last_edge from (select seq, unnest(range(1, len(seq))) as k from sequ where len(seq) >= 2)")
+def prefix_automaton(s, d):
+    p = turns.prefixes(sequences(s, d))
+    return p.select(F.array_join(F.col("prefix").cast("array<string>"), "|").alias("prefix"), "prefix_len", "last_edge")
+
+
+@query(f"""with {_SEQ} select distinct 'no' as kind, array_to_string(seq[1:len(seq) - 1], '|') as prefix, seq[len(seq)] as edge_id from sequ where rule_kind = 'NO_SEQUENCE' and len(seq) >= 2
+  union all select distinct 'only', array_to_string(seq[1:k], '|'), seq[k + 1] from (select seq, unnest(range(1, len(seq))) as k from sequ where rule_kind = 'ONLY_SEQUENCE' and len(seq) >= 2)""")
+def turn_rules(s, d):
+    q = sequences(s, d)
+    text = F.array_join(F.col("prefix").cast("array<string>"), "|").alias("prefix")
+    no = turns.no_rules(q).select(F.lit("no").alias("kind"), text, F.col("forbidden_edge_id").alias("edge_id"))
+    return no.unionAll(turns.only_rules(q).select(F.lit("only"), text, F.col("allowed_edge_id")).distinct())
+
+
+@query()
+def state_transitions(s, d):
+    t = turns.state_transitions(sequences(s, d), edges1(s, d).where("core_eligible = 1 and u is not null and v is not null"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
+    return t.select("from_node", text("from_prefix").alias("from_prefix"), "edge_id", "to_node", text("to_prefix").alias("to_prefix"))
+
+
+# Access points and paths
+
+
+@query(f"with {_CAND} select PRO_COM, rank, node_id, distance_m from ranked where rank <= 30")
+def access_candidates_topk(s, d):
+    return access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 30).select("PRO_COM", "rank", "node_id", "distance_m")
+
+
+_GAP = "sqrt(power({0}.x - {1}.x, 2) + power({0}.y - {1}.y, 2))"
+
+
+@query(f"with {_CAND} select a.PRO_COM, round(min({_GAP.format('a', 'b')}), 6) as least_separation, count(*) as pairs from ranked a join ranked b on a.PRO_COM = b.PRO_COM and a.rank < b.rank where a.rank <= 5 and b.rank <= 5 group by 1")
+def access_pair_metrics(s, d):
+    return access.pair_metrics(access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 5), "PRO_COM")
+
+
+_AB, _AC, _BC = (_GAP.format(*p) for p in (("a", "b"), ("a", "c"), ("b", "c")))
+
+
+@query(f"""with {_CAND}, r as (select * from ranked where rank <= 12), t as (select a.PRO_COM, a.node_id as node_1, b.node_id as node_2, c.node_id as node_3, c.rank as depth, round(least({_AB}, {_AC}, {_BC}), 6) as separation,
+  row_number() over (partition by a.PRO_COM order by c.rank, greatest(b.distance_m, c.distance_m), b.distance_m + c.distance_m, -least({_AB}, {_AC}, {_BC}), least(b.node_id, c.node_id), greatest(b.node_id, c.node_id)) as n
+  from r a join r b on a.PRO_COM = b.PRO_COM and a.rank = 1 and b.rank > 1 join r c on c.PRO_COM = a.PRO_COM and c.rank > b.rank where {_AB} >= 100 - 1e-9 and {_AC} >= 100 - 1e-9 and {_BC} >= 100 - 1e-9)
+  select PRO_COM, node_1, node_2, node_3, depth, separation from t where n = 1""")
+def access_triple_adaptive(s, d):
+    r = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 12)
+    return access.diverse_triples(r, "PRO_COM", "node_id", "distance_m").drop("distances")
+
+
+_LAMBDA = f"with {_CAND}, r as (select * from ranked where rank <= 3), w as (select PRO_COM, node_id, rank, distance_m, exp(-(distance_m - min(distance_m) over (partition by PRO_COM)) / 300.0) as raw from r), lam as (select PRO_COM, node_id, rank, raw / sum(raw) over (partition by PRO_COM) as lambda from w)"
+
+
+def weighted_access(s, d):
+    return access.decay_weights(access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 3), "PRO_COM", "distance_m")
+
+
+@query(_LAMBDA + " select PRO_COM, node_id, rank, round(lambda, 9) as lambda from lam")
+def access_lambda(s, d):
+    return weighted_access(s, d).select("PRO_COM", "node_id", "rank", F.round("lambda", 9).alias("lambda"))
+
+
+@query(_LAMBDA + " select PRO_COM, round(1 / sum(lambda * lambda), 6) as effective_n, abs(sum(lambda) - 1) <= 1e-9 as sums_to_one from lam group by 1")
+def access_effective_number(s, d):
+    return access.effective_number(weighted_access(s, d), "PRO_COM")
+
+
+@query(f"""with {_CAND}, r as (select *, unnest([50.0, 100.0, 200.0, 300.0, 500.0]) as tau from ranked where rank <= 3), w as (select PRO_COM, tau, exp(-(distance_m - min(distance_m) over (partition by PRO_COM, tau)) / tau) as raw from r),
+  l as (select PRO_COM, tau, raw / sum(raw) over (partition by PRO_COM, tau) as lambda from w), p as (select PRO_COM, tau, 1 / sum(lambda * lambda) as eff, max(lambda) as top from l group by 1, 2)
+  select cast(tau as double) as tau, round(avg(eff), 6) as mean_effective_n, count(*) filter (top > 0.5) as dominant from p group by 1""")
+def lambda_tau_sweep(s, d):
+    r = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 3)
+    return access.tau_sweep(r, "PRO_COM", "distance_m", [50, 100, 200, 300, 500])
+
+
+def _nation_access(s, d):
+    """Three parts per nation as access points, weighted by a formula."""
+    p = table(s, d, "part").select((F.col("p_partkey") % 25).alias("zone"), F.col("p_partkey").alias("node"), (F.col("p_partkey") % 97).cast("double").alias("distance"))
+    r = access.ranked_candidates(p, "zone", "node", "distance", 3)
+    return access.decay_weights(r, "zone", "distance")
+
+
+_NACC = "acc as (select zone, node, distance, cast(row_number() over (partition by zone order by distance, node) as integer) as rank from (select p_partkey % 25 as zone, p_partkey as node, cast(p_partkey % 97 as double) as distance from part) qualify rank <= 3), accw as (select zone, node, raw / sum(raw) over (partition by zone) as lambda from (select *, exp(-(distance - min(distance) over (partition by zone)) / 300.0) as raw from acc))"
+_APATHS = f"with {_NACC}, path as (select x.zone as o, y.zone as d, x.node as source, y.node as target, x.lambda * y.lambda as weight, cast(1 + (x.node * 31 + y.node * 17) % 97 as double) as cost from accw x join accw y on x.zone <> y.zone)"
+
+
+def access_paths(s, d):
+    return paths.access_pairs(_nation_access(s, d), "zone").withColumn("cost", (1 + (F.col("source") * 31 + F.col("target") * 17) % 97).cast("double"))
+
+
+@query(_APATHS + " select o, d, count(*) as n, round(sum(weight), 6) as weight, round(sum(weight * cost), 6) as weighted, min(cost) as least, max(cost) as greatest, max(cost) - min(cost) as spread, arg_min(source, row(cost, source, target)) as best_source, arg_min(target, row(cost, source, target)) as best_target from path group by 1, 2")
+def od_product_lambda(s, d):
+    return paths.weighted_summary(access_paths(s, d))
+
+
+_SLOTS = f"with {_EDGE}, slot as (select way_id, seq, edge_id, u, v, length_m from edge where way_direction = 'FORWARD' and way_id is not null)"
+
+
+def _slots(s, d):
+    return edges1(s, d).where("way_direction = 'FORWARD' and way_id is not null").select("way_id", "seq", "edge_id", "u", "v", "length_m")
+
+
+@query(_SLOTS + " select way_id, seq, edge_id, round(sum(length_m) over (partition by way_id order by seq, edge_id rows unbounded preceding), 6) as so_far from slot")
+def path_prefix_cost(s, d):
+    t = paths.prefix_cost(_slots(s, d).withColumn("pos", F.struct("seq", "edge_id")), ["way_id"], "pos", "length_m")
+    return t.select("way_id", "seq", "edge_id", F.round("so_far", 6).alias("so_far"))
+
+
+@query(_SLOTS + ", t as (select lag(v) over w is not null and lag(v) over w <> u as b, lag(1) over w is null as f from slot window w as (partition by way_id order by seq, edge_id)) select cast(count(*) filter (b) as bigint) as breaks, cast(count(*) filter (f) as bigint) as paths, count(*) as elements from t")
+def path_continuity(s, d):
+    t = _slots(s, d).withColumn("pos", F.struct("seq", "edge_id"))
+    return paths.continuity(t, ["way_id"], "pos", "u", "v")
+
+
+def _ways_as_paths(s, d):
+    """Ways as paths between two nations, with a weight."""
+    e = edges1(s, d).where("way_id is not null")
+    w = e.groupBy("way_id").agg(F.count(F.lit(1)).alias("n")).select("way_id", (F.col("way_id") % 25).cast("int").alias("o"), F.floor(F.col("way_id") / 25 % 25).cast("int").alias("d"), (1.0 / (1 + F.col("way_id") % 9)).alias("weight"))
+    return e.select("way_id", "edge_id"), w
+
+
+_WAYS = f"with {_EDGE}, wp as (select distinct way_id, cast(way_id % 25 as integer) as o, cast(floor(way_id / 25 % 25) as integer) as d, 1.0 / (1 + way_id % 9) as weight from edge where way_id is not null), sect as (select edge_id, edge_id % 97 as section from edge where edge_id % 5 = 0), hit as (select distinct way_id, section from edge join sect using (edge_id) where way_id is not null), exps as (select section, o, d, count(*) as paths, least(sum(weight), 1.0) as p from hit join wp using (way_id) group by 1, 2, 3)"
+
+
+def _sections(s, d):
+    return edges1(s, d).where("edge_id % 5 = 0").select("edge_id", (F.col("edge_id") % 97).alias("section"))
+
+
+def way_exposures(s, d):
+    slots, weights = _ways_as_paths(s, d)
+    return paths.exposure(paths.section_hits(slots, _sections(s, d), ["way_id"], "section"), weights, ["way_id"], "section")
+
+
+@query(_WAYS + " select section, o, d, paths, round(p, 6) as p from exps")
+def section_exposure(s, d):
+    return way_exposures(s, d).withColumn("p", F.round("p", 6))
+
+
+@query(_WAYS + f", {_OD} select section, round(sum(p * flow), 4) as flow from exps join od using (o, d) group by 1")
+def link_flow(s, d):
+    return paths.link_flow(way_exposures(s, d), od_flows(s, d), "section", "flow").withColumn("flow", F.round("flow", 4))
+
+
+@query(_WAYS + ", q as (select unnest(range(0, 120)) as section) select q.section, coalesce(count(p), 0) as pairs, case when max(p) is null then 'NOT_REPRESENTED' when max(p) < 1 - 1e-9 then 'PARTIAL' else 'FULL' end as label from q left join exps using (section) group by 1")
+def exposure_label(s, d):
+    return paths.exposure_label(s.range(120).withColumnRenamed("id", "section"), way_exposures(s, d), "section")
+
+
+@query(_WAYS + " select edge_id, count(*) as paths, round(sum(weight), 6) as weight from (select distinct way_id, edge_id from edge where way_id is not null) join wp using (way_id) group by 1")
+def backbone_use(s, d):
+    slots, weights = _ways_as_paths(s, d)
+    return paths.edge_use(slots, weights.select("way_id", "weight"), ["way_id"])
+
+
+@query("select e.event_id, r.user_id as owner from events e join events r on r.event_id % 100 = 0 and e.event_id >= r.event_id and e.event_id < r.event_id + 100")
+def interval_owner(s, d):
+    # Positions of events against ranges of a hundred events, each named after the user of its first event.
+    e = table(s, d, "events").select("event_id", "user_id")
+    ranges = e.where("event_id % 100 = 0").select(F.col("user_id").alias("owner"), F.col("event_id").alias("lo"), (F.col("event_id") + 100).alias("hi"))
+    return paths.owner_of_position(e.select("event_id"), ranges, "event_id", "lo", "hi", "owner").select("event_id", "owner")
+
+
+@query()
+def shortest_paths(s, d):
+    """Cheapest ways between the nearest access nodes of the zones with the lowest codes."""
+    near = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 1).orderBy("PRO_COM").limit(12)
+    one = near.select(F.col("node_id").alias("source")).distinct()
+    everyone = one.agg(F.collect_set("source").alias("t"))
+    pairs = one.join(F.broadcast(everyone)).select("source", F.explode("t").alias("target"))
+    return routing.tree_paths(edges1(s, d), pairs, "length_m").select("source", "target", F.round("cost", 6).alias("cost"), F.size("edges").alias("edges"))
+
+
+# Demand
+
+_GRID = [(n, 0.002 + 0.004 * k) for n in (0.0, 0.5, 1.0) for k in range(25)]
+_GRIDSQL = "grid as (select cast(n.n as double) as n, round(0.002 + 0.004 * k.k, 12) as beta from (select unnest([0.0, 0.5, 1.0]) as n) n cross join (select unnest(range(0, 25)) as k) k)"
+_GRID = [(n, round(b, 12)) for n, b in _GRID]
+
+
+@query(f"with {_PAIRS} select o, d, round(p * a * exp(-0.04 * c) / sum(p * a * exp(-0.04 * c)) over (), 9) as share from pairs")
+def gravity_share(s, d):
+    return demand.gravity_shares(gravity_pairs(s, d), 0.04).select("o", "d", F.round("share", 9).alias("share"))
+
+
+@query(f"with {_PAIRS} select o, d, round(1000000.0 * p * a * exp(-0.04 * c) / sum(a * exp(-0.04 * c)) over (partition by o), 4) as flow from pairs")
+def gravity_origin_constrained(s, d):
+    return demand.origin_constrained(gravity_pairs(s, d), 0.04, 1e6).select("o", "d", F.round("flow", 4).alias("flow"))
+
+
+def _profile_sql(relative: bool = False, constrained: bool = False) -> str:
+    w = "a * exp(n * ln(c) - beta * c)" if constrained else "p * a * exp(n * ln(c) - beta * c)"
+    by, up = ("n, beta, o", f"share * p * {w}") if constrained else ("n, beta", f"share * {w}")
+    k = "1 / (y * y)" if relative else "1.0"
+    return f"""{_MODEL}, {_GRIDSQL}, down as (select {by}, sum({w}) as down from pairs cross join grid group by {by}),
+      up as (select section, {by}, sum({up}) as up from pairs join exposed using (o, d) cross join grid group by section, {by}),
+      g as (select section, n, beta, sum(up / down) as g from up join down using ({by}) group by 1, 2, 3),
+      pts as (select n, beta, section, y, base, coalesce(g, 0) as g from observed cross join grid left join g using (n, beta, section)),
+      sums as (select n, beta, sum({k} * g * (y - base)) as gr, sum({k} * g * g) as gg, sum({k} * (y - base) * (y - base)) as rr, sum(g * (y - base) / (y * y)) as gr2, sum(g * g / (y * y)) as gg2, sum((y - base) * (y - base) / (y * y)) as rr2 from pts group by 1, 2),
+      prof as (select n, beta, q, rr - 2 * q * gr + q * q * gg as j, rr2 - 2 * q * gr2 + q * q * gg2 as rel_j from (select *, greatest(0, gr / gg) as q from sums))"""
+
+
+def _profile(s, d, **kw):
+    return demand.profile(gravity_pairs(s, d), exposures(s, d), observed(s, d), _GRID, **kw)
+
+
+_ROUNDED = "n, beta, round(q, 3) as q, round(j, 3) as j, round(rel_j, 9) as rel_j"
+
+
+def _rounded(p: DataFrame) -> DataFrame:
+    return p.select("n", "beta", F.round("q", 3).alias("q"), F.round("j", 3).alias("j"), F.round("rel_j", 9).alias("rel_j"))
+
+
+@query(_profile_sql() + f" select {_ROUNDED} from prof")
+def tanner_surface(s, d):
+    return _rounded(_profile(s, d))
+
+
+@query(_profile_sql() + " select beta, round(q, 3) as q, round(j, 3) as j from prof where n = 0")
+def beta_profile(s, d):
+    return _profile(s, d).where("n = 0").select("beta", F.round("q", 3).alias("q"), F.round("j", 3).alias("j"))
+
+
+@query(_profile_sql(relative=True) + f" select {_ROUNDED.replace('round(j, 3)', 'round(j, 9)')} from prof")
+def relative_profile(s, d):
+    return _profile(s, d, relative=True).select("n", "beta", F.round("q", 3).alias("q"), F.round("j", 9).alias("j"), F.round("rel_j", 9).alias("rel_j"))
+
+
+@query(_profile_sql(constrained=True) + f" select {_ROUNDED} from prof")
+def constrained_profile(s, d):
+    return _rounded(_profile(s, d, constrained=True))
+
+
+@query(_profile_sql() + ", w as (select *, lag(j) over (partition by n order by beta) as lo, lead(j) over (partition by n order by beta) as hi from prof) select n, beta, round(j, 3) as j from w where lo is not null and hi is not null and j <= lo and j <= hi")
+def beta_local_minima(s, d):
+    return demand.local_minima(_profile(s, d)).select("n", "beta", F.round("j", 3).alias("j"))
+
+
+@query(_profile_sql() + ", f as (select unnest([1.01, 1.05, 1.10]) as factor) select cast(factor as double) as factor, count(*) as points, min(beta) as beta_lo, max(beta) as beta_hi, round(min(q), 3) as q_lo, round(max(q), 3) as q_hi from prof cross join f where j <= factor * (select min(j) from prof) group by 1")
+def beta_threshold_stats(s, d):
+    return demand.threshold_stats(_profile(s, d), [1.01, 1.05, 1.10]).withColumns({"q_lo": F.round("q_lo", 3), "q_hi": F.round("q_hi", 3)})
+
+
+@query()
+def leave_one_out(s, d):
+    return demand.leave_one_out(gravity_pairs(s, d), exposures(s, d), observed(s, d), [0, 1, 2], _GRID)
+
+
+@query()
+def beta_refined(s, d):
+    b, q, j = demand.refine(gravity_pairs(s, d), exposures(s, d), observed(s, d), 0.0, 0.2)
+    return s.createDataFrame([(round(b, 9), round(q, 3), round(j, 3))], "beta double, q double, j double")
+
+
+@query()
+def jacobian_condition(s, d):
+    import numpy as np
+
+    rows = demand.sensitivities(gravity_pairs(s, d), exposures(s, d), 0.04, 1e6).orderBy("section").limit(1000).collect()
+    r = demand.identifiability(np.array([[x["d_q"], x["d_beta"]] for x in rows]))
+    return s.createDataFrame([(k, float(v)) for k, v in r.items()], "measure string, value double")
+
+
+_CONTRIB = _MODEL + ", sh as (select o, d, p * a * exp(-0.04 * c) / sum(p * a * exp(-0.04 * c)) over () as s from pairs), con as (select section, o, d, share * (sym.c + 1000.0 * s) as v from exposed join sym using (o, d) join sh using (o, d)), att as (select section, o, d, v, cast(row_number() over (partition by section order by v desc, o, d) as integer) as rank, v / sum(v) over (partition by section) as share from con), run as (select *, sum(share) over (partition by section order by v desc, o, d rows unbounded preceding) as running from att)"
+
+
+def _attributed(s, d):
+    flows = od.symmetric_flows(od_flows(s, d)).select("o", "d", F.col("c").alias("known"))
+    g = demand.gravity_shares(gravity_pairs(s, d), 0.04).select("o", "d", F.col("share").alias("s"))
+    t = exposures(s, d).join(flows, ["o", "d"]).join(g, ["o", "d"]).withColumn("value", F.col("share") * (F.col("known") + 1000.0 * F.col("s")))
+    return demand.attribution(t, "section", F.col("value"))
+
+
+@query(_CONTRIB + " select section, o, d, round(v, 6) as v, round(share, 9) as share, round(running, 6) as running from run")
+def od_attribution(s, d):
+    return _attributed(s, d).select("section", "o", "d", F.round("v", 6).alias("v"), F.round("share", 9).alias("share"), F.round("running", 6).alias("running"))
+
+
+@query(_CONTRIB + " select section, round(sum(share * share), 6) as hhi, round(1 / sum(share * share), 4) as effective_n, round(sum(share) filter (rank <= 10), 6) as top_share, min(rank) filter (running >= 0.5 - 1e-12) as number_for_level from run group by 1")
+def attribution_concentration(s, d):
+    return demand.concentration(_attributed(s, d), "section")
+
+
+@query(f"""with {_PAIRS}, t0 as (select o, d, p, a, exp(-0.04 * c) as f from pairs), t1 as (select o, d, p, a, f * a / sum(f) over (partition by d) as f from t0), t2 as (select o, d, p, a, f * p / sum(f) over (partition by o) as f from t1),
+  t3 as (select o, d, p, a, f * a / sum(f) over (partition by d) as f from t2), t4 as (select o, d, p, a, f * p / sum(f) over (partition by o) as f from t3) select o, d, round(f, 9) as f from t4""")
+def doubly_constrained(s, d):
+    return demand.balance(gravity_pairs(s, d), 2, 0.04).select("o", "d", F.round("f", 9).alias("f"))
+
+
+# Stations, geometry, quality
+
+
+def _plane_stations(s, d):
+    t = table(s, d, "stations").where("LAT between 40 and 50 and LON between 5 and 20").groupBy(F.col("SECTION_ID").alias("section_id")).agg(F.min(F.struct("ROAD", "LON", "LAT")).alias("r"))
+    x, y = geo.utm(F.col("r.LON"), F.col("r.LAT"))
+    return t.select("section_id", F.col("r.ROAD").alias("road"), x.alias("x"), y.alias("y"))
+
+
+def _plane_segments(s, d):
+    at = lambda e: nodes1(s, d).select(F.col("node_id").alias(e), F.col("x").alias(f"x_{e}"), F.col("y").alias(f"y_{e}"))
+    return segments1(s, d).select("segment_uid", "ref", "u", "v").join(at("u"), "u").join(at("v"), "v").select("segment_uid", "ref", "x_u", "y_u", "x_v", "y_v")
+
+
+@query()
+def station_match(s, d):
+    return stations.match_segments(_plane_stations(s, d), _plane_segments(s, d))
+
+
+@query(f"with {_EDGE}, r as (select segment_uid, count(*) as n, list(row(edge_id, u, v) order by edge_id) as e from edge where segment_uid is not null group by 1) select segment_uid, n, case when n = 2 and e[1][2] = e[2][3] and e[1][3] = e[2][2] then 'BIDIRECTIONAL_SUM' else 'UNRESOLVED' end as operator from r")
+def measurement_operator(s, d):
+    return stations.measurement_operator(edges1(s, d).where("segment_uid is not null"))
+
+
+@query("select node_id, abs(x - x) < 1 as x_agrees, abs(y - y) < 1 as y_agrees from nodes where lon is not null and lat is not null and x is not null and y is not null")
+def utm_projection(s, d):
+    t = table(s, d, "nodes").where("lon is not null and lat is not null and x is not null and y is not null")
+    x, y = geo.utm(F.col("lon"), F.col("lat"))
+    return t.select("node_id", (F.abs(x - F.col("x")) < 1).alias("x_agrees"), (F.abs(y - F.col("y")) < 1).alias("y_agrees"))
+
+
+@query("select node_id, lon, lat from nodes where lon between 13.45 and 13.55 and lat between 46.45 and 46.55")
+def bbox_scan(s, d):
+    return table(s, d, "nodes").where(geo.in_box(F.col("lon"), F.col("lat"), (13.45, 46.45, 13.55, 46.55))).select("node_id", "lon", "lat")
+
+
+@query(f"with {_CAND} select PRO_COM, round(sum(x / (1 + distance_m)) / sum(1 / (1 + distance_m)), 6) as cx, round(sum(y / (1 + distance_m)) / sum(1 / (1 + distance_m)), 6) as cy from cand where distance_m is not null and not isnan(distance_m) group by 1")
+def weighted_centroid(s, d):
+    t = candidates(s, d).where("distance_m is not null and not isnan(distance_m)")
+    return od.weighted_centroid(t, "PRO_COM", 1 / (1 + F.col("distance_m")), "x", "y")
+
+
+@query()
+def endpoint_clusters(s, d):
+    return closure.cluster_points(nodes1(s, d), "node_id", "x", "y", 25.0)
+
+
+@query("select * from (select source, doc_id, cast(row_number() over (partition by source order by md5(cast(doc_id as varchar)), doc_id) as integer) as pick from documents) where pick <= 20")
+def stratified_sample(s, d):
+    return quality.stratified(table(s, d, "documents").select("source", "doc_id"), ["source"], "doc_id", 20)
+
+
+_CLASS = "t as (select lower(lang) as truth, case when source = 'field_notes' then 'it' when source = 'citizen_mail' then 'en' else lower(lang) end as predicted from documents)"
+
+
+@query(f"with {_CLASS}, c as (select distinct unnest([truth, predicted]) as class from t) select class, count(*) filter (predicted = class) as predicted, count(*) filter (truth = class) as actual, count(*) filter (predicted = class and truth = class) as right, case when count(*) filter (predicted = class) > 0 then round(count(*) filter (predicted = class and truth = class) / count(*) filter (predicted = class), 6) end as precision, case when count(*) filter (truth = class) > 0 then round(count(*) filter (predicted = class and truth = class) / count(*) filter (truth = class), 6) end as recall from t join c on class in (truth, predicted) group by 1".replace("as right", 'as "right"'))
+def classifier_metrics(s, d):
+    t = table(s, d, "documents").select(F.lower("lang").alias("truth"), F.when(F.col("source") == "field_notes", "it").when(F.col("source") == "citizen_mail", "en").otherwise(F.lower("lang")).alias("predicted"))
+    return quality.classifier_metrics(t, "predicted", "truth")
+
+
+@query("select event_id, user_id, last_value(case when event_id % 3 = 0 then value end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as known, case when event_id % 3 = 0 and value is not null then 'observed' when last_value(case when event_id % 3 = 0 then value end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) is not null then 'carried' else 'unusable' end as origin from events")
+def carried_forward(s, d):
+    t = table(s, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("seen"))
+    return stations.carried_forward(t, "user_id", ["ts", "event_id"], "seen", "known").select("event_id", "user_id", "known", "origin")
+
+
+@query("with g as (select PRO_COM, x - lag(x) over (partition by PRO_COM order by x) as gap from access_candidates where x is not null) select PRO_COM, count(*) as gaps, round(max(gap), 6) as widest, count(*) filter (gap > 1000) as too_wide from g where gap is not null group by 1")
+def corridor_windows(s, d):
+    return stations.corridor_windows(table(s, d, "access_candidates").where("x is not null").select("PRO_COM", "x"), "PRO_COM", "x", 1000.0)
+
+
+@query("with r as (select doc_id, row_number() over (order by doc_id) - 1 as k, count(*) over () - 1 as last from documents) select doc_id from r where k in (select distinct cast(round(j * last / 23.0) as bigint) from r cross join (select unnest(range(0, 24)) as j))".replace("select distinct cast(round(j * last / 23.0) as bigint) from r cross join", "select distinct cast(round(j * ((select count(*) from documents) - 1) / 23.0) as bigint) from"))
+def linspace_sample(s, d):
+    return stations.linspace_rows(table(s, d, "documents").select("doc_id"), ["doc_id"], 24).select("doc_id")
+
+
+@query("select way_id, seq, node_id, count(*) over (partition by way_id, seq) as copies from way_nodes qualify copies > 1")
+def duplicate_keys(s, d):
+    return quality.duplicated(table(s, d, "way_nodes").select("way_id", "seq", "node_id"), ["way_id", "seq"])
+
+
+@query("select way_id, seq, node_id, loaded_at from way_nodes qualify row_number() over (partition by way_id, seq order by loaded_at, node_id nulls first) = 1")
+def keep_first(s, d):
+    return quality.keep_first(table(s, d, "way_nodes").select("way_id", "seq", "node_id", "loaded_at"), ["way_id", "seq"], ["loaded_at", "node_id"])
+
+
+_GATES = [
+    ("edge_ends_missing", "select count(*) from directed_edges where u is null or v is null"),
+    ("edge_length_bad", "select count(*) from directed_edges where length_m <= 0 or isnan(length_m)"),
+    ("node_without_place", "select count(*) from nodes where lon is null or lat is null"),
+    ("segment_uid_repeats", "select count(*) from (select segment_uid from segments group by 1 having count(*) > 1)"),
+    ("edge_segment_ambiguous", "select count(*) from (select edge_id from directed_edges where segment_uid is not null group by 1 having count(distinct trim(segment_uid)) > 1)"),
+    ("way_nodes_not_dense", "select case when count(*) = count(distinct seq) and min(seq) = 0 and max(seq) = count(*) - 1 then 0 else 1 end from way_nodes"),
+]
+
+
+@query(" union all ".join(f"select '{n}' as \"check\", cast(({q}) as double) as value, cast(0 as double) as expected, case when ({q}) = 0 then 'PASS' else 'CHECK_REQUIRED' end as status" for n, q in _GATES))
+def gate_report(s, d):
+    e, n = table(s, d, "directed_edges"), table(s, d, "nodes")
+    return quality.report(
+        quality.violations(e, {"edge_ends_missing": F.col("u").isNull() | F.col("v").isNull(), "edge_length_bad": (F.col("length_m") <= 0) | F.isnan("length_m")}),
+        quality.violations(n, {"node_without_place": F.col("lon").isNull() | F.col("lat").isNull()}),
+        quality.unique_gate(table(s, d, "segments"), ["segment_uid"], "segment_uid_repeats"),
+        quality.dependency_gate(e.where("segment_uid is not null").withColumn("uid", F.trim("segment_uid")), "edge_id", ["uid"], "edge_segment_ambiguous"),
+        quality.dense_gate(table(s, d, "way_nodes"), "seq", "way_nodes_not_dense"),
+    )
+
+
+@query("select SECTION_ID, QUALITY_CLASS, count(*) as n from stations group by all")
+def station_quality(s, d):
+    return table(s, d, "stations").groupBy("SECTION_ID", "QUALITY_CLASS").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def dense_edge_numbers(s, d):
+    t = table(s, d, "segments").select("segment_uid", "way_id", "seq").distinct()
+    return network.numbered(t, ["way_id", "seq", "segment_uid"], "number", Scratch(s, "numbers"))
