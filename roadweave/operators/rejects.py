@@ -63,7 +63,7 @@ def _quoting_broken(skeleton: Column, sep: str) -> Column:
     s = re.escape(sep)
     return (
         skeleton.contains('"')  # an unclosed quote
-        | skeleton.rlike(f"[^{s}{_Q} \\t][^{s}{_Q}]*+{_Q}")  # a quote after other text
+        | skeleton.rlike(f"(?:\\A|{s})[ \\t]*+[^{s}{_Q} \\t][^{s}{_Q}]*+{_Q}")  # a quote after other text
         | skeleton.rlike(f"{_Q}[ \\t]*+[^{s}{_Q} \\t]")  # text after the closing quote
         | skeleton.rlike(f"{_Q}[ \\t]++{_Q}")  # a second quoted part after a blank
     )

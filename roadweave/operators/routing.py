@@ -9,7 +9,6 @@ broadcast once as arrays and each task routes its own sources.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +37,7 @@ def relax(edges: DataFrame, sources: DataFrame, cost: str, max_rounds: int = 100
         steps = steps.groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
         merged = best.withColumnRenamed("cost", "old").join(steps, ["source", "node_id"], "full")
         improved = F.col("cost").isNotNull() & (F.col("old").isNull() | (F.col("cost") < F.col("old")))
-        new, n = scratch.cut_with(merged.select("source", "node_id", F.when(improved, F.col("cost")).otherwise(F.col("old")).alias("cost"), improved.alias("open")), open=F.sum(improved.cast("int")))
+        new, n = scratch.cut_with(merged.select("source", "node_id", F.when(improved, F.col("cost")).otherwise(F.col("old")).alias("cost"), improved.alias("open")), open=F.sum(F.col("open").cast("int")))
         scratch.drop(best)
         best = new
         if not n["open"]:
@@ -79,7 +78,7 @@ def tree_paths(edges: DataFrame, pairs: DataFrame, cost: str) -> DataFrame:
         graph.setdefault(r["u"], []).append((r["v"], r["cost"], r["edge_id"]))
     shared = spark.sparkContext.broadcast(graph)
 
-    def run(key, batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, batches: pd.DataFrame) -> pd.DataFrame:
         source = key[0]
         costs, back = dijkstra(shared.value, source)
         rows = []

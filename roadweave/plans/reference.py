@@ -444,25 +444,25 @@ def access_triple_adaptive(s, d):
     return access.diverse_triples(r, "PRO_COM", "node_id", "distance_m").drop("distances")
 
 
-_LAMBDA = f"with {_CAND}, r as (select * from ranked where rank <= 3), w as (select PRO_COM, node_id, rank, distance_m, exp(-(distance_m - min(distance_m) over (partition by PRO_COM)) / 300.0) as raw from r), lam as (select PRO_COM, node_id, rank, raw / sum(raw) over (partition by PRO_COM) as lambda from w)"
+_LAMBDA = f"with {_CAND}, r as (select * from ranked where rank <= 3), w as (select PRO_COM, node_id, rank, distance_m, exp(-(distance_m - min(distance_m) over (partition by PRO_COM)) / 300.0) as raw from r), lam as (select PRO_COM, node_id, rank, raw / sum(raw) over (partition by PRO_COM) as l from w)"
 
 
 def weighted_access(s, d):
     return access.decay_weights(access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 3), "PRO_COM", "distance_m")
 
 
-@query(_LAMBDA + " select PRO_COM, node_id, rank, round(lambda, 9) as lambda from lam")
+@query(_LAMBDA + " select PRO_COM, node_id, rank, round(l, 9) as \"lambda\" from lam")
 def access_lambda(s, d):
     return weighted_access(s, d).select("PRO_COM", "node_id", "rank", F.round("lambda", 9).alias("lambda"))
 
 
-@query(_LAMBDA + " select PRO_COM, round(1 / sum(lambda * lambda), 6) as effective_n, abs(sum(lambda) - 1) <= 1e-9 as sums_to_one from lam group by 1")
+@query(_LAMBDA + " select PRO_COM, round(1 / sum(l * l), 6) as effective_n, abs(sum(l) - 1) <= 1e-9 as sums_to_one from lam group by 1")
 def access_effective_number(s, d):
     return access.effective_number(weighted_access(s, d), "PRO_COM")
 
 
 @query(f"""with {_CAND}, r as (select *, unnest([50.0, 100.0, 200.0, 300.0, 500.0]) as tau from ranked where rank <= 3), w as (select PRO_COM, tau, exp(-(distance_m - min(distance_m) over (partition by PRO_COM, tau)) / tau) as raw from r),
-  l as (select PRO_COM, tau, raw / sum(raw) over (partition by PRO_COM, tau) as lambda from w), p as (select PRO_COM, tau, 1 / sum(lambda * lambda) as eff, max(lambda) as top from l group by 1, 2)
+  l as (select PRO_COM, tau, raw / sum(raw) over (partition by PRO_COM, tau) as w from w), p as (select PRO_COM, tau, 1 / sum(w * w) as eff, max(w) as top from l group by 1, 2)
   select cast(tau as double) as tau, round(avg(eff), 6) as mean_effective_n, count(*) filter (top > 0.5) as dominant from p group by 1""")
 def lambda_tau_sweep(s, d):
     r = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 3)

@@ -57,7 +57,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from roadweave.session import build_session
 
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false")
+    spark = build_session("oracle", os.environ.get("ORACLE_MASTER", "local[8]"), spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false")
     spark.sparkContext.setLogLevel("ERROR")
     q, sql = e.queries(), e.oracle_sql()
     con, bad = connect(sys.argv[1]), 0
