@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.codes import deterrence
+from roadweave.runtime import Scratch
 
 
 def gravity_shares(pairs: DataFrame, beta: float) -> DataFrame:
@@ -176,11 +177,13 @@ def concentration(attributed: DataFrame, section: str, level: float = 0.5, top:
 def balance(pairs: DataFrame, rounds: int, beta: float) -> DataFrame:
     """Doubly constrained flows: rows and columns are scaled in turn to p and a.
 
-    Each round is one aggregation per side; after a fixed number of rounds rows fit exactly
-    and columns nearly.
+    Each round is one window per side; after a fixed number of rounds rows fit exactly and
+    columns nearly.  Every fifth round cuts the plan by a table in the shared folder.
     """
+    scratch = Scratch(pairs.sparkSession, "balance")
     t = pairs.where("o <> d").withColumn("f", deterrence(F.col("c"), F.lit(beta)))
-    for _ in range(rounds):
+    for k in range(rounds):
+        t = scratch.cut(t) if k and k % 5 == 0 else t
         t = t.withColumn("f", F.col("f") * F.col("a") / F.sum("f").over(Window.partitionBy("d")))
         t = t.withColumn("f", F.col("f") * F.col("p") / F.sum("f").over(Window.partitionBy("o")))
     return t

@@ -43,8 +43,8 @@ def via_way_sequences(relations: DataFrame, edges: DataFrame, max_length: int =
     done = None
     for _ in range(max_length):
         chain = chain.join(step, ["via_way", "at"]).where("(dir is null or dir = way_direction) and not array_contains(seq, en)")
-        chain = chain.select("relation_id", "via_way", "to_way", F.col("to").alias("at"), F.array_append("seq", "en").alias("seq"), F.col("way_direction").alias("dir"))
-        found = chain.join(last, ["to_way", "at"]).select("relation_id", F.array_append("seq", "e2").alias("seq"))
+        chain = chain.select("relation_id", "via_way", "to_way", F.col("to").alias("at"), F.array_append("seq", F.col("en")).alias("seq"), F.col("way_direction").alias("dir"))
+        found = chain.join(last, ["to_way", "at"]).select("relation_id", F.array_append("seq", F.col("e2")).alias("seq"))
         done = found if done is None else done.unionAll(found)
         if chain.isEmpty():
             break
