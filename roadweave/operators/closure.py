@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.runtime import Scratch
+from roadweave.runtime import Scratch, ship
 
 #: Arcs up to which a graph is flooded in one task.
 KERNEL_ARCS = 400_000
@@ -78,6 +78,7 @@ def _flood(arcs: DataFrame, start: DataFrame) -> DataFrame:
             frontier = new
         yield pd.DataFrame({"node_id": pd.Series(list(hops), dtype="int64"), "hops": pd.Series(list(hops.values()), dtype="int32")})
 
+    ship(arcs.sparkSession)
     both = arcs.select("a", "b").unionAll(start.select("node_id", F.lit(None).cast("bigint")))
     return both.coalesce(1).mapInPandas(run, "node_id bigint, hops int")
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.runtime import ship
+
 #: Records per bucket, the unit of one automaton.
 BUCKET_ROWS = 20_000
 #: Characters that may group the digits of one number in threes.
@@ -118,6 +120,7 @@ def unpack(df: DataFrame, key: str, fields: list[str], known: DataFrame, known_c
     values from 0.  ``known`` may have any size; it is joined, never broadcast.  Texts may
     be of any length.
     """
+    ship(df.sparkSession)
     texts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("record_key")).agg(F.max(F.struct(*[F.col(f).cast("string").alias(f) for f in fields])).alias("_t"))
     long = texts.select("record_key", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t.{f}").alias("text")) for f in fields])).alias("_e")).select("record_key", "_e.*").where("text rlike '[0-9]'")
     # The number of buckets follows the number of rows, read from the plan's own count.

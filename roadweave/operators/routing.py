@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.runtime import Scratch
+from roadweave.runtime import Scratch, ship
 
 #: Arcs up to which a graph may be broadcast to the per-source kernel.
 MAX_KERNEL_ARCS = 5_000_000
@@ -69,6 +69,7 @@ def tree_paths(edges: DataFrame, pairs: DataFrame, cost: str) -> DataFrame:
     one tree serves all targets of a source, in parts of 10,000 targets.
     """
     spark = edges.sparkSession
+    ship(spark)
     arcs = cheapest_arcs(edges, cost)
     n = arcs.count()
     if n > MAX_KERNEL_ARCS:

@@ -4,12 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Needed where the package is on the driver's path only; where it is installed, the copy
+    does no harm.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_roadweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="roadweave-")) / "roadweave.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._roadweave_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
