@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm.tokens import DEFAULT_TOKENIZER, token_count
-from roadweave.runtime import Scratch, grouped_rank
+from roadweave.runtime import Scratch, grouped_rank, ship
 
 #: Sources a mixture may have; their totals are gathered on the driver.
 MAX_SOURCES = 10_000
@@ -52,6 +52,7 @@ def mix(items: DataFrame, targets: DataFrame, item_id: str, text: str, source: s
     goal = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()}
     if len(goal) > MAX_SOURCES or not goal or abs(sum(s for s, _ in goal.values()) - 1) > 1e-6 or any(s <= 0 or m < 1 for s, m in goal.values()):
         raise ValueError("targets need 1 to MAX_SOURCES sources, positive shares that sum to 1 and max_repeats of at least 1")
+    ship(items.sparkSession)
     scratch = Scratch(items.sparkSession, "mixing")
     sized = _sized(items, item_id, text, source, tokenizer, scratch)
     wanted = F.broadcast(items.sparkSession.createDataFrame([(s,) for s in goal], "_source string"))
