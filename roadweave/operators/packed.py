@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.runtime import ship
+from roadweave.runtime import Scratch, ship
 
 #: Records per bucket, the unit of one automaton.
 BUCKET_ROWS = 20_000
@@ -144,6 +144,19 @@ def id_list(text: Column, min_digits: int = 6) -> Column:
     return F.filter(F.regexp_extract_all(bare, F.lit("([0-9]+)"), F.lit(1)), lambda t: F.length(t) >= min_digits)
 
 
+def text_ids(texts: DataFrame, known: DataFrame, known_column: str, min_digits: int = 6) -> DataFrame:
+    """(text, ids) for each distinct text that holds a value: its values in order, as ``unpack`` finds them.
+
+    ``texts`` has one column.  A text without any value has no row.
+    """
+    scratch = Scratch(texts.sparkSession, "packed")
+    text = texts.toDF("text").where("text rlike '[0-9]'").distinct()
+    numbered = scratch.cut(text.withColumn("text_no", F.monotonically_increasing_id()))
+    found = unpack(numbered, "text_no", ["text"], known, known_column, min_digits)
+    lists = found.groupBy(F.col("record_key").alias("text_no")).agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("_l"))
+    return scratch.cut(numbered.join(lists, "text_no").select("text", F.col("_l.value").alias("ids")))
+
+
 def unpack_all(sources: list[tuple[str, DataFrame, str, list[str]]], known: DataFrame, known_column: str) -> DataFrame:
     """``unpack`` over several tables: (source_table, field, record_key, position, value)."""
     parts = [unpack(df, key, fields, known, known_column).select(F.lit(name).alias("source_table"), "field", "record_key", "position", "value") for name, df, key, fields in sources]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,24 @@ def _comparable(field: str, column: str) -> Column:
     if field == "TGMA_LIGHT_2024":
         return F.col(column).cast("string")
     if field.endswith("EDGE_IDS"):
-        return F.array_join(packed.id_list(F.coalesce(F.col(column), F.lit(""))), "|")
+        return F.col(column)  # joined by _with_id_lists
     return bare_text(column)
 
 
+def _with_id_lists(spark: SparkSession, d: str, sides: list[DataFrame]) -> list[DataFrame]:
+    """The EDGE_IDS fields of both copies as their ordered ids, found as in p6 and joined by ``|``."""
+    fields = [f for f in SECTION_FIELDS if f.endswith("EDGE_IDS")]
+    texts = reduce(DataFrame.unionAll, [t.select(F.explode(F.array(*fields))) for t in sides])
+    lists = packed.text_ids(texts, table(spark, d, "directed_edges"), "edge_id")
+    out = []
+    for t in sides:
+        for f in fields:
+            t = t.join(lists.select(F.col("text").alias(f), F.array_join(F.col("ids").cast("array<string>"), "|").alias("_ids")), f, "left")
+            t = t.withColumn(f, F.coalesce("_ids", F.lit(""))).drop("_ids")
+        out.append(t)
+    return out
+
+
 def section_copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The latest row of every section in the review and in the mapping."""
     out = []
@@ -46,7 +62,7 @@ def section_copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_differences(spark: SparkSession, d: str) -> DataFrame:
     """Sections in one copy only and every differing field with both values."""
-    review, mapping = section_copies(spark, d)
+    review, mapping = _with_id_lists(spark, d, list(section_copies(spark, d)))
     fields = {f: (_comparable(f, f), _comparable(f, f)) for f in SECTION_FIELDS}
     return diff.diff_copies(review, mapping, "section_id", fields, ("review", "mapping"))
 
@@ -62,7 +78,7 @@ def p2_all_rows(spark: SparkSession, d: str) -> DataFrame:
         t = table(spark, d, name)
         sides.append(t.select(section_number("SECTION_ID").alias("section_id"), *[F.col(role if f == "ROLE" else f).alias(f) for f in SECTION_FIELDS]))
     fields = {f: (_comparable(f, f), _comparable(f, f)) for f in SECTION_FIELDS}
-    return diff.diff_copies(*sides, "section_id", fields, ("review", "mapping")).groupBy("diff", "field").agg(F.sum("n").alias("n"))
+    return diff.diff_copies(*_with_id_lists(spark, d, sides), "section_id", fields, ("review", "mapping")).groupBy("diff", "field").agg(F.sum("n").alias("n"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -21,3 +21,20 @@ def test_operator(spark):
     assert got == [(1, 0, 178498), (3, 0, 123456), (3, 1, 900900), (3, 2, 777777)]
     assert packed.unpack(df.limit(0), "k", ["f"], known, "id").count() == 0
     assert packed.unpack(df, "k", ["f"], known.limit(0), "id").count() == 4
+
+
+def test_p2_long_grouped_ids(spark, tmp_path):
+    """p2 reads ids of seven and more digits as p6 does, whatever way their digits are grouped."""
+    from roadweave.plans import problems
+
+    ids = [1007001, 1007002, 123456, 789012, 12345678901]
+    plain, grouped = "1007001|12345678901", "'1,007,001';'12,345,678,901'"
+    rows = [("1", plain, grouped), ("2", "123456|789012", "123,456,789,012"), ("3", "1007001", "1.007.002"), ("4", None, "1,007,001")]
+    for name, role, side in (("station_review", "ROLE_PROPOSAL", 1), ("calibration_mapping", "ROLE", 2)):
+        cols = {f: "cast(null as string)" for f in problems.SECTION_FIELDS} | {"TGMA_LIGHT_2024": "1", "PRIMARY_EDGE_IDS": "ids"}
+        t = spark.createDataFrame([(r[0], r[side]) for r in rows], "SECTION_ID string, ids string")
+        t = t.selectExpr("SECTION_ID", "timestamp'2026-01-01' as loaded_at", *[f"{e} as {role if f == 'ROLE' else f}" for f, e in cols.items()])
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(i,) for i in ids], "edge_id long").write.parquet(f"{tmp_path}/directed_edges.parquet")
+    got = sorted((r["section_id"], r["field"], r["value_left"], r["value_right"]) for r in problems.p2_differences(spark, str(tmp_path)).collect())
+    assert got == [(3, "PRIMARY_EDGE_IDS", "1007001", "1007002"), (4, "PRIMARY_EDGE_IDS", "", "1007001")]
