@@ -13,8 +13,11 @@ nodes with a single way out (or in) to that neighbour, with a test kept for late
 node belongs to the neighbour's group exactly if the group also holds a node at its other
 side.  When at most ``finish_arcs`` links are left, one task of that fixed size labels
 them by depth-first search; then the tests are answered from the last round to the first.
-If a round stalls, every node's smallest way out defines cycles, found by pointer doubling,
-which are merged; that always makes progress, so the result is exact at any size.
+If rounds stall, every node's smallest way out defines cycles, found by pointer doubling,
+which are merged.  Where that doesn't help, as in an acyclic rest, nodes are coloured by the
+least label upstream and, inside a colour, downstream, in a random order of labels: links
+between colours are dropped, and the node with the least label of all always leaves with all
+its links, so the result is exact at any size and the loop ends on every graph.
 """
 
 from __future__ import annotations
@@ -164,13 +167,58 @@ def _cycles(arcs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(state.join(on_cycle, "x", "left_semi").where("x <> low").select("x", F.col("low").alias("to"), F.lit("merge").alias("kind")))
 
 
+def _upstream(arcs: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
+    """(x, f): the least label of the nodes that reach ``x``, itself included.
+
+    Labels are nodes in an order drawn from ``turn``.  Besides one link, each step looks at an
+    ancestor ``p`` whose distance doubles; every eighth step takes the best one anew.
+    """
+    nodes = arcs.select(F.col("s").alias("x")).unionAll(arcs.select("d")).distinct()
+    state = scratch.cut(nodes.select("x", F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), F.col("x")).alias("f"), F.col("x").alias("p")))
+    step, moved = 0, 1
+    while moved:
+        nxt = state.withColumn("was", F.col("f"))
+        for _ in range(2):
+            best = arcs.join(nxt.select(F.col("x").alias("s"), F.col("f").alias("fs")), "s").groupBy(F.col("d").alias("x")).agg(F.min(F.struct("fs", "s")).alias("m"))
+            there = nxt.select(F.col("x").alias("p"), F.col("f").alias("fp"), F.col("p").alias("pp"))
+            p = F.coalesce("m.s", "x") if step % 8 == 0 else F.col("pp")
+            nxt = nxt.join(there, "p").join(best, "x", "left").select("x", F.least("f", "m.fs", "fp").alias("f"), p.alias("p"), "was")
+            step += 1
+        nxt, seen = scratch.cut_with(nxt, moved=F.sum((F.col("f") != F.col("was")).cast("int")))
+        scratch.drop(state)
+        state, moved = nxt, seen["moved"]
+    return state.select("x", "f")
+
+
+def _coloured(arcs: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, dict, DataFrame]:
+    """Links left by forward-backward colouring, their measures, and the tests of merged nodes.
+
+    Nodes of one strong component have the same least label upstream (f) and, over the links
+    inside f, downstream (b).  If both are equal, node and label reach each other.
+    """
+    forward = _upstream(arcs, turn, scratch)
+    at = lambda t, c, e: t.select(F.col("x").alias(e), F.col("f").alias(f"{c}{e}"))
+    inside = scratch.cut(arcs.join(at(forward, "f", "s"), "s").join(at(forward, "f", "d"), "d").where("fs = fd").select("s", "d", F.col("fs").alias("f")))
+    back = _upstream(inside.select(F.col("d").alias("s"), F.col("s").alias("d")), turn, scratch)
+    merged = back.withColumnRenamed("f", "b").join(forward, "x").where("b = f and x <> f.x")
+    tests = scratch.cut(merged.select("x", F.col("f.x").alias("y"), F.col("f.x").alias("n")))
+    left = inside.join(at(back, "b", "s"), "s").join(at(back, "b", "d"), "d").where("bs = bd and bs <> f").select("s", "d")
+    return *scratch.cut_with(left), tests
+
+
 def _strong(arcs: DataFrame, scratch: Scratch, finish_arcs: int) -> DataFrame:
     """(x, label) of nodes in strong components of two or more; label is the least member."""
     arcs, n = scratch.cut_with(arcs)
     tests: list[DataFrame] = []
     turn, stalled = 0, 0
     while n["rows"] > max(0, finish_arcs):
-        hooks = _cycles(arcs, scratch) if stalled >= 3 else _hooks(arcs, turn, scratch)
+        if stalled > 3:
+            nxt, n, merged = _coloured(arcs, turn, scratch)
+            tests.append(merged)
+            scratch.drop(arcs)
+            arcs, turn, stalled = nxt, turn + 1, 0
+            continue
+        hooks = _cycles(arcs, scratch) if stalled == 3 else _hooks(arcs, turn, scratch)
         end = lambda e: hooks.select(F.col("x").alias(e), F.col("to").alias(f"to_{e}"), F.col("kind").alias(f"kind_{e}"))
         moved = arcs.join(end("s"), "s", "left").join(end("d"), "d", "left").where("coalesce(kind_s, '') <> 'drop' and coalesce(kind_d, '') <> 'drop'")
         moved = scratch.cut(moved.withColumns({"ns": F.coalesce("to_s", "s"), "nd": F.coalesce("to_d", "d")}))

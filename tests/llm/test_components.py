@@ -1,5 +1,6 @@
 import os
 import random
+import signal
 import sys
 
 import pytest
@@ -46,3 +47,16 @@ def test_stalled_core(spark):
     n = 15
     rows = [(i, (i + k) % n) for i in range(n) for k in (1, 3)] + [(100 + i, 100 + (i + k) % n) for i in range(n) for k in (1, 3)] + [(3, 104)]
     assert run(spark, rows, finish_arcs=0) == brute.components(rows)
+
+
+def test_layered_rest_ends(spark):
+    """An acyclic rest of many layers shrinks by under 2% a round and holds no cycle to merge."""
+    signal.signal(signal.SIGALRM, lambda *_: pytest.fail("doesn't end"))
+    signal.alarm(600)
+    try:
+        layers = 250
+        rows = [(8 * k + i, 8 * k + 8 + (i + j) % 4) for k in range(layers) for i in range(4) for j in (0, 1)]
+        rows += [(9000 + i, 9000 + (i + j) % 15) for i in range(15) for j in (1, 3)] + [(8 * 100 + 1, 9003), (9007, 8 * 140 + 2)]
+        assert run(spark, rows, finish_arcs=0) == brute.components(rows)
+    finally:
+        signal.alarm(0)
