@@ -432,6 +432,8 @@ def access_pair_metrics(s, d):
     return access.pair_metrics(access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 5), "PRO_COM")
 
 
+#: Candidates per zone among which the reference looks for a triple.
+TRIPLE_DEPTH = 30
 _AB, _AC, _BC = (_GAP.format(*p) for p in (("a", "b"), ("a", "c"), ("b", "c")))
 
 
@@ -440,8 +442,10 @@ _AB, _AC, _BC = (_GAP.format(*p) for p in (("a", "b"), ("a", "c"), ("b", "c")))
   from r a join r b on a.PRO_COM = b.PRO_COM and a.rank = 1 and b.rank > 1 join r c on c.PRO_COM = a.PRO_COM and c.rank > b.rank where {_AB} >= 100 - 1e-9 and {_AC} >= 100 - 1e-9 and {_BC} >= 100 - 1e-9)
   select PRO_COM, node_1, node_2, node_3, depth, separation from t where n = 1""")
 def access_triple_adaptive(s, d):
-    r = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 12)
-    return access.diverse_triples(r, "PRO_COM", "node_id", "distance_m").drop("distances")
+    # The SQL stops at rank 12 and knows no topological segments, so it holds fewer zones.
+    r = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", TRIPLE_DEPTH)
+    r = r.join(network.incident_topo(topo_segments(s, d)), "node_id", "left")
+    return access.diverse_triples(r, "PRO_COM", "node_id", "distance_m", topo="topo_ids").drop("distances")
 
 
 _LAMBDA = f"with {_CAND}, r as (select * from ranked where rank <= 3), w as (select PRO_COM, node_id, rank, distance_m, exp(-(distance_m - min(distance_m) over (partition by PRO_COM)) / 300.0) as raw from r), lam as (select PRO_COM, node_id, rank, raw / sum(raw) over (partition by PRO_COM) as l from w)"
