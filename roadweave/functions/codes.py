@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -72,13 +73,27 @@ def ref_matches(road: Column | str, refs: Column | str) -> Column:
     return F.coalesce(F.array_contains(F.filter(tokens, lambda t: t != ""), ref_token(road)), F.lit(False))
 
 
-#: Letters with marks and their bare letters (fixed values).
-_MARKED, _BARE = "àáâãäåèéêëìíîïòóôõöùúûüçñčćšžđÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÇÑČĆŠŽĐ", "aaaaaaeeeeiiiiooooouuuucnccszdAAAAAAEEEEIIIIOOOOOUUUUCNCCSZD"
+#: Latin letters without a decomposition and their bare letters (fixed values).
+_UNDECOMPOSED = {"đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ı": "i"}
+
+
+def _bare_letters() -> dict[str, str]:
+    """Every Latin letter with marks and its bare letter, from the decompositions of Unicode."""
+    out = dict(_UNDECOMPOSED)
+    for n in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(n)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(n):
+            out[chr(n)] = base
+    return out
+
+
+_MARKED, _BARE = ("".join(x) for x in zip(*sorted(_bare_letters().items())))
 
 
 def fold_name(c: Column | str) -> Column:
-    """A name key: without marks, in lower case, blanks squeezed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(_c(c), _MARKED, _BARE)), "\\s+", " "))
+    """A name key: without marks, composed or combining, in lower case, blanks squeezed."""
+    bare = F.regexp_replace(F.translate(_c(c), _MARKED, _BARE), "\\p{Mn}+", "")
+    return F.trim(F.regexp_replace(F.lower(bare), "\\s+", " "))
 
 
 def first_tag(tags: Column, *names: str) -> Column:
@@ -100,6 +115,11 @@ def safe_share(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
 
 
+def peak_cost(n: Column, beta: Column) -> Column:
+    """n / beta, where c^n exp(-beta c) is greatest; infinite for beta of zero or less with n above zero, 0 for n of zero."""
+    return F.when(n <= 0, 0.0).when(beta <= 0, float("inf")).otherwise(n / beta)
+
+
 def half_life(beta: Column) -> Column:
     """ln 2 / beta; infinite for beta of zero or less."""
     return F.when(beta <= 0, float("inf")).otherwise(F.log(F.lit(2.0)) / beta)
@@ -134,8 +154,13 @@ def model_speed(observed: Column, highway: Column) -> Column:
 
 
 def bitmask(index: Column) -> Column:
-    """1 shifted to the place of an index."""
-    return F.call_function("shiftleft", F.lit(1), index)
+    """1 shifted to the place of an index from 0 to 63; masks join by ``bit_or``."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), index)
+
+
+def has_bit(mask: Column, index: Column) -> Column:
+    """Whether the place of an index, 0 to 63, is set."""
+    return F.call_function("shiftright", mask, index).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
 def any_of(flags: list[Column]) -> Column:

@@ -22,6 +22,8 @@ from roadweave.runtime import Scratch, ship
 
 #: Records per bucket, the unit of one automaton.
 BUCKET_ROWS = 20_000
+#: Digits that fit a 64-bit value in any case; a longer run is no value but a reject.
+MAX_DIGITS = 18
 #: Characters that may group the digits of one number in threes.
 GROUPING = ",.'"
 _NUMBER = re.compile(r"[0-9]+(?:[,.'][0-9]+)*")
@@ -43,7 +45,7 @@ def candidate_values(text: Column, min_digits: int = 6) -> Column:
     joined = F.regexp_extract_all(text, F.lit("(?<![0-9])([0-9]{1,3}(?:[,.'][0-9]{3})+)(?![0-9])"), F.lit(1))
     # A joined run may itself be several numbers; every stretch of its groups is a candidate.
     groups = F.flatten(F.transform(joined, lambda j: _stretches(F.regexp_extract_all(j, F.lit("([0-9]+)"), F.lit(1)))))
-    long = F.filter(F.concat(runs, groups), lambda r: F.length(r).between(min_digits, 18))
+    long = F.filter(F.concat(runs, groups), lambda r: F.length(r).between(min_digits, MAX_DIGITS))
     return F.array_distinct(long)
 
 
@@ -85,11 +87,11 @@ def segment(text: str, automaton, min_digits: int = 6) -> list[int]:
                 if edge(end + 1 - size, end + 1):
                     pieces.setdefault(end + 1 - size, []).append((end + 1, value, True))
         for g in re.finditer(r"[0-9]+", s):  # whole numbers the dictionary doesn't have
-            if g.end() - g.start() >= min_digits:
+            if min_digits <= g.end() - g.start() <= MAX_DIGITS:
                 pieces.setdefault(g.start(), []).append((g.end(), int(g.group()), False))
         for g in re.finditer(r"(?<![0-9])[0-9]{1,3}(?:([,.'])[0-9]{3})(?:\1[0-9]{3})*(?![0-9])", s):
             digits = re.sub(r"[^0-9]", "", g.group())
-            if len(digits) >= min_digits:
+            if min_digits <= len(digits) <= MAX_DIGITS:
                 pieces.setdefault(g.start(), []).append((g.end(), int(digits), False))
         # best[i]: (digits explained, digits in known values, -pieces) from i on, and the way.
         best: list = [None] * (n + 1)
@@ -118,12 +120,13 @@ def unpack(df: DataFrame, key: str, fields: list[str], known: DataFrame, known_c
     ``key`` must be unique; of rows with an equal key the one with the greatest field texts
     counts.  Rows with a null key and null or empty texts give nothing.  Positions count
     values from 0.  ``known`` may have any size; it is joined, never broadcast.  Texts may
-    be of any length.
+    be of any length.  A run of more than MAX_DIGITS digits is no value: it has no row here
+    and comes out of ``oversized`` instead.
     """
     ship(df.sparkSession)
     texts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("record_key")).agg(F.max(F.struct(*[F.col(f).cast("string").alias(f) for f in fields])).alias("_t"))
     long = texts.select("record_key", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t.{f}").alias("text")) for f in fields])).alias("_e")).select("record_key", "_e.*").where("text rlike '[0-9]'")
-    # The number of buckets follows the number of rows, read from the plan's own count.
+    # A count of the rows (of the files' footers, where the table is parquet) sets the number of buckets.
     buckets = max(1, -(-df.count() * len(fields) // bucket_rows))
     long = long.withColumn("bucket", F.pmod(F.xxhash64("record_key", "field"), F.lit(buckets)).cast("int"))
     wanted = long.select(F.col("bucket").alias("at_bucket"), F.explode(candidate_values(F.col("text"), min_digits)).alias("value")).select("at_bucket", F.col("value").cast("bigint").alias("value")).distinct()
@@ -138,10 +141,19 @@ def unpack(df: DataFrame, key: str, fields: list[str], known: DataFrame, known_c
     return long.groupBy("bucket").cogroup(local.groupBy("at_bucket")).applyInPandas(solve, "field string, record_key bigint, position int, value bigint")
 
 
+def oversized(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, record_key, reason, run) for each run of digits too long for a 64-bit value, in any row."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]))
+    long = df.select(F.col(key).alias("record_key"), cells.alias("_e")).select("record_key", "_e.*")
+    runs = F.explode(F.regexp_extract_all("text", F.lit("([0-9]{%d,})" % (MAX_DIGITS + 1)), F.lit(1)))
+    return long.select("field", "record_key", F.lit("too_many_digits").alias("reason"), runs.alias("run"))
+
+
 def id_list(text: Column, min_digits: int = 6) -> Column:
     """The ordered ids of one text as an array, by pattern alone (no dictionary)."""
-    bare = F.regexp_replace(text, "(?<![0-9])([0-9]{1,3})[,.']([0-9]{3})(?![0-9])", "$1$2")
-    return F.filter(F.regexp_extract_all(bare, F.lit("([0-9]+)"), F.lit(1)), lambda t: F.length(t) >= min_digits)
+    # A separator between a number's first one to three digits, or whole groups of three, and a last run of whole groups.
+    bare = F.regexp_replace(text, "(?<=(?<![0-9])[0-9]{1,3}(?:[,.'][0-9]{3}){0,5})[,.'](?=[0-9]{3}(?![0-9]))", "")
+    return F.filter(F.regexp_extract_all(bare, F.lit("([0-9]+)"), F.lit(1)), lambda t: F.length(t).between(min_digits, MAX_DIGITS))
 
 
 def text_ids(texts: DataFrame, known: DataFrame, known_column: str, min_digits: int = 6) -> DataFrame:

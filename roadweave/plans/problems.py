@@ -71,14 +71,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_differences(spark, d).select("section_id", "diff", "field")
 
 
-def p2_all_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The same comparison over all rows, superseded and repeated ones included, so that keys repeat."""
+def _all_copies(spark: SparkSession, d: str) -> tuple[list[DataFrame], dict]:
+    """Every row of both copies, superseded and repeated ones included, and the fields to compare."""
     sides = []
     for name, role in (("station_review", "ROLE_PROPOSAL"), ("calibration_mapping", "ROLE")):
         t = table(spark, d, name)
         sides.append(t.select(section_number("SECTION_ID").alias("section_id"), *[F.col(role if f == "ROLE" else f).alias(f) for f in SECTION_FIELDS]))
-    fields = {f: (_comparable(f, f), _comparable(f, f)) for f in SECTION_FIELDS}
-    return diff.diff_copies(*_with_id_lists(spark, d, sides), "section_id", fields, ("review", "mapping")).groupBy("diff", "field").agg(F.sum("n").alias("n"))
+    return _with_id_lists(spark, d, sides), {f: (_comparable(f, f), _comparable(f, f)) for f in SECTION_FIELDS}
+
+
+def p2_all_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same comparison over all rows, superseded and repeated ones included, so that keys repeat."""
+    sides, fields = _all_copies(spark, d)
+    return diff.diff_copies(*sides, "section_id", fields, ("review", "mapping")).groupBy("diff", "field").agg(F.sum("n").alias("n"))
+
+
+def p2_pairing(spark: SparkSession, d: str) -> DataFrame:
+    """Over all rows: keys with a pair, pairs, their differing fields, and a number no pairing can go below."""
+    sides, fields = _all_copies(spark, d)
+    total = diff.pairing_total(diff.diff_copies(*sides, "section_id", fields, ("review", "mapping")), "section_id").withColumnRenamed("section_id", "_k")
+    both = diff.pairing_bound(*sides, "section_id", fields).join(total, F.col("section_id").eqNullSafe(F.col("_k")))
+    return both.agg(F.count(F.lit(1)).alias("keys"), F.sum("pairs").alias("pairs"), F.sum("differing").alias("differing"), F.sum("least").alias("least"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +138,7 @@ def p7_rejects(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy("source_file", "reject_reason", "broken_field").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_differences, p2_all_rows, p3_found, p5_found, p5_report, p6_found, p7_found, p7_rows, p7_rejects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_differences, p2_all_rows, p2_pairing, p3_found, p5_found, p5_report, p6_found, p7_found, p7_rows, p7_rejects)}
 
 _BARE = "regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 _SECTION = "try_cast(regexp_replace(regexp_replace(SECTION_ID, '^\\s+', ''), '(\\.0*)?\\s*$', '') as bigint)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -33,8 +34,10 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` as the cluster names it; only where it is unset (tests,
-    a laptop) a temporary folder is created and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` as the cluster names it; only where it is unset and the master
+    is local (tests, a laptop) a temporary folder is created and set as the checkpoint
+    folder.  On a cluster without that setting a RuntimeError says so: executors couldn't
+    read each other's machine-local files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -42,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="roadweave-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -52,14 +57,17 @@ class Scratch:
 
     Every table is a complete parquet copy in shared storage, so the loss of an executor
     never costs more than the stage that is running.  ``drop`` removes a table that no
-    later step reads; what a returned DataFrame still reads is kept.
+    later step reads; what a returned DataFrame still reads is kept until ``clear``, which
+    removes all tables of this object, or the end of the driver's Python process, which
+    clears every object left.  A table's path is kept on its DataFrame, so another frame
+    can't be mistaken for it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._next = 0
-        self._path: dict[int, str] = {}
+        _LIVE.add(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it read back, with no lineage but the files."""
@@ -74,17 +82,36 @@ class Scratch:
         watched = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
         watched.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._path[id(back)] = path
+        back._roadweave_path = path
         return back, seen.get
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables made by this object; others and None are ignored."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = self._path.pop(id(t), None) if t is not None else None
-            if path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            path = getattr(t, "_roadweave_path", None)
+            if path and path.startswith(self.root + "/"):
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables of this object; frames that read them can't be used any more."""
+        self._delete(self.root)
+        _LIVE.discard(self)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_LIVE: set[Scratch] = set()
+
+
+@atexit.register
+def _clear_all() -> None:
+    for s in list(_LIVE):
+        try:
+            s.clear()
+        except Exception:  # noqa: BLE001  the session may have ended before
+            _LIVE.discard(s)
 
 
 def latest_by(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
