@@ -1,9 +1,12 @@
 """Delimited text lines: separate the rows that fail to parse, with the reason.
 
-One anchored pattern per schema accepts whole valid rows inside the scan.  Only the
-lines it refuses are described further: a structural test for quoting and column count,
-and prefix patterns that grow by one field each and so name the first broken field.
-Everything is a JVM expression, so a load is one pass without a shuffle.
+One anchored pattern per schema accepts whole valid rows inside the scan.  A line it refuses
+goes through prefix patterns that grow by one field each: the first that fails names the
+broken field, and what follows the longest valid prefix decides the reason.  If the rest
+isn't a sequence of well-formed fields the quoting is broken, else if it doesn't complete the
+number of columns that is the reason, else the broken field's value.  Everything is a JVM
+expression, so a load is one pass without a shuffle; all patterns are possessive and so
+linear in the line.
 """
 
 from __future__ import annotations
@@ -14,9 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Marks from the private-use area: a quoted run, and what stands in for that mark in the input.
-_Q, _OTHER = "\ue000", "\ue001"
-
 
 @dataclass(frozen=True)
 class Field:
@@ -54,19 +54,15 @@ def prefix_patterns(fields: list[Field], sep: str = ";") -> list[str]:
     return ["\\A" + s.join(parts[:k]) + f"(?={s}|\\z)" for k in range(1, len(parts) + 1)]
 
 
-def _skeleton(line: Column) -> Column:
-    """The line with each "..." run replaced by one mark, so no separator inside quotes is left."""
-    return F.regexp_replace(F.translate(line, _Q, _OTHER), '"[^"]*+"', _Q)
+def formed_pattern(sep: str = ";") -> str:
+    """A field that is well formed whatever its value: quoted, with doubled quotes inside, or free of quotes."""
+    return f'[ \\t]*+(?:"(?:[^"]++|"")*+"[ \\t]*+|[^"{re.escape(sep)}]*+)'
 
 
-def _quoting_broken(skeleton: Column, sep: str) -> Column:
-    s = re.escape(sep)
-    return (
-        skeleton.contains('"')  # an unclosed quote
-        | skeleton.rlike(f"(?:\\A|{s})[ \\t]*+[^{s}{_Q} \\t][^{s}{_Q}]*+{_Q}")  # a quote after other text
-        | skeleton.rlike(f"{_Q}[ \\t]*+[^{s}{_Q} \\t]")  # text after the closing quote
-        | skeleton.rlike(f"{_Q}[ \\t]++{_Q}")  # a second quoted part after a blank
-    )
+def rest_pattern(sep: str = ";", count: int | None = None) -> str:
+    """Anchored pattern of ``count`` well-formed fields, or of any number."""
+    f, s = formed_pattern(sep), re.escape(sep)
+    return f"\\A{f}(?:{s}{f})" + ("*+" if count is None else f"{{{count - 1}}}+") + "\\z"
 
 
 def _bare(line: Column, index: int, sep: str) -> Column:
@@ -91,18 +87,26 @@ def parse_rows(df: DataFrame, line: str, fields: list[Field], sep: str = ";", pr
         raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
     text = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), "\\r\\z", "")
     valid = text.rlike(row_pattern(fields, sep))
-    skeleton = _skeleton(text)
-    count = F.length(skeleton) - F.length(F.replace(skeleton, F.lit(sep), F.lit(""))) + 1
-    reason = (
-        F.when(valid, None)
-        .when(_quoting_broken(skeleton, sep), "quoting")
-        .when(count != len(fields), "column_count")
-        .otherwise("invalid_value")
-    )
-    first_broken = F.lit(len(fields) + 1)
-    for k, p in reversed(list(enumerate(prefix_patterns(fields, sep), 1))):
-        first_broken = F.when(~text.rlike(p), F.lit(k)).otherwise(first_broken)
-    out = df.withColumns({"reject_reason": reason, "broken_field": F.when(~valid, first_broken)})
+    broken = reason = None
+    prefixes = prefix_patterns(fields, sep)
+    for k in range(len(fields), -1, -1):
+        # k fields hold: the rest begins after the k-th separator, or is empty after the last field.
+        rest = text if k == 0 else F.regexp_replace(text, prefixes[k - 1] + re.escape(sep), "")
+        if k == len(fields):  # what follows a whole row is one field too many, or broken
+            over = F.regexp_replace(text, prefixes[k - 1], "")
+            why = F.when(over.substr(F.lit(2), F.length(over)).rlike(rest_pattern(sep)), "column_count").otherwise("quoting")
+        else:
+            why = (
+                F.when(~rest.rlike(rest_pattern(sep)), "quoting")
+                .when(~rest.rlike(rest_pattern(sep, len(fields) - k)), "column_count")
+                .otherwise("invalid_value")
+            )
+            if k:  # a line that ends with its k-th field has no rest to judge
+                why = F.when(~text.rlike(prefixes[k - 1] + re.escape(sep)), "column_count").otherwise(why)
+        fails = F.lit(True) if k == len(fields) else ~text.rlike(prefixes[k])
+        broken = F.when(fails, F.lit(k + 1)) if broken is None else F.when(fails, F.lit(k + 1)).otherwise(broken)
+        reason = F.when(fails, why) if reason is None else F.when(fails, why).otherwise(reason)
+    out = df.withColumns({"reject_reason": F.when(~valid, reason), "broken_field": F.when(~valid, broken)})
     values = {}
     for i, (f, n) in enumerate(zip(fields, names)):
         bare = _bare(text, i, sep)

@@ -51,3 +51,61 @@ def test_empty_and_clash(spark):
     assert rj.parse_rows(df, "raw_line", rj.TRAVEL_MATRIX).count() == 0
     with pytest.raises(ValueError):
         rj.parse_rows(spark.createDataFrame([("a", 1)], "raw_line string, or_reg int"), "raw_line", rj.TRAVEL_MATRIX)
+
+
+def test_reasons_against_a_reader(spark):
+    """The reason of random lines against a field-by-field reader written out by hand."""
+    import random
+    import re
+
+    def reader(line):
+        line = line[:-1] if line.endswith("\r") else line
+        fields, i = [], 0
+        while True:
+            while i < len(line) and line[i] in " \t":
+                i += 1
+            if i < len(line) and line[i] == '"':
+                j, value = i + 1, ""
+                while True:
+                    if j >= len(line):
+                        return "quoting"
+                    if line[j] == '"':
+                        if line[j + 1 : j + 2] == '"':
+                            value, j = value + '"', j + 2
+                            continue
+                        break
+                    value, j = value + line[j], j + 1
+                j += 1
+                while j < len(line) and line[j] in " \t":
+                    j += 1
+                if j < len(line) and line[j] != ";":
+                    return "quoting"
+            else:
+                j = line.find(";", i)
+                j = len(line) if j < 0 else j
+                value = line[i:j].rstrip(" \t")
+                if '"' in value:
+                    return "quoting"
+            fields.append(value)
+            if j >= len(line):
+                break
+            i = j + 1
+        if len(fields) != 9:
+            return "column_count"
+        forms = [r"[0-9]{1,2}", r"[0-9]{1,3}", r"[0-9]{1,6}"] * 2 + [r"(?:[0-9]+,?[0-9]*|,[0-9]+)"] * 3
+        return None if all(re.fullmatch(p, f) for p, f in zip(forms, fields)) else "invalid_value"
+
+    rng = random.Random(5)
+    lines = []
+    for _ in range(4000):
+        line = list(GOOD)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(line) + 1)
+            if rng.random() < 0.7:
+                line.insert(at, rng.choice('";; ",x1"\t'))
+            elif line:
+                del line[min(at, len(line) - 1)]
+        lines.append("".join(line) + rng.choice(["", "", "\r", ";", '"']))
+    got, _ = reasons(spark, lines)
+    wrong = [(x, got[i][0], reader(x)) for i, x in enumerate(lines) if got[i][0] != reader(x)]
+    assert not wrong, wrong[:5]
