@@ -1,12 +1,18 @@
 """References to records that do not exist, kept incrementally.
 
-State is two tables in the shared folder.  The parent index holds per parent and key
-whether any row exists and the earliest load of a living one.  The waiting table holds the
-references that met no living parent in time.  An increment of new parent rows and new
-references extends the index, lets the new references probe it, lets waiting references of
-the touched keys be resolved by arrivals, and reopens resolved ones whose parent was
-deleted.  Each step joins per relation on the key; parents are pre-aggregated to one row a
-key, so a key that a third of all references name is split on the reference side by AQE.
+State is named and lies in a folder: per batch number one version of four tables.  The
+parent index holds one entry per parent row (key, load stamp) and whether it is withdrawn;
+the reference log holds every reference once it has arrived; the waiting table those that
+met no living parent in time; the snapshots the counts of waiting references after every
+batch.  ``advance`` takes one batch: new parent rows extend the index, new references
+probe it, waiting references of the touched keys are resolved by arrivals, withdrawals
+close entries and reopen the logged references of their keys.  A batch writes its version
+beside the old one and names it in a last small write, so a run that dies leaves the state
+before the batch, and the same batch can be given again.  A later run loads the state by its
+name.
+
+Parents are aggregated to one row a key before they are joined, so a key that a third of all
+references name is split on the reference side by AQE.
 """
 
 from __future__ import annotations
@@ -40,9 +46,15 @@ def as_ref(c: str | Column) -> Column:
 
 
 def parent_entries(df: DataFrame, key: str, loaded: str = "loaded_at", deleted: str = "deleted_at") -> DataFrame:
-    """One index entry per key: the first load of a row without a deletion stamp, or null."""
-    alive = F.when(F.col(deleted).isNull(), F.col(loaded)) if deleted in df.columns else F.col(loaded)
-    return df.where(F.col(key).isNotNull()).groupBy(as_ref(key).alias("ref_value")).agg(F.min(alive).alias("living_from"))
+    """Index entries, one per key and load stamp; withdrawn if every such row has a deletion stamp."""
+    gone = F.col(deleted).isNotNull() if deleted in df.columns else F.lit(False)
+    rows = df.where(F.col(key).isNotNull()).select(as_ref(key).alias("ref_value"), F.col(loaded).alias("loaded"), gone.alias("gone"))
+    return rows.groupBy("ref_value", "loaded").agg(F.min("gone").alias("gone"))
+
+
+def living(entries: DataFrame) -> DataFrame:
+    """(ref_value, living_from): per key the first load of an entry that isn't withdrawn, or null."""
+    return entries.groupBy("ref_value").agg(F.min(F.when(~F.col("gone"), F.col("loaded"))).alias("living_from"))
 
 
 def references(df: DataFrame, r: Relation) -> DataFrame:
@@ -70,54 +82,89 @@ def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 class OrphanState:
-    """Pending-orphan state of one relation, advanced by increments.
-
-    ``advance`` may get increments in any order and of any size: index entries are merged
-    by earliest living load, so the state after all of them is the same.  Rows delivered
-    twice change nothing.  With ``reopen`` the resolved references are kept too, and an
-    increment of withdrawals (``closes=True``: its keys end, whatever was loaded before)
-    puts the references of those keys back among the waiting.
+    """Pending-orphan state of one relation, advanced batch by batch.
+
+    ``path`` names the state: a folder in shared storage, made on the first batch and
+    loaded if it exists.  Without it the state lives in the scratch folder and ends with
+    the session.  Batches may have any size and order: the waiting references after all of
+    them are the same.  Rows delivered twice change nothing.  A withdrawal is a parent row
+    given again with its deletion stamp set; with ``closes`` all rows of the batch's keys
+    count as withdrawn, whatever their own stamps, and so do the entries loaded before.
     """
 
-    _COLUMNS = ("period", "child_key", "ref_value")
+    _REFS = ("period", "child_key", "ref_value")
+    _TABLES = ("index", "refs", "waiting", "snapshots")
+
+    def __init__(self, spark: SparkSession, relation: Relation, path: str | None = None, reopen: bool = True):
+        self.spark, self.relation, self.reopen = spark, relation, reopen
+        self.path = path.rstrip("/") if path else Scratch(spark, f"orphans-{relation.child}").root
+        self.batch = self._named_version()
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _named_version(self) -> int:
+        """The number of the last complete batch: the greatest folder that has its end mark."""
+        fs, at = self._fs(self.path)
+        done = [int(f.getPath().getName()[1:]) for f in fs.listStatus(at) if f.getPath().getName()[:1] == "v" and fs.exists(self._fs(f"{f.getPath()}/DONE")[1])] if fs.exists(at) else []
+        return max(done, default=0)
 
-    def __init__(self, spark: SparkSession, relation: Relation, reopen: bool = False):
-        self.relation, self.reopen = relation, reopen
-        self.scratch = Scratch(spark, f"orphans-{relation.child}")
-        self.index: DataFrame | None = None
-        self.refs: DataFrame | None = None
-        self.waiting: DataFrame | None = None
+    def table(self, name: str) -> DataFrame:
+        """A table of the state after the last batch: index, refs, waiting or snapshots."""
+        return self.spark.read.parquet(*[f"{self.path}/v{v}/{name}" for v in (range(1, self.batch + 1) if name in ("refs", "snapshots") else [self.batch])])
+
+    @property
+    def waiting(self) -> DataFrame:
+        return self.table("waiting")
 
     def advance(self, parents: DataFrame, children: DataFrame | None = None, closes: bool = False) -> DataFrame:
-        """Take in new parent rows and new references; return the waiting ones with their kind."""
-        r, old = self.relation, (self.index, self.refs, self.waiting)
-        new = self.scratch.cut(parent_entries(parents, r.parent_key, r.loaded, r.deleted).withColumn("closed", F.lit(closes)))
+        """Take in one batch of parent rows and references; return the waiting references with their kind."""
+        r, at = self.relation, f"{self.path}/v{self.batch + 1}"
+        keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{at}/{name}"), self.spark.read.schema(df.schema).parquet(f"{at}/{name}"))[1]
+        new = parent_entries(parents, r.parent_key, r.loaded, r.deleted)
+        new = new.withColumn("gone", F.lit(True)) if closes else new
         index = new
-        if old[0] is not None:
-            index = self.scratch.cut(old[0].unionByName(new).groupBy("ref_value").agg(F.when(~F.max("closed"), F.min("living_from")).alias("living_from"), F.max("closed").alias("closed")))
-        parts = []
-        if children is not None:  # new references probe the index
-            refs = references(children, r)
+        if self.batch:
+            old = self.table("index")
+            merged = old.unionByName(new).groupBy("ref_value", "loaded").agg(F.max("gone").alias("gone"))
+            if closes:
+                ended = new.select("ref_value").distinct().withColumn("_end", F.lit(True))
+                merged = merged.join(ended, "ref_value", "left").select("ref_value", "loaded", (F.col("gone") | F.coalesce("_end", F.lit(False))).alias("gone"))
+            index = merged
+        index = keep(index, "index")
+        alive = living(index)
+        source = references(children, r) if children is not None else self.spark.createDataFrame([], "period string, child_key string, ref_value string")
+        # The log is only for deletions that reopen; without them new references are probed as they come.
+        refs = keep(source, "refs") if self.reopen else source
+        parts = [probe(refs, alive)]
+        if self.batch:
+            # Only keys of this batch can resolve or reopen; a key's first living load may have changed either way.
+            touched = keep(new.select("ref_value", "gone"), "touched")
+            keys, shut = touched.select("ref_value").distinct(), touched.where("gone").select("ref_value").distinct()
+            before = self.table("waiting")
+            parts.append(before.join(keys, "ref_value", "left_anti"))
+            parts.append(probe(before.drop("kind").join(keys, "ref_value", "left_semi"), alive))
             if self.reopen:
-                self.refs = refs = self.scratch.cut(refs.distinct() if old[1] is None else refs.unionByName(old[1]).distinct())
-            parts.append(probe(refs, index))
-        if old[2] is not None:  # arrivals resolve waiting references, of the touched keys only
-            keys = new.select("ref_value")
-            parts.append(probe(old[2].drop("kind").join(keys, "ref_value", "left_semi"), index))
-            parts.append(old[2].join(keys, "ref_value", "left_anti"))
-        if closes and old[1] is not None:  # deletions reopen
-            parts.append(probe(old[1].join(new.select("ref_value"), "ref_value", "left_semi"), index))
-        if not parts:
-            parts.append(probe(references(parents.limit(0).select(*[F.lit(None).alias(c) for c in {*r.child_key, r.ref, r.loaded}]), r), index))
-        self.waiting = self.scratch.cut(reduce(DataFrame.unionByName, [p.select(*self._COLUMNS, "kind") for p in parts]).distinct())
-        self.index = index
-        self.scratch.drop(*[t for t, now in zip(old, (self.index, self.refs, self.waiting)) if t is not now], new if new is not index else None)
-        return self.waiting
+                parts.append(probe(self.table("refs").join(shut, "ref_value", "left_semi"), alive))
+        waiting = keep(reduce(DataFrame.unionByName, [p.select(*self._REFS, "kind") for p in parts]).distinct(), "waiting")
+        keep(waiting.groupBy("period", "kind").agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.lit(self.batch + 1)), "snapshots")
+        fs, mark = self._fs(f"{at}/DONE")
+        fs.create(mark, True).close()
+        self.batch += 1
+        if self.batch > 1:  # the last version's index and waiting are superseded; its log and snapshot stay
+            for name in ("index", "waiting", "touched"):
+                fs.delete(self._fs(f"{self.path}/v{self.batch - 1}/{name}")[1], True)
+        return waiting
 
     def counts(self) -> DataFrame:
-        """Snapshot: waiting references per period and kind."""
+        """Waiting references per period and kind."""
         return self.waiting.groupBy(F.lit(self.relation.child).alias("child_table"), "period", "kind").agg(F.count(F.lit(1)).alias("n"))
 
+    def snapshots(self) -> DataFrame:
+        """(child_table, batch, period, kind, n) after every batch."""
+        return self.table("snapshots").select(F.lit(self.relation.child).alias("child_table"), "batch", "period", "kind", "n")
+
 
 def load_cuts(tables: list[DataFrame], loaded: str, increments: int) -> list:
     """Load stamps that cut the tables' whole load range into equal spans."""
@@ -127,27 +174,44 @@ def load_cuts(tables: list[DataFrame], loaded: str, increments: int) -> list:
     return [ends[0] + (ends[1] - ends[0]) * k / increments for k in range(1, increments)]
 
 
-def orphan_cases(spark: SparkSession, tables: dict[str, DataFrame], relations: list[Relation], increments: int = 2) -> DataFrame:
-    """Distinct orphan references of several relations after all rows have arrived.
+def _span(at: Column, cuts: list, k: int) -> Column:
+    """Whether a stamp belongs to the k-th span; a null stamp belongs to the first."""
+    low = F.lit(True) if k == 0 else at > F.lit(cuts[k - 1])
+    return low if k == len(cuts) else ((at <= F.lit(cuts[k])) | at.isNull() if k == 0 else low & (at <= F.lit(cuts[k])))
+
 
-    The rows are taken in as ``increments`` spans of their load stamps (a null stamp belongs
-    to the first), each advancing the relation's state.  Relations are independent and run
-    side by side.
+def replay(spark: SparkSession, tables: dict[str, DataFrame], relations: list[Relation], increments: int = 2, path: str | None = None) -> list[OrphanState]:
+    """The states of several relations after all rows have arrived, batch by batch as they did.
+
+    A batch holds the rows loaded in its span and, once more with their deletion stamp, the
+    rows loaded earlier that were withdrawn in it; a row isn't known as withdrawn before
+    (the last batch takes in every deletion stamp).  Relations are independent and run side
+    by side.  ``path`` names the folder of the states; those in it are carried on.
     """
     cuts = load_cuts(list(tables.values()), relations[0].loaded, increments)
 
-    def run(r: Relation) -> DataFrame:
-        state, at = OrphanState(spark, r), F.col(r.loaded)
+    def run(r: Relation) -> OrphanState:
+        state, at = OrphanState(spark, r, f"{path}/{r.child}" if path else None), F.col(r.loaded)
         for k in range(len(cuts) + 1):
-            span = F.lit(True) if k == 0 else at > F.lit(cuts[k - 1])
-            if k < len(cuts):
-                span = (at <= F.lit(cuts[k])) | (at.isNull() if k == 0 else F.lit(False))
-                span = span if k == 0 else span & (at > F.lit(cuts[k - 1]))
-            state.advance(tables[r.parent].where(span), tables[r.child].where(span))
-        return state.waiting.select(F.lit(r.child).alias("child_table"), "period", "child_key", "ref_value", "kind")
+            parents = tables[r.parent]
+            batch = parents.where(_span(at, cuts, k))
+            if r.deleted in parents.columns:
+                if k < len(cuts):
+                    batch = batch.withColumn(r.deleted, F.when(F.col(r.deleted) <= F.lit(cuts[k]), F.col(r.deleted)))
+                if k:
+                    again = parents.where((at <= F.lit(cuts[k - 1])) | at.isNull()).where((F.col(r.deleted) > F.lit(cuts[k - 1])) & (F.lit(True) if k == len(cuts) else F.col(r.deleted) <= F.lit(cuts[k])))
+                    batch = batch.unionByName(again)
+            state.advance(batch, tables[r.child].where(_span(at, cuts, k)))
+        return state
 
     with ThreadPoolExecutor(len(relations)) as pool:
-        return reduce(DataFrame.unionAll, pool.map(run, relations))
+        return list(pool.map(run, relations))
+
+
+def orphan_cases(spark: SparkSession, tables: dict[str, DataFrame], relations: list[Relation], increments: int = 2, path: str | None = None) -> DataFrame:
+    """Distinct orphan references of several relations after all rows have arrived."""
+    states = replay(spark, tables, relations, increments, path)
+    return reduce(DataFrame.unionAll, [s.waiting.select(F.lit(s.relation.child).alias("child_table"), "period", "child_key", "ref_value", "kind") for s in states])
 
 
 #: The references of the road network and their parents.

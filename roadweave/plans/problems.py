@@ -99,9 +99,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_pairs(stations, table(spark, d, "nodes"), "section_id", "node_id", ("LAT", "LON"), ("lat", "lon"), STATION_RADIUS_M)
 
 
+def _network(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {n: table(spark, d, n) for n in ("restriction_sequence_edges", "way_nodes", "directed_edges", "prefix_states", "nodes", "segments")}
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    tables = {n: table(spark, d, n) for n in ("restriction_sequence_edges", "way_nodes", "directed_edges", "prefix_states", "nodes", "segments")}
-    return orphans.orphan_cases(spark, tables, orphans.NETWORK_RELATIONS)
+    return orphans.orphan_cases(spark, _network(spark, d), orphans.NETWORK_RELATIONS)
+
+
+def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Waiting references per table, month and kind after each of three batches."""
+    return reduce(DataFrame.unionAll, [s.snapshots() for s in orphans.replay(spark, _network(spark, d), orphans.NETWORK_RELATIONS, increments=3)])
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +146,7 @@ def p7_rejects(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy("source_file", "reject_reason", "broken_field").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_differences, p2_all_rows, p2_pairing, p3_found, p5_found, p5_report, p6_found, p7_found, p7_rows, p7_rejects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_differences, p2_all_rows, p2_pairing, p3_found, p5_found, p5_report, p5_snapshots, p6_found, p7_found, p7_rows, p7_rejects)}
 
 _BARE = "regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 _SECTION = "try_cast(regexp_replace(regexp_replace(SECTION_ID, '^\\s+', ''), '(\\.0*)?\\s*$', '') as bigint)"

@@ -42,3 +42,20 @@ def test_empty(spark):
     assert rows(op.orphan_cases(spark, {"parent": p, "child": c.limit(0)}, [REL])) == set()
     none = op.orphan_cases(spark, {"parent": p.limit(0), "child": c}, [REL])
     assert {k for *_, k in rows(none)} == {"missing"}
+
+
+def test_state_is_named_and_carried_on(spark, tmp_path):
+    """A second object takes up the state by its name; a row withdrawn later reopens its references, a sibling keeps others closed."""
+    schema = "key string, loaded_at timestamp, deleted_at timestamp"
+    kids = spark.createDataFrame([(1, 0, "a", T(2)), (2, 0, "b", T(2)), (3, 0, "c", T(2))], "id int, n int, ref string, loaded_at timestamp")
+    first = op.OrphanState(spark, REL, f"file://{tmp_path}/state")
+    first.advance(spark.createDataFrame([("a", T(1), None), ("b", T(1), None), ("b", T(1, 9), None)], schema), kids)
+    assert rows(first.waiting) == {("2024-02", "3:0", "c", "missing")}
+    later = op.OrphanState(spark, REL, f"file://{tmp_path}/state")
+    assert later.batch == 1
+    later.advance(spark.createDataFrame([("a", T(1), T(3)), ("b", T(1), T(3)), ("c", T(2, 20), None)], schema))
+    assert rows(later.waiting) == {("2024-02", "1:0", "a", "deleted")}
+    third = op.OrphanState(spark, REL, f"file://{tmp_path}/state")
+    third.advance(spark.createDataFrame([("a", T(5), None)], schema), kids)  # repeated references change nothing
+    assert rows(third.waiting) == {("2024-02", "1:0", "a", "late")}
+    assert sorted((r["batch"], r["kind"], r["n"]) for r in third.snapshots().collect()) == [(1, "missing", 1), (2, "deleted", 1), (3, "late", 1)]
