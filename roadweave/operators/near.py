@@ -6,6 +6,9 @@ date line.  Both sets are summarised bottom-up into tree nodes (cell, tight boun
 count).  Pairs of tree nodes are then compared level by level: boxes too far apart are
 discarded, boxes wholly within reach are accepted with all their points, the rest is
 refined to the children.  Only uncertain leaf pairs compute distances.
+
+Regions take part as trees of their own: a region's box is covered with few cells of the
+power-of-two side that fits it, so small regions get small cells beside large ones.
 """
 
 from __future__ import annotations
@@ -15,12 +18,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.runtime import Scratch
+
 #: Radius of the sphere in metres.
 EARTH_RADIUS_M = 6_371_008.8
 #: Cell sides as multiples of the search radius, coarse to fine.
 LEVELS = (64, 8, 1)
-#: A leaf cell with more than this fraction of a side's points is split into parts.
-HOT_FRACTION = 1 / 500
+#: A cell with more than this fraction of a side's points (there can't be more than 1 / HOT_FRACTION) is split into parts.
+HOT_FRACTION = 1 / 2000
+#: Points in a part of a hot cell, and the least size that counts as hot.
+PART_POINTS = 5_000
 _AXES = ("x", "y", "z")
 
 
@@ -81,7 +88,9 @@ def near_pairs(
 
     reach = min(radius_m / (2 * EARTH_RADIUS_M), pi / 2)
     chord, step = 2 * EARTH_RADIUS_M * sin(reach), max(radius_m, 1e-3)
-    a, b = _placed(left, left_id, *left_at, step), _placed(right, right_id, *right_at, step)
+    scratch = Scratch(left.sparkSession, "near")
+    # Written once: every level and the last join read these points.
+    a, b = scratch.cut(_placed(left, left_id, *left_at, step)), scratch.cut(_placed(right, right_id, *right_at, step))
 
     # Top level: cells are at least a radius wide, so partners are among the 27 neighbours.
     top = LEVELS[0]
@@ -107,46 +116,64 @@ def near_pairs(
     return reduce(DataFrame.unionAll, outs).distinct().toDF(left_id, right_id)
 
 
+def _parts(points: DataFrame, cell: str, name: str) -> DataFrame:
+    """(hot, parts) of the cells with more than HOT_FRACTION of the points, broadcast."""
+    sizes = points.groupBy(F.col(cell).alias("hot")).agg(F.count(F.lit(1)).alias("n"))
+    total = points.agg(F.count(F.lit(1)).alias("all"))
+    hot = sizes.join(F.broadcast(total)).where(F.col("n") > F.greatest(F.col("all") * HOT_FRACTION, F.lit(PART_POINTS)))
+    return F.broadcast(hot.select(F.col("hot").alias(f"hot_{name}"), F.ceil(F.col("n") / PART_POINTS).alias(f"parts_{name}")))
+
+
 def _points_of(a: DataFrame, b: DataFrame, level: int, pairs: DataFrame, radius_m: float | None) -> DataFrame:
     """Point pairs of node pairs; with a radius only those that hold it.
 
-    Cells with more than HOT_FRACTION of the right points, of which there can't be more
-    than 1 / HOT_FRACTION, are cut into parts so that no task gets a whole hot cell.
+    Hot cells of either side are cut into parts of PART_POINTS, and their node pairs into all
+    pairs of parts, so no task gets a whole hot cell.
     """
-    cell = f"c{level}"
-    sizes = b.groupBy(F.col(cell).alias("hot")).agg(F.count(F.lit(1)).alias("n"))
-    total = b.agg(F.count(F.lit(1)).alias("all"))
-    hot = F.broadcast(sizes.join(F.broadcast(total)).where(F.col("n") > F.greatest(F.col("all") * HOT_FRACTION, F.lit(10_000))).select("hot", F.ceil(F.col("n") / F.greatest(F.col("all") * HOT_FRACTION, F.lit(10_000))).cast("int").alias("parts")))
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    right = b.join(hot, F.col(cell) == F.col("hot"), "left").select(
-        F.col(cell).alias("cb"), F.pmod(F.xxhash64("_id"), parts.cast("bigint")).alias("part"), F.struct("_id", "_lat", "_lon").alias("pb")
-    )
-    split = pairs.join(hot, F.col("cb") == F.col("hot"), "left").select("ca", "cb", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)).alias("part"))
-    left = a.select(F.col(cell).alias("ca"), F.struct("_id", "_lat", "_lon").alias("pa"))
-    out = split.join(left, "ca").join(right, ["cb", "part"])
+    cell, sides, split = f"c{level}", [], pairs
+    for name, points in (("a", a), ("b", b)):
+        hot = _parts(points, cell, name)
+        parts = F.coalesce(F.col(f"parts_{name}"), F.lit(1).cast("bigint"))
+        sides.append(points.join(hot, F.col(cell) == F.col(f"hot_{name}"), "left").select(
+            F.col(cell).alias(f"c{name}"), F.pmod(F.xxhash64("_id", "_lat", "_lon"), parts).alias(f"part_{name}"), F.struct("_id", "_lat", "_lon").alias(f"p{name}")
+        ))
+        split = split.join(hot, F.col(f"c{name}") == F.col(f"hot_{name}"), "left").withColumn(f"part_{name}", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop(f"hot_{name}", f"parts_{name}")
+    out = split.join(sides[0], ["ca", "part_a"]).join(sides[1], ["cb", "part_b"])
     if radius_m is not None:
         out = out.where(haversine(F.col("pa._lat"), F.col("pa._lon"), F.col("pb._lat"), F.col("pb._lon")) <= radius_m)
     return out.select("pa._id", F.col("pb._id").alias("_id2"))
 
 
-def in_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, x: str, y: str, ring: str, buffer: float = 0.0, cells: int = 64) -> DataFrame:
+def in_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, x: str, y: str, ring: str, buffer: float = 0.0, cells: int = 8) -> DataFrame:
     """(point, region) pairs where the point lies in the region's ring or within ``buffer`` of it.
 
-    ``ring`` is an array of structs (x, y), closed or not; planar coordinates.  The ring's
-    box, widened by the buffer, is covered with at most ``cells`` x ``cells`` grid cells that
-    are joined by equality with the points' cells; then even-odd ray casting and the
-    distance to each side decide.  Null coordinates and rings of fewer than three points
-    match nothing.
+    ``ring`` is an array of structs (x, y), closed or not; planar coordinates.  A region's
+    box, widened by the buffer, is covered with at most (``cells`` + 1) squared cells whose
+    side is a power of two, so regions of any sizes lie side by side.  Points look only at
+    levels that a region has.  Tree nodes of the points (bounding box per cell) are compared
+    with the region's box first; those outside are discarded, the rest is refined to points,
+    for which even-odd ray casting and the distance to each side decide.  Null coordinates
+    and rings of fewer than three points match nothing; a ring with a null corner neither.
     """
-    r = regions.where(F.size(ring) >= 3).select(F.col(region_id), F.col(ring).alias("_ring"))
+    bad = F.exists(ring, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull())
+    r = regions.where((F.size(ring) >= 3) & ~F.coalesce(bad, F.lit(True)) & F.col(region_id).isNotNull()).select(F.col(region_id), F.col(ring).alias("_ring"))
     xs, ys = F.transform("_ring", lambda p: p["x"]), F.transform("_ring", lambda p: p["y"])
     r = r.withColumns({"_x0": F.array_min(xs) - buffer, "_x1": F.array_max(xs) + buffer, "_y0": F.array_min(ys) - buffer, "_y1": F.array_max(ys) + buffer})
-    # One grid for all regions: the side fits the largest region to at most cells x cells.
-    side = r.agg(F.greatest(F.max(F.col("_x1") - F.col("_x0")), F.max(F.col("_y1") - F.col("_y0"))).alias("_s")).select((F.greatest(F.col("_s"), F.lit(1e-9)) / cells).alias("_s"))
-    cell = lambda c: F.floor(c / F.col("_s"))
-    cover = r.join(F.broadcast(side)).withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0")), cell(F.col("_x1"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0")), cell(F.col("_y1")))))
-    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(point_id), F.col(x).alias("_px"), F.col(y).alias("_py")).join(F.broadcast(side))
-    p = p.select(point_id, "_px", "_py", cell(F.col("_px")).alias("_cx"), cell(F.col("_py")).alias("_cy"))
+    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-6))
+    r = r.withColumn("_level", F.ceil(F.log2(extent / cells)).cast("int"))
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    cell = lambda c: F.floor(c / side)
+    cover = r.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0")), cell(F.col("_x1"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0")), cell(F.col("_y1")))))
+    scratch = Scratch(points.sparkSession, "regions")
+    # The levels in use: at most one for each power of two of a double, in one row.
+    levels = r.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))
+    usable = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    p = points.where(usable & F.col(point_id).isNotNull()).select(F.col(point_id), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
+    p = p.join(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).select(point_id, "_px", "_py", "_level", cell(F.col("_px")).alias("_cx"), cell(F.col("_py")).alias("_cy"))
+    p = scratch.cut(p)
+    at = ["_level", "_cx", "_cy"]
+    boxes = p.groupBy(*at).agg(F.min("_px").alias("_nx0"), F.max("_px").alias("_nx1"), F.min("_py").alias("_ny0"), F.max("_py").alias("_ny1"))
+    met = cover.join(boxes, at).where("_nx0 <= _x1 and _nx1 >= _x0 and _ny0 <= _y1 and _ny1 >= _y0").select(region_id, "_ring", *at)
     sides = F.arrays_zip(F.col("_ring").alias("p"), F.concat(F.slice("_ring", 2, F.size("_ring")), F.slice("_ring", 1, 1)).alias("q"))
     px, py = F.col("_px"), F.col("_py")
 
@@ -162,5 +189,5 @@ def in_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id:
         return _square([px - (x0 + t * dx), py - (y0 + t * dy)]) <= buffer * buffer
 
     inside = F.size(F.filter(sides, lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
-    hit = cover.join(p, ["_cx", "_cy"]).where(inside | F.exists(sides, close))
+    hit = met.join(p, at).where(inside | F.exists(sides, close))
     return hit.select(point_id, region_id).distinct()

@@ -99,6 +99,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_pairs(stations, table(spark, d, "nodes"), "section_id", "node_id", ("LAT", "LON"), ("lat", "lon"), STATION_RADIUS_M)
 
 
+#: How far outside a region's ring a point still belongs to it.
+REGION_BUFFER_M = 2.0
+
+
+def zone_rings(spark: SparkSession, d: str) -> DataFrame:
+    """A ring for every municipality: the diamond in the box of its access candidates."""
+    t = table(spark, d, "access_candidates").where("PRO_COM is not null and x is not null and y is not null and not isnan(x) and not isnan(y)")
+    b = t.groupBy("PRO_COM").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return b.select(F.col("PRO_COM").alias("pro_com"), F.array(corner(F.col("x0"), cy), corner(cx, F.col("y0")), corner(F.col("x1"), cy), corner(cx, F.col("y1"))).alias("ring"))
+
+
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with the municipalities whose ring holds it or is at most two metres away."""
+    n = table(spark, d, "nodes").groupBy("node_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return near.in_regions(n, zone_rings(spark, d), "node_id", "pro_com", "x", "y", "ring", REGION_BUFFER_M)
+
+
 def _network(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {n: table(spark, d, n) for n in ("restriction_sequence_edges", "way_nodes", "directed_edges", "prefix_states", "nodes", "segments")}
 
@@ -146,7 +165,7 @@ def p7_rejects(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy("source_file", "reject_reason", "broken_field").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_differences, p2_all_rows, p2_pairing, p3_found, p5_found, p5_report, p5_snapshots, p6_found, p7_found, p7_rows, p7_rejects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_differences, p2_all_rows, p2_pairing, p3_found, p3_regions, p5_found, p5_report, p5_snapshots, p6_found, p7_found, p7_rows, p7_rejects)}
 
 _BARE = "regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 _SECTION = "try_cast(regexp_replace(regexp_replace(SECTION_ID, '^\\s+', ''), '(\\.0*)?\\s*$', '') as bigint)"
@@ -212,6 +231,13 @@ ORACLE = {
     "p2_differences": f"select *, cast(1 as bigint) as n from ({_DIFFS})",
     "p3_found": f"""select distinct {_SECTION} as section_id, node_id from stations s join nodes n on
       2 * {near.EARTH_RADIUS_M} * asin(least(1.0, sqrt(power(sin(radians(n.lat - s.LAT) / 2), 2) + cos(radians(s.LAT)) * cos(radians(n.lat)) * power(sin(radians(n.lon - s.LON) / 2), 2)))) <= {STATION_RADIUS_M}""",
+    "p3_regions": f"""with b as (select PRO_COM, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from access_candidates where PRO_COM is not null and x is not null and y is not null and not isnan(x) and not isnan(y) group by 1),
+      r as (select PRO_COM, x0, x1, y0, y1, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy from b), n as (select node_id, max(x) as x, max(y) as y from nodes where node_id is not null group by 1),
+      e as (select PRO_COM, unnest([[x0, cy, cx, y0], [cx, y0, x1, cy], [x1, cy, cx, y1], [cx, y1, x0, cy]]) as e from r),
+      s as (select PRO_COM, e[1] as ax, e[2] as ay, e[3] - e[1] as dx, e[4] - e[2] as dy from e)
+      select node_id, PRO_COM as pro_com from n join r on x between x0 - {REGION_BUFFER_M} and x1 + {REGION_BUFFER_M} and y between y0 - {REGION_BUFFER_M} and y1 + {REGION_BUFFER_M}
+      where (x1 > x0 and y1 > y0 and abs(x - cx) / ((x1 - x0) / 2) + abs(y - cy) / ((y1 - y0) / 2) < 1) or exists (select 1 from s where s.PRO_COM = r.PRO_COM and
+        sqrt(power(x - ax - dx * greatest(0, least(1, coalesce(((x - ax) * dx + (y - ay) * dy) / nullif(dx * dx + dy * dy, 0), 0))), 2) + power(y - ay - dy * greatest(0, least(1, coalesce(((x - ax) * dx + (y - ay) * dy) / nullif(dx * dx + dy * dy, 0), 0))), 2)) <= {REGION_BUFFER_M})""",
     "p5_found": _ORPHANS,
     "p5_report": f"select child_table, period, kind, count(*) as n from ({_ORPHANS}) group by all",
     "p6_found": " union all ".join(
