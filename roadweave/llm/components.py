@@ -22,8 +22,6 @@ its links, so the result is exact at any size and the loop ends on every graph.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 from roadweave.runtime import Scratch, ship
 
 #: Links up to which the one-way remainder is finished in one task.
-FINISH_ARCS = 400_000
+FINISH_ARCS = 20_000
 
 
 def _collapse(pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -41,15 +39,7 @@ def _collapse(pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
     owned = edges
     while n["rows"]:
         both = owned.select(F.col("a").alias("x"), F.col("b").alias("p")).unionAll(owned.select(F.col("b"), F.col("a")))
-        picks = both.groupBy("x").agg(F.min("p").alias("p"))
-        pointers = scratch.cut(_jump(picks, F.when(F.col("pp") == F.col("x"), F.least("x", "p")).otherwise(F.col("p"))))
-        moved = 1
-        while moved:  # two doublings a pass, until the second one moves nothing
-            twice = _jump(_jump(pointers, F.col("pp")), F.col("pp"), keep=True)
-            nxt, seen = scratch.cut_with(twice, moved=F.sum((F.col("p") != F.col("was")).cast("int")))
-            scratch.drop(pointers)
-            pointers, moved = nxt, seen["moved"]
-        label = pointers.select("x", F.col("p").alias("label"))
+        label = _roots(_broken(both.groupBy("x").agg(F.min("p").alias("p"))), scratch)
         maps.append(label)
         to = lambda end: label.select(F.col("x").alias(end), F.col("label").alias(f"l{end}"))
         moved_edges = owned.join(to("a"), "a").join(to("b"), "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
@@ -69,10 +59,33 @@ def _collapse(pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
     return done
 
 
-def _jump(pointers: DataFrame, new, keep: bool = False) -> DataFrame:
-    """Each node's pointer after looking at the pointer of its pointer."""
-    there = pointers.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-    return pointers.select("x", "p").join(there, "p").select("x", new.alias("p"), *([F.col("p").alias("was")] if keep else []))
+def _broken(picks: DataFrame) -> DataFrame:
+    """The picks with each two-cycle broken: its smaller end points at itself and is a root."""
+    there = picks.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+    return picks.join(there, "p").select("x", F.when(F.col("pp") == F.col("x"), F.least("x", "p")).otherwise(F.col("p")).alias("p"))
+
+
+def _roots(pointers: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, label): every node's root, by pointer jumps of the nodes that haven't met theirs.
+
+    Each pass follows three pointers.  A node that meets a root is final and takes part in
+    no later pass but as a pointer of others, so a root that nearly all nodes point at is
+    no join key again.
+    """
+    label = scratch.cut(pointers.select("x", F.col("p").alias("label"), (F.col("x") != F.col("p")).alias("open")))
+    moved = 1
+    while moved:
+        there = label.where("x <> label").select(F.col("x").alias("p"), F.col("label").alias("pp"))
+        first = label.where("open").select("x", F.col("label").alias("p")).join(there, "p", "left")
+        # A node whose parent is a root needs no second look: its key is spread, and no match counts.
+        second = first.withColumn("k", F.coalesce("pp", -F.pmod(F.xxhash64("x"), F.lit(1 << 20))))
+        far = there.select(F.col("p").alias("k"), F.col("pp").alias("ppp"))
+        ppp = F.when(F.col("pp").isNotNull(), F.col("ppp"))
+        jumped = second.join(far, "k", "left").select("x", F.coalesce(ppp, "pp", "p").alias("label"), ppp.isNotNull().alias("open"))
+        nxt, seen = scratch.cut_with(label.where("not open").unionByName(jumped), moved=F.sum(F.col("open").cast("int")))
+        scratch.drop(label)
+        label, moved = nxt, seen["moved"]
+    return label.select("x", "label")
 
 
 def _tarjan(src: list[int], dst: list[int]) -> dict[int, int]:
@@ -106,9 +119,9 @@ def _tarjan(src: list[int], dst: list[int]) -> dict[int, int]:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[x])
                 if low[x] == order[x]:
-                    at = stack.index(x) if len(stack) < 8 else len(stack) - 1 - stack[::-1].index(x)
-                    members = stack[at:]
-                    del stack[at:]
+                    members = [stack.pop()]
+                    while members[-1] != x:
+                        members.append(stack.pop())
                     on.difference_update(members)
                     if len(members) > 1:
                         found.update(dict.fromkeys(members, min(members)))
