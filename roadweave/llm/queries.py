@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadweave.llm.components import components
 from roadweave.llm.mixing import mix
-from roadweave.llm.packing import container_report, pack
+from roadweave.llm.packing import pack, report
 from roadweave.llm.pii import find_personal, redact
 from roadweave.llm.topn import latest_top_n
 from roadweave.sources.tables import table
@@ -30,7 +30,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return container_report(p8_containers(spark, d), CAPACITY)
+    return report(table(spark, d, "documents"), "doc_id", "text", CAPACITY)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:

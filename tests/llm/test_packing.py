@@ -83,3 +83,41 @@ def test_mix_refuses(spark):
         mixing.mix(docs, t(("x", 0.5, 1)), "doc", "text", "source")
     with pytest.raises(ValueError):
         mixing.mix(docs, t(("x", 0.5, 1), ("y", 0.5, 1)), "doc", "text", "source")
+
+
+def least_number(items, capacity):
+    """Fewest containers, by dynamic programming over all subsets."""
+    best = [None] * (1 << len(items))
+    best[0] = (1, 0)
+    for m, state in enumerate(best):
+        for i, s in enumerate(items):
+            if not m >> i & 1:
+                one = (state[0], state[1] + s) if state[1] + s <= capacity else (state[0] + 1, s)
+                if best[m | 1 << i] is None or one < best[m | 1 << i]:
+                    best[m | 1 << i] = one
+    return best[-1][0]
+
+
+def test_small_cases_are_least():
+    rng = random.Random(12)
+    cases = [([18, 15, 13, 13, 8, 7, 7, 5, 4], 30)]
+    for _ in range(3000):
+        cap = rng.randint(8, 40)
+        cases.append(([rng.randint(rng.choice([1, cap // 6 + 1]), rng.choice([cap // 2, cap])) for _ in range(rng.randint(1, 8))], cap))
+    for items, cap in cases:
+        counts = {s: items.count(s) for s in items}
+        p = packing.plan(counts, cap)
+        assert p.containers == least_number(items, cap) and p.proven and p.bound <= p.containers, (items, cap)
+        used: dict = {}
+        for times, filling in p.fillings:
+            assert sum(s * k for s, k in filling) <= cap
+            for s, k in filling:
+                used[s] = used.get(s, 0) + times * k
+        assert used == counts
+
+
+def test_report_states_the_gap(spark):
+    rows = [(i, "word " * 40, "a", 0) for i in range(5)]
+    r = packing.report(texts(spark, rows), "doc", "text", 64).first()
+    assert (r["containers"], r["bound"], r["gap"], r["proven"]) == (5, 5, 0, True)
+    assert packing.plan({40: 5, 23: 3}, 64, budget=1).containers == 5
