@@ -64,3 +64,35 @@ FILE_ENDINGS = "gpkg csv json geojson parquet sqlite db shp dbf tif tiff png jpg
 
 #: Words before a document number that admit its rarer forms.
 ID_CUES = "documento|document|ausweis|id|carta|patente|licence|license|c.f.|cod. fisc.|codice fiscale|tax code|emšo|passaporto|passport".split("|")
+
+#: Words and phrases after which a person is named, in lower case; the name follows after blanks, a colon or a comma.
+PERSON_CUES = """
+chiede di|chiedere di|chieda di|chiesto di|chiede|parlato con|parlare con|incontrato|contattare|contatto|contatto di reperibilità|referente|responsabile|richiedente|rilevatore|rilevatrice|operatore|operatrice
+firmato|firma|da parte di|a nome di|nome e cognome|nome|nominativo|gentile|caro|cara|egregio|egregia|cordiali saluti|distinti saluti|saluti|presenti|presente|compilato da|redatto da|inviato da|scritto da
+segnalato da|segnalata da|seguita da|seguito da|segnalazione arriva da|firmato da|a cura di|sottoscritto|sottoscritta|mi chiamo|dichiaro che|guidato il furgone|le schede a
+ask for|asked for|contact|contact on site|spoke with|spoke to|speak to|met with|met|signed|signed by|reported by|led by|written by|submitted by|sent by|by|dear|best regards|kind regards|regards|sincerely|yours|my name is|name|full name|on behalf of|attn|attention|agreed with
+ansprechpartner|ansprechpartner vor ort|ansprechpartnerin|kontakt|gez.|grüßen|gruß|lieber|liebe|geehrter|geehrte|ich heiße|mein name ist|verfasst von|gemeldet von|stammt von|unterschrift|gehen an|vor- und nachname
+spoštovani|spoštovana|lep pozdrav|pozdrav|oseba|kontaktna oseba|odgovorna oseba|podpisan|podpisana|podpis|ime|ime in priimek|pripravil|pripravila|prijavil|prijavila
+""".replace("\n", "|").strip("|").split("|")
+#: What stands right after a person's name, in lower case, from the first character after it.
+PERSON_TAILS = "|".join([
+    r"\s*[(,;]?\s*(?:tel|cell|cellulare|telefono|phone|mobile|telefon|gsm|handy|e-?mail|mail)\b", r",?\s+(?:nato|nata|residente|abitante|born|geboren|wohnhaft|rojen|rojena|stanujoč|stanujoča)\b",
+])
+
+#: Family names that anchor a name beside a word of name's shape (common ones of several countries).
+FAMILY_NAMES = """
+Rossi Russo Ferrari Esposito Bianchi Romano Colombo Ricci Marino Greco Bruno Gallo Conti Costa Giordano Mancini Rizzo Lombardi Moretti Barbieri Fontana Santoro Mariani Rinaldi Caruso Ferrara Galli Martini Leone Longo Gentile Martinelli Vitale
+Smith Jones Williams Brown Taylor Davies Wilson Evans Johnson Roberts Walker Wright Robinson Thompson Hughes Edwards Hall Green Clarke Jackson Harris Murphy Kelly Sullivan Walsh Byrne Ryan Miller Davis Anderson Campbell Stewart
+Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Schäfer Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Braun Krüger Hofmann Lange Gruber Huber Steiner Moser Pichler
+Novak Horvat Kovačič Krajnc Zupančič Potočnik Kovač Mlakar Kos Vidmar Golob Turk Božič Kralj Hribar Petrović Jovanović Nikolić Kowalski Nowak Nagy Kovács Popescu Ivanov Petrov
+García Martínez López Sánchez Pérez González Rodríguez Fernández Silva Santos Ferreira Pereira Oliveira Dubois Dupont Moreau Laurent Lefebvre Jansen Hansen Johansson Andersson Nielsen
+Hassan Ahmed Khan Singh Kumar Patel Sharma Nguyen Tran Chen Wang Zhang Kim Hussain Ibrahim Mohamed Diallo Traoré
+""".split()
+
+#: Capitalised words of places, bodies and headings that a name's shape must not take for a person.
+NO_PERSONS = """
+Agenzia Allegato Amt April Aprile August Autonoma Azienda Bezirk Borgo Bridge Bürger Calle Capoluogo Casa Castel Castello Centro Chapel Church Città City Colle Committee Comune Council County Dezember Department Direzione Dipartimento Est Februar
+Friuli Gemeinde Giulia Gruppo Istituto Italia Januar Juli Juni Junction Kreis Land Lower März Mai Marzo Ministero Ministrstvo Monte Montag Mittwoch New Nord North November Občina Office Oktober Old Ovest Paese Park Planning Ponte Porta Posta Programma
+Project Provincia Regione Repubblica Republic Rio River Road Roads Saint San Sankt Santa Santo School Scuola September Servizio Settore South Stadt Station Stato Stazione Steering Sud Sveti Team Teil Torre Town Traffic Transport Uffici Ufficio Unione University Upper
+Nuova Nuovo Vecchia Vecchio Alta Alto Bassa Basso Superiore Inferiore Maggiore Minore Urad Val Valle Venezia Verkehr Villa Village West Zona Zone Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March June July October December Sir Madam Damen Herren Signori Sirs Team All Gospe Gospodje Staff Clienti Cittadini
+""".split()

@@ -1,11 +1,16 @@
 """Personal information in free text: find it and put typed placeholders in its place.
 
 Anchor expansion.  One Aho-Corasick automaton over the text in lower case finds at-signs in
-all their disguises, titles, given names, street words and dialling schemes; runs of digits
-are the anchors of numbers.  From each anchor a deterministic local parser expands to the
-left and right, checks the candidate (host names, digits per country, the structure of tax
-codes and personal numbers, house numbers) and fixes its boundaries.  Where
-parsers overlap, mail wins over document numbers, phones, addresses and names.
+all their disguises, titles, given and family names, words after which a person is named,
+street words, dialling schemes, digits and the dots of initials.  From each anchor a
+deterministic local parser expands to the left and right, checks the candidate (host names,
+digits per country code, the structure of tax codes and personal numbers, house numbers,
+the shape of names) and fixes its boundaries.  Where parsers overlap, mail wins over
+document numbers, phones, addresses and names.
+
+A name needs no entry in a list: two or three words of a name's shape are one after a
+person's cue (a salutation, a greeting at the end, "ask for", "firma:"), before a person's
+tail (", tel.", ", nato"), or where one of them is a common given or family name.
 """
 
 from __future__ import annotations
@@ -43,6 +48,13 @@ def _anchors():
         words.setdefault(lower(w), set()).add("given")
         if "ß" in w:
             words.setdefault(lower(w).replace("ß", "ss"), set()).add("given")
+    for w in lex.FAMILY_NAMES:
+        words.setdefault(lower(w), set()).add("family")
+    for w in lex.PERSON_CUES:
+        words.setdefault(w, set()).add("cue")
+    for w in (*"0123456789", "+", "(0"):
+        words.setdefault(w, set()).add("number")
+    words.setdefault(".", set()).add("dot")
     for w in lex.TITLES:
         words.setdefault(w, set()).add("title")
     for w in ("dott.ssa", "prof.ssa", "sig.ra"):
@@ -100,20 +112,41 @@ def _mail(text: str, start: int, end: int, word: bool) -> tuple[int, int] | None
 # Numbers
 
 _SEP = rf"(?:{_BLANK}{{1,2}}|{_BLANK}?[-/.]{_BLANK}?)"
+#: Country codes of one digit and of two; every other one has three (fixed values).
+_ONE, _TWO = ("1", "7"), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Digits after the country code (and without a bracketed zero), least and most, where they are known more closely.
+_COUNTRY = {"39": (9, 11), "43": (7, 13), "44": (9, 10), "49": (7, 13), "41": (9, 9), "33": (9, 9), "385": (8, 9), "386": (8, 8), "1": (10, 10)}
 _PHONES = [
     # The country code with the trunk zero in brackets, in any grouping.
-    (re.compile(rf"(?:\+|00)(?:39|43|44|49|41|33|385|386){_SEP}?(?:\(0\){_SEP}?)?(?:\(0?\d{{1,5}}\)|\d{{1,12}})(?:{_SEP}?\d{{1,8}}){{0,5}}"), None),
+    (re.compile(rf"(?:\+|00)[1-9]\d{{0,2}}{_SEP}?(?:\(0\){_SEP}?)?(?:\(0?\d{{1,5}}\)|\d{{1,12}})(?:{_SEP}?\d{{1,8}}){{0,5}}"), None),
     (re.compile(rf"\(0\d{{1,4}}\){_SEP}?\d{{2,8}}(?:{_SEP}\d{{2,6}}){{0,3}}"), (9, 12)),
     (re.compile(rf"0[1-9]\d{{0,3}}{_SEP}\d{{3,8}}(?:{_SEP}\d{{2,6}}){{0,3}}"), (9, 11)),
     (re.compile(r"0[1-9]\d{7,9}"), (9, 10)),
     (re.compile(rf"3\d{{2}}{_SEP}\d{{2,7}}(?:{_SEP}\d{{2,6}}){{0,3}}"), (9, 10)),
     (re.compile(r"3\d{9}"), (10, 10)),
 ]
-#: Digits after the country code (and without a bracketed zero), least and most.
-_COUNTRY = {"39": (9, 11), "43": (7, 13), "44": (9, 10), "49": (7, 13), "41": (9, 9), "33": (9, 9), "385": (8, 9), "386": (8, 8)}
 _NUMBER_START = re.compile(r"(?<![\w+/.,@#-])(?=\+\d|\(0\d|[03]\d)|(?<=[=:(;>\"])(?=\+\d|\(0\d|[03]\d)")
 
 
+def _country(digits: str) -> str:
+    """The country code that digits begin with."""
+    return digits[:1] if digits[:1] in _ONE else digits[:2] if digits[:2] in _TWO else digits[:3]
+
+
+def _national(s: str) -> bool:
+    """Whether an international number has a fitting count of digits after its country code."""
+    digits = re.sub(r"\D", "", s.replace("(0)", ""))
+    plus = not s.startswith("00")
+    digits = digits if plus else digits[2:]
+    code = _country(digits)
+    n = len(digits) - len(code)
+    if code in _COUNTRY:
+        low, high = _COUNTRY[code]
+        return low <= n - (code != "39" and digits[len(code) :].startswith("0")) <= high
+    # Elsewhere at most 15 digits in all; after 00 the code must stand apart, as serial numbers begin so too.
+    return 7 <= n <= 15 - len(code) and (plus or re.match(rf"00{code}{_SEP}", s) is not None)
+
+
 def _shrink(text: str, start: int, stop: int) -> Iterator[int]:
     """Ends of a number from the longest to the shortest, cut before a separator."""
     yield stop
@@ -133,12 +166,7 @@ def _phone(text: str, start: int) -> tuple[int, int] | None:
             s = text[start:stop]
             digits = re.sub(r"\D", "", s.replace("(0)", ""))
             if limits is None:
-                digits = digits[2:] if s.startswith("00") else digits
-                code = next((c for c in _COUNTRY if digits.startswith(c)), None)
-                low, high = _COUNTRY[code]
-                n = len(digits) - len(code) - (code not in ("39",) and digits[len(code) :].startswith("0"))
-                # An extension after the last dash may follow.
-                ok = low <= n <= high
+                ok = _national(s)
             else:
                 ok = limits[0] <= len(digits) <= limits[1]
                 if ok and s[0] == "3" and re.match(r"3\d\d/\d{3}(?!\d)", s) and len(digits) < 9:
@@ -170,15 +198,27 @@ def personal_number_ok(s: str) -> bool:
     return 1 <= int(s[:2]) <= 31 and 1 <= int(s[2:4]) <= 12 and s[4] in "09" and s[7] == "5"
 
 
-def _ids(text: str, low: str) -> list[tuple[int, int]]:
-    out = []
-    for m in _ID.finditer(text):
-        kind = m.lastgroup
-        if kind == "emso" and not personal_number_ok(m.group()):
-            continue
-        if kind == "old" and not any(c in low[max(0, m.start() - 40) : m.start()] for c in lex.ID_CUES):
-            continue
-        out.append(m.span())
+#: How far the start of a document number may lie before its first digit.
+_ID_REACH = 9
+
+
+def _ids(text: str, low: str, runs: list[int]) -> list[tuple[int, int]]:
+    """Document numbers around runs of digits that begin at ``runs``."""
+    out: list[tuple[int, int]] = []
+    for run in runs:
+        for at in range(max(0, run - _ID_REACH, out[-1][1] if out else 0), run + 1):
+            if not text[at].isalnum() or not text[at].isascii():
+                continue
+            m = _ID.match(text, at)
+            if not m:
+                continue
+            kind = m.lastgroup
+            if kind == "emso" and not personal_number_ok(m.group()):
+                continue
+            if kind == "old" and not any(c in low[max(0, at - 40) : at] for c in lex.ID_CUES):
+                continue
+            out.append(m.span())
+            break
     return out
 
 
@@ -210,7 +250,7 @@ def _before(text: str, start: int, end: int, word: str) -> tuple[int, int] | Non
         if m:
             stop = m.end()
             rest = text[stop : stop + 2]
-            if rest[:1] in ":%" or (rest[:1] in ".,/" and rest[1:2].isdigit()):  # a time, a share, a decimal
+            if rest[:1] in (":", "%") or (rest[:1] in (".", ",", "/") and rest[1:2].isdigit()):  # a time, a share, a decimal
                 continue
             if re.search(r"\d[,.]\d", m.group()) and not re.search(r",\d", m.group()):
                 continue
@@ -371,6 +411,107 @@ def _initialled(text: str, m: re.Match, blocked) -> tuple[int, int] | None:
     return (m.start(), stop) if words else None
 
 
+_NO_PERSONS = {lower(w) for w in lex.NO_PERSONS} | {lower(w) for w in lex.STREET_AFTER} | {w.strip(".") for w in lex.STREET_BEFORE}
+_FAMILIES = {lower(w) for w in lex.FAMILY_NAMES}
+_AFTER_CUE = re.compile(rf"(?:{_BLANK}{{0,2}}[:,.])?(?:{_BLANK}{{1,3}}|{_BLANK}*\n{_BLANK}*)")
+_TAIL = re.compile(lex.PERSON_TAILS, re.IGNORECASE)
+_DIGIT_NEAR = re.compile(rf"[.,]?{_BLANK}{{0,2}}(?:n\.?{_BLANK}?)?\d")
+_STREET_END = tuple(lex.STREET_ENDINGS)
+
+
+def _name_word(text: str, t: re.Match | None, blocked, shape: str = "title") -> bool:
+    """Whether a word can be part of a name by its shape alone: capitalised, not a place's, body's or sentence's word."""
+    if not t or len(t.group()) < 3 or blocked(t.start(), t.end()) or _shape(t.group()) != shape:
+        return False
+    low = lower(t.group())
+    return not (low in _NO_NAMES or low in _PLAIN or low in _NO_PERSONS or low in _TITLE_WORDS or low.endswith(_STREET_END) or low.endswith("str"))
+
+
+def _after_cue(text: str, start: int, end: int, blocked) -> tuple[int, int] | None:
+    """Two or three words of a name's shape after the words at start:end that announce a person.
+
+    After a cue that isn't in capitals itself the name may be.
+    """
+    if start and (text[start - 1].isalnum() or text[start - 1] in "_@-"):
+        return None
+    m = _AFTER_CUE.match(text, end)
+    if not m:
+        return None
+    return _shaped(text, m.end(), blocked) or (None if text[start:end].isupper() else _shaped(text, m.end(), blocked, "upper"))
+
+
+def _shaped(text: str, at: int, blocked, shape: str = "title") -> tuple[int, int] | None:
+    t, stop, words = _TOKEN.match(text, at), at, 0
+    comma = None
+    while words < 3 and _name_word(text, t, blocked, shape):
+        words, stop = words + 1, t.end()
+        t = _right_token(text, stop)
+        if words == 1 and not t:  # family name, given name
+            comma = re.compile(rf",{_BLANK}{{1,2}}").match(text, stop)
+            t = _TOKEN.match(text, comma.end()) if comma else None
+        elif comma:
+            break
+    number = _DIGIT_NEAR.match(text, stop)
+    if words < 2 or (number and not blocked(number.end() - 1, number.end())) or text[stop : stop + 1] in ("@", "_", "-"):
+        return None
+    return at, stop
+
+
+#: What joins the entries of a list of persons, and a person to the entry of another kind before them.
+_NEXT_PERSON = re.compile(rf",?{_BLANK}{{1,2}}(?:e|ed|and|und|in|sowie)?{_BLANK}{{0,2}}|{_BLANK}?[;,]{_BLANK}{{0,2}}|{_BLANK}?\n(?:[-*•]{_BLANK})?")
+
+
+def _listed(text: str, end: int, after_name: bool, blocked) -> tuple[int, int] | None:
+    """The next person of a list whose entry before ends at ``end``."""
+    m = _NEXT_PERSON.match(text, end)
+    if not m:
+        return None
+    capitals = after_name or "\n" in m.group()
+    return _shaped(text, m.end(), blocked) or (_shaped(text, m.end(), blocked, "upper") if capitals else None)
+
+
+def _signed_off(text: str, start: int, blocked) -> tuple[int, int] | None:
+    """A line of nothing but a name's words above a line that begins with a phone or mail at ``start``."""
+    m = re.search(rf"{_BLANK}*\n{_BLANK}*\Z", text[max(0, start - 8) : start])
+    if not m:
+        return None
+    span = _before_tail(text, start - len(m.group()), blocked)
+    return span if span and text[: span[0]].rstrip(" \xa0\t")[-1:] in ("", "\n") else None
+
+
+def _before_tail(text: str, tail: int, blocked) -> tuple[int, int] | None:
+    """Two or three words of a name's shape that end where a person's tail begins."""
+    lo, words = tail, 0
+    while words < 3:
+        j = lo
+        if words:
+            m = re.search(rf"{_GAP}$", text[max(0, lo - 3) : lo])
+            j = lo - len(m.group()) if m else -1
+        i = j
+        while i > 0 and (text[i - 1].isalpha() or text[i - 1] in "'’-"):
+            i -= 1
+        t = _TOKEN.match(text, i) if 0 <= i < j else None
+        if not t or t.end() != j or not _name_word(text, t, blocked):
+            break
+        lo, words = i, words + 1
+    return (lo, tail) if words > 1 else None
+
+
+def _known_family(text: str, start: int, end: int, blocked) -> tuple[int, int] | None:
+    """A common family name with a word of a given name's shape before it, or after it and a comma."""
+    word = text[start:end]
+    if _shape(word) != "title":
+        return None
+    s = _left_token(text, start, False)
+    t = _TOKEN.match(text, s[0]) if s else None
+    if s and t and t.end() == s[1] and _name_word(text, t, blocked) and not _DIGIT_NEAR.match(text, end):
+        opens = s[0] == 0 or text[:s[0]].rstrip(" \xa0\t-*")[-1:] in (".", "!", "?", "\n", "")
+        # A first word of a sentence may be any word: there the text must end or go on as after a name.
+        if not opens or re.match(rf"{_BLANK}*(?:$|[\n,;.)<(])|{_BLANK}+[a-zà-ÿ]", text[end:]):
+            return s[0], end
+    return None
+
+
 # All together
 
 
@@ -397,11 +538,13 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for i, j in hits.get("mail", ()):
         bare = text[i:j].strip(" \xa0").lower() in ("at", "chiocciola")
         take(_mail(text, i, j, bare), "email")
-    for span in _ids(text, low):
+    marks = [i for i, _ in hits.get("number", ())]
+    digits = [i for i in marks if text[i] not in "+(" and not (i and text[i - 1].isascii() and text[i - 1].isdigit())]
+    for span in _ids(text, low, digits):
         take(span, "id_number")
-    for m in _NUMBER_START.finditer(text):
-        if not used[m.start()]:
-            take(_phone(text, m.start()), "phone")
+    for i in marks:
+        if not used[i] and _NUMBER_START.match(text, i):
+            take(_phone(text, i), "phone")
     word_edge = lambda i, j: (not i or not (text[i - 1].isalnum() or text[i - 1] == "_")) and (j == len(text) or not (text[j].isalnum() or text[j] == "_"))
     addresses = []
     for i, j in hits.get("street", ()):
@@ -419,9 +562,27 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for i, j in hits.get("given", ()):
         if not used[i] and word_edge(i, j) and text[i - 1 : i] not in ("@", "-", "'", "’") and text[j : j + 1] not in ("@", "-", "_"):
             take(_given(text, i, j, blocked), "name")
-    for m in _INITIALS.finditer(text):
-        if not used[m.start()]:
+    for i, _ in hits.get("dot", ()):
+        if i and not used[i - 1] and text[i - 1].isupper() and (m := _INITIALS.match(text, i - 1)):
             take(_initialled(text, m, blocked), "name")
+    for i, j in sorted(hits.get("cue", ()), key=lambda h: (h[1], h[0])):
+        if not used[i]:
+            take(_after_cue(text, i, j, blocked), "name")
+    for m in _TAIL.finditer(text):
+        take(_before_tail(text, m.start(), blocked), "name")
+    for i, _, k in list(taken):
+        if k in ("phone", "email"):
+            take(_signed_off(text, i, blocked), "name")
+    persons = [(i, j, k) for i, j, k in taken if k in ("name", "email", "id_number")]
+    while persons:  # a list goes on from each person found
+        _, j, kind = persons.pop()
+        span = _listed(text, j, kind == "name", blocked)
+        if span:
+            take(span, "name")
+            persons.append((*span, "name"))
+    for i, j in hits.get("family", ()):
+        if not used[i] and word_edge(i, j):
+            take(_known_family(text, i, j, blocked), "name")
     return sorted(taken)
 
 

@@ -62,3 +62,24 @@ def test_operator(spark):
     assert [tuple(r) for r in got] == [(1, 5, 18, "email")] * 2
     assert pii.find_personal(df.limit(0), "doc", "text").count() == 0
     assert [r["text"] for r in pii.redact(df, "text").orderBy("doc").collect()] == ["mail <EMAIL>", "mail <EMAIL>", None, ""]
+
+
+UNLISTED = [
+    "Ho parlato con [name|Renato Bianchi] ieri; chiedere di [name|Sergio Tolmezzi], tel. [phone|+34 612 345 678].",
+    "[name|Kevin Murphy] called [phone|+1 415 555 2671] and [phone|+48 22 123 45 67], not 0012345678 nor +300 vehicles.",
+    "Dear [name|Jennifer Lakeham], the Brown building in New Road stays.\nKind regards,\n[name|Olumide Okafor]",
+    "Ansprechpartner: [name|Lukas Obermeier], [name|Ahmed Hassan] und [name|Svetlana Orlova]",
+    "Lep pozdrav,\n[name|Vesna Dolinar]",
+    "Firma: [name|Tolmezzi, Renzo]\nChi arriva da Lusvizzano Nuova deve svoltare in Via Rossi.",
+    "residente in [address|via Roma 12]",
+    "wohnhaft [address|Lindenstr. 108a]",
+    "naslov [address|ulica Stara pot 117]",
+    "he lives at [address|7 Hollow St]",
+    "[name|Beatrice Rossi]",
+]
+
+
+@pytest.mark.parametrize("marked", UNLISTED)
+def test_names_and_numbers_no_list_has(marked):
+    text, want = parse(marked)
+    assert pii.find(text) == sorted(want)
