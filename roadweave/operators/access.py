@@ -70,3 +70,44 @@ def tau_sweep(selected: DataFrame, zone: str, distance: str, taus: list[float])
     w = decay_weights(t, zone, distance, F.col("tau"), ["tau"])
     per = w.groupBy(zone, "tau").agg((1 / F.sum(F.col("lambda") ** 2)).alias("eff"), F.max("lambda").alias("top"))
     return per.groupBy("tau").agg(F.round(F.avg("eff"), 6).alias("mean_effective_n"), F.sum((F.col("top") > 0.5).cast("int")).alias("dominant"))
+
+
+def anchored_selection(ranked: DataFrame, zone: str, node: str, distance: str, k: int, separation: float, topo: str | None = None, depth: int | None = None, adaptive: bool = False, x: str = "x", y: str = "y") -> DataFrame:
+    """Per zone the first candidate and the best ``k`` - 1 others: nodes, depth, far, total, separation.
+
+    All chosen are at least ``separation`` (less 1e-9) apart and, with ``topo``, share no
+    element.  Best is the least (greatest distance, sum of distances, negative separation,
+    nodes in order of rank); ``adaptive`` puts the greatest rank first.  ``depth`` bounds the
+    candidates.  The choice grows by one point at a time over pairs that go together, so what
+    can't be part of any choice is dropped early.  Zones without a choice don't appear; for
+    k = 1 the separation is null.
+    """
+    cols = [F.col(zone).alias("z"), F.col("rank").alias("r"), F.col(node).alias("n"), F.col(distance).alias("d"), F.col(x).alias("x"), F.col(y).alias("y")]
+    cols.append((F.col(topo) if topo else F.lit(None).cast("array<string>")).alias("t"))
+    p = ranked.where(F.col("rank") <= depth).select(*cols) if depth else ranked.select(*cols)
+    chosen = p.where("r = 1").select("z", F.array("n").alias("nodes"), F.col("r").alias("top"), F.col("d").alias("far"), F.col("d").alias("total"), F.lit(None).cast("double").alias("sep"))
+    if k > 1:
+        a, b = p.select([F.col(c).alias(f"{c}1") for c in p.columns]), p.select([F.col(c).alias(f"{c}2") for c in p.columns])
+        gap = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
+        apart = a.join(b, F.col("z1") == F.col("z2")).where("r1 < r2").withColumn("gap", gap).where((F.col("gap") >= separation - 1e-9) & ~F.coalesce(F.arrays_overlap("t1", "t2"), F.lit(False)))
+        # For every candidate the later ones that go with it, and how far apart they are.
+        mates = apart.groupBy("z1", "n1").agg(F.map_from_entries(F.collect_list(F.struct("n2", "gap"))).alias("mates")).select(F.col("z1").alias("z"), F.col("n1").alias("n"), "mates")
+        with_mates = lambda c: mates.select("z", F.col("n").alias(c), F.col("mates").alias(f"m_{c}"))
+        later = p.where("r > 1").select("z", F.col("r").alias("r2"), F.col("n").alias("n2"), F.col("d").alias("d2"))
+        chosen = chosen.withColumns({"n": F.col("nodes")[0], "near": F.array().cast("array<map<bigint,double>>")})
+        for _ in range(k - 1):
+            grown = chosen.join(with_mates("n"), ["z", "n"]).withColumn("near", F.array_append("near", F.col("m_n"))).join(later, "z")
+            grown = grown.where((F.col("r2") > F.col("top")) & F.forall("near", lambda m: F.map_contains_key(m, F.col("n2"))))
+            least = F.array_min(F.transform("near", lambda m: F.element_at(m, F.col("n2"))))
+            chosen = grown.select("z", F.array_append("nodes", F.col("n2")).alias("nodes"), F.col("r2").alias("top"), F.greatest("far", "d2").alias("far"), (F.col("total") + F.col("d2")).alias("total"), F.least("sep", least).alias("sep"), F.col("n2").alias("n"), "near")
+    order = F.struct(*([F.col("top")] if adaptive else []), F.col("far"), F.col("total"), (-F.coalesce("sep", F.lit(0.0))).alias("close"), "nodes")
+    best = chosen.groupBy("z").agg(F.min_by(F.struct("nodes", "top", "far", "total", "sep"), order).alias("b"))
+    return best.select(F.col("z").alias(zone), "b.nodes", F.col("b.top").alias("depth"), "b.far", "b.total", F.col("b.sep").alias("separation"))
+
+
+def shared_pairs(selected: DataFrame, zone: str, topo: str) -> DataFrame:
+    """Pairs of each zone's points, and how many of them share an element of ``topo``."""
+    p = selected.select(F.col(zone).alias("z"), "rank", F.col(topo).alias("t"))
+    a, b = p.toDF("z", "i", "t1"), p.toDF("z", "j", "t2")
+    both = a.join(b, "z").where("i < j")
+    return both.groupBy(F.col("z").alias(zone)).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.coalesce(F.arrays_overlap("t1", "t2"), F.lit(False)).cast("int")).alias("shared"))

@@ -1,23 +1,34 @@
-"""Shortest paths from many sources.
+"""Shortest paths from many sources over a graph of any size.
 
-``relax`` is the distributed form: every round extends only the labels that improved, as a
-join of frontier and arcs followed by an aggregation, so graph and labels may have any size.
-``tree_paths`` is the per-source kernel for graphs with a checked size bound: the graph is
-broadcast once as arrays and each task routes its own sources.
+The graph is cut into parts of a bounded number of nodes, near ones together where the caller
+gives an order of place.  A task holds one part and a few sources: it settles all labels
+inside the part by Dijkstra's rule and sends the labels that leave it to the parts they
+enter.  Rounds go on until no part gets a better label, so their number is that of the parts
+a path crosses, not of its edges, and a graph that fits one part takes one round.  Arcs reach
+the tasks by a shuffle; neither the driver nor a broadcast ever holds the graph.
+
+Labels of one source in one part are kept as one row of packed arrays.  Paths are read back
+from the targets: each task follows the predecessors inside its part and passes the rest on.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.runtime import Scratch, ship
+from roadweave.runtime import Scratch, grouped_rank, ship
+
+#: Nodes of one part: with their arcs some tens of megabytes in a task.
+PART_NODES = 100_000
+#: Sources that a task routes together over its copy of a part.
+GROUP_SOURCES = 8
 
-#: Arcs up to which a graph may be broadcast to the per-source kernel.
-MAX_KERNEL_ARCS = 5_000_000
+_LABEL = "part int, grp int, source bigint, state bigint, cost double, pred bigint, edge bigint, states binary, costs binary, preds binary, edges binary"
+_COLUMNS = [c.split()[0] for c in _LABEL.split(", ")]
 
 
 def cheapest_arcs(edges: DataFrame, cost: str) -> DataFrame:
@@ -46,54 +57,172 @@ def relax(edges: DataFrame, sources: DataFrame, cost: str, max_rounds: int = 100
     raise RuntimeError("labels did not settle")
 
 
-def dijkstra(arcs: dict[int, list[tuple[int, float, int]]], source: int) -> tuple[dict[int, float], dict[int, tuple[int, int]]]:
-    """Costs and predecessors (node, edge) from one source; equal costs prefer the lesser predecessor."""
-    cost, back, done, heap = {source: 0.0}, {}, set(), [(0.0, source)]
+class _Part:
+    """The arcs of one part by their start, as arrays."""
+
+    def __init__(self, arcs: pd.DataFrame):
+        arcs = arcs.sort_values(["s", "d", "edge_id"], kind="stable")
+        self.starts, first = np.unique(arcs["s"].to_numpy(), return_index=True)
+        self.at = {s: (a, b) for s, a, b in zip(self.starts.tolist(), first.tolist(), [*first.tolist()[1:], len(arcs)])}
+        self.d, self.w, self.e, self.to = arcs["d"].tolist(), arcs["w"].tolist(), arcs["edge_id"].tolist(), arcs["dpart"].tolist()
+
+
+def _settle(part: _Part, here: int, labels: dict[int, tuple], fresh: list[tuple]) -> dict[int, tuple]:
+    """Spread better labels (cost, pred, edge) inside a part; return the labels that leave it, with their part.
+
+    Equal costs prefer the lesser predecessor, then the lesser edge, but for arcs without
+    cost and labels from other parts, which could close a circle of predecessors.
+    """
+    heap, out = [], {}
+    for state, *label in fresh:
+        old = labels.get(state)
+        if old is None or label[0] < old[0]:
+            heap.append((label[0], state))
+            labels[state] = tuple(label)
+    heapq.heapify(heap)
     while heap:
         c, x = heapq.heappop(heap)
-        if x in done:
+        if c > labels[x][0]:
             continue
-        done.add(x)
-        for y, w, e in arcs.get(x, ()):
-            n = c + w
-            if y not in cost or n < cost[y] or (n == cost[y] and y not in done and (x, e) < back.get(y, (x, e + 1))):
-                cost[y], back[y] = n, (x, e)
-                heapq.heappush(heap, (n, y))
-    return cost, back
-
-
-def tree_paths(edges: DataFrame, pairs: DataFrame, cost: str) -> DataFrame:
+        a, b = part.at.get(x, (0, 0))
+        for k in range(a, b):
+            y, n = part.d[k], c + part.w[k]
+            if part.to[k] == here:
+                old = labels.get(y)
+                if old is None or n < old[0]:
+                    labels[y] = (n, x, part.e[k])
+                    heapq.heappush(heap, (n, y))
+                elif n == old[0] and part.w[k] > 0 and (x, part.e[k]) < old[1:]:
+                    labels[y] = (n, x, part.e[k])
+            else:
+                new = (n, x, part.e[k])
+                if y not in out or new < out[y][:3]:
+                    out[y] = (*new, part.to[k])
+    return out
+
+
+def _unpack(row) -> dict[int, tuple]:
+    parts = [np.frombuffer(row[c], t).tolist() for c, t in (("states", "i8"), ("costs", "f8"), ("preds", "i8"), ("edges", "i8"))]
+    return {s: (c, p, e) for s, c, p, e in zip(*parts)}
+
+
+def _round(todo: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """One part and group of sources: take in labels sent here, settle, keep the part's labels, send on what leaves."""
+    if not len(todo):
+        return pd.DataFrame(columns=_COLUMNS)
+    here, grp = int(todo["part"].iloc[0]), int(todo["grp"].iloc[0])
+    part, rows = _Part(arcs), []
+    for source, mine in todo.groupby("source", sort=True):
+        kept = mine[mine["states"].notna()]
+        labels = _unpack(kept.iloc[0]) if len(kept) else {}
+        sent = mine[mine["states"].isna()]
+        fresh = list(zip(sent["state"].tolist(), sent["cost"].tolist(), sent["pred"].tolist(), sent["edge"].tolist()))
+        out = _settle(part, here, labels, fresh)
+        cols = list(zip(*[(s, *label) for s, label in sorted(labels.items())]))
+        rows.append((here, grp, source, -1, 0.0, -1, -1, *[np.array(c, t).tobytes() for c, t in zip(cols, ("i8", "f8", "i8", "i8"))]))
+        rows += [(int(to), grp, source, y, c, p, e, None, None, None, None) for y, (c, p, e, to) in out.items()]
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def route(arcs: DataFrame, pairs: DataFrame, order: DataFrame | None = None, part_nodes: int = PART_NODES, group_sources: int = GROUP_SOURCES) -> DataFrame:
     """(source, target, cost, edges): the cheapest path of each pair as an array of edge ids.
 
-    A target that can't be reached has a null cost and path.  Sources are spread over tasks;
-    one tree serves all targets of a source, in parts of 10,000 targets.
+    ``arcs``: s, d, w (not negative), edge_id; ``pairs``: source, target.  ``order``: node and
+    any sortable columns that put near nodes side by side; without it nodes go by number.  A
+    pair without a way has null cost and edges; a node to itself costs 0.  Parallel arcs are
+    allowed.  Null ends, null, NaN or negative costs and null pairs are left out; repeated
+    pairs count once; no rows give no rows.
     """
-    spark = edges.sparkSession
+    spark = arcs.sparkSession
     ship(spark)
-    arcs = cheapest_arcs(edges, cost)
-    n = arcs.count()
-    if n > MAX_KERNEL_ARCS:
-        raise ValueError(f"{n} arcs are too many for the kernel; use relax")
-    graph: dict[int, list[tuple[int, float, int]]] = {}
-    for r in arcs.toLocalIterator():
-        graph.setdefault(r["u"], []).append((r["v"], r["cost"], r["edge_id"]))
-    shared = spark.sparkContext.broadcast(graph)
-
-    def run(key: tuple, batches: pd.DataFrame) -> pd.DataFrame:
-        source = key[0]
-        costs, back = dijkstra(shared.value, source)
-        rows = []
-        for t in batches["target"]:
-            path, x = [], t
-            while x in back:
-                x, e = back[x]
+    scratch = Scratch(spark, "route")
+    good = arcs.where("s is not null and d is not null and w is not null and not isnan(w) and w >= 0 and edge_id is not null").select(F.col("s").cast("bigint").alias("s"), F.col("d").cast("bigint").alias("d"), F.col("w").cast("double").alias("w"), F.col("edge_id").cast("bigint").alias("edge_id"))
+    pairs = scratch.cut(pairs.select(F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target")).where("source is not null and target is not null").distinct())
+    nodes = good.select(F.col("s").alias("node")).unionAll(good.select("d")).unionAll(pairs.select("source")).unionAll(pairs.select("target")).distinct()
+    by = []
+    if order is not None:
+        by = [F.col(c) for c in order.columns if c != "node"]
+        nodes = nodes.join(order.dropDuplicates(["node"]), "node", "left")
+    placed = grouped_rank(nodes.select("node", F.lit(0).alias("_all"), *[c.alias(f"_o{k}") for k, c in enumerate(by)]), ["_all"], [*[f"_o{k}" for k in range(len(by))], "node"], "_rank", scratch, few_groups=True)
+    part = scratch.cut(placed.select("node", F.floor(F.col("_rank") / part_nodes).cast("int").alias("part")))
+    at = lambda c, p: part.select(F.col("node").alias(c), F.col("part").alias(p))
+    cut = scratch.cut(good.join(at("s", "part"), "s").join(at("d", "dpart"), "d"))
+    one = pairs.select("source").distinct().withColumn("_all", F.lit(0))
+    sources = scratch.cut(grouped_rank(one, ["_all"], ["source"], "_n", scratch, few_groups=True).select("source", F.floor(F.col("_n") / group_sources).cast("int").alias("grp")))
+    null = {c: F.lit(None).cast("binary").alias(c) for c in ("states", "costs", "preds", "edges")}
+    first = sources.join(at("source", "part"), "source").select("part", "grp", "source", F.col("source").alias("state"), F.lit(0.0).alias("cost"), F.lit(-1).cast("bigint").alias("pred"), F.lit(-1).cast("bigint").alias("edge"), *null.values())
+    todo, n = scratch.cut_with(first)
+    labels = None
+    while n["rows"]:
+        keys = todo.select(F.col("part").alias("kpart"), F.col("grp").alias("kgrp")).distinct()
+        here = lambda t: (t["part"] == F.col("kpart")) & (t["grp"] == F.col("kgrp"))
+        work = todo if labels is None else todo.unionByName(labels.join(keys, here(labels), "left_semi"))
+        mine = cut.join(keys, F.col("part") == F.col("kpart")).select(F.col("kpart").alias("part"), F.col("kgrp").alias("grp"), "s", "d", "w", "edge_id", "dpart")
+        out = scratch.cut(work.groupBy("part", "grp").cogroup(mine.groupBy("part", "grp")).applyInPandas(_round, _LABEL))
+        kept = out.where("states is not null")
+        labels = kept if labels is None else scratch.cut(kept.unionByName(labels.join(keys, here(labels), "left_anti")))
+        better = out.where("states is null").groupBy("part", "grp", "source", "state").agg(F.min(F.struct("cost", "pred", "edge")).alias("b"))
+        todo, n = scratch.cut_with(better.select("part", "grp", "source", "state", "b.cost", "b.pred", "b.edge", *null.values()))
+    if labels is None:
+        return pairs.select("source", "target", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("array<bigint>").alias("edges"))
+    return _read_back(labels, pairs, part, sources, scratch)
+
+
+_ASK = "source bigint, target bigint, leg int, state bigint, total double, open boolean, edges array<bigint>"
+
+
+def _walk(asked: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+    """Follow predecessors inside one part for each request; an open one goes on from ``state`` in another part."""
+    rows = []
+    have = {r.source: r for r in labels.itertuples()}
+    for source, mine in asked.groupby("source", sort=True):
+        known = _unpack(have[source]._asdict()) if source in have else {}
+        for r in mine.itertuples():
+            x, path = int(r.state), []
+            if r.leg == 0 and x not in known:
+                continue
+            total = known[x][0] if r.leg == 0 else r.total
+            while x != source and x in known:
+                _, x, e = known[x]
                 path.append(e)
-            ok = t in costs
-            rows.append((source, t, costs[t] if ok else None, path[::-1] if ok else None))
-        return pd.DataFrame(rows, columns=["source", "target", "cost", "edges"])
+            rows.append((source, r.target, r.leg, x, total, x != source, path[::-1]))
+    return pd.DataFrame(rows, columns=["source", "target", "leg", "state", "total", "open", "edges"])
 
-    todo = pairs.select("source", "target").distinct().withColumn("_part", F.pmod(F.xxhash64("target"), F.lit(16)))
-    return todo.groupBy("source", "_part").applyInPandas(run, "source bigint, target bigint, cost double, edges array<bigint>")
+
+def _read_back(labels: DataFrame, pairs: DataFrame, part: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
+    legs: list[DataFrame] = []
+    ask = pairs.select("source", "target", F.lit(0).alias("leg"), F.col("target").alias("state"), F.lit(0.0).alias("total"))
+    while True:
+        at = ask.join(part.select(F.col("node").alias("state"), "part"), "state").join(sources, "source")
+        done, n = scratch.cut_with(at.groupBy("part", "grp").cogroup(labels.groupBy("part", "grp")).applyInPandas(_walk, _ASK), open=F.sum(F.col("open").cast("int")))
+        legs.append(done)
+        if not n["open"]:
+            break
+        ask = done.where("open").select("source", "target", (F.col("leg") + 1).alias("leg"), "state", "total")
+    whole = legs[0]
+    for more in legs[1:]:
+        whole = whole.unionByName(more)
+    paths = whole.groupBy("source", "target").agg(F.max("total").alias("cost"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("leg")).alias("o"), "edges"))), lambda x: x["edges"])).alias("edges"))
+    return pairs.join(paths, ["source", "target"], "left")
+
+
+def tree_paths(edges: DataFrame, pairs: DataFrame, cost: str, order: DataFrame | None = None, part_nodes: int = PART_NODES) -> DataFrame:
+    """(source, target, cost, edges) over the cheapest edge of each ordered node pair; see ``route``."""
+    arcs = cheapest_arcs(edges, cost).select(F.col("u").alias("s"), F.col("v").alias("d"), F.col("cost").alias("w"), "edge_id")
+    return route(arcs, pairs, order, part_nodes)
+
+
+def all_pairs(nodes: DataFrame, node: str) -> DataFrame:
+    """(source, target) of every two different nodes: the grid that a travel-time matrix is.
+
+    Each node is repeated once per place in a dense numbering and joined by that place, so
+    no task holds the list of nodes.
+    """
+    scratch = Scratch(nodes.sparkSession, "pairs")
+    one = nodes.select(F.col(node).alias("n")).where("n is not null").distinct().withColumn("_all", F.lit(0))
+    ranked, n = scratch.cut_with(grouped_rank(one, ["_all"], ["n"], "k", scratch, few_groups=True).select("n", "k"))
+    grid = ranked.select(F.col("n").alias("source"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, n["rows"] - 1)).cast("bigint"))).alias("k"))
+    return grid.join(ranked.select(F.col("n").alias("target"), "k"), "k").where("source <> target").select("source", "target")
 
 
 def slots(paths: DataFrame) -> DataFrame:

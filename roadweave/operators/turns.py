@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.operators import routing
+from roadweave.runtime import Scratch, grouped_rank
+
 
 def rule_kind(value: str = "restriction_value"):
     """NO_SEQUENCE for no_*, ONLY_SEQUENCE for only_*, else null."""
@@ -102,3 +105,52 @@ def state_transitions(sequences: DataFrame, edges: DataFrame) -> DataFrame:
     longest = free.select("prefix", "edge_id", F.explode(suffixes("path")).alias("suffix")).join(known, "suffix").groupBy("prefix", "edge_id").agg(F.max_by("suffix", F.size("suffix")).alias("next"))
     more = free.join(longest, ["prefix", "edge_id"], "left").select("from_node", F.col("prefix").alias("from_prefix"), "edge_id", "to_node", F.coalesce("next", empty).alias("to_prefix"))
     return base.unionAll(more)
+
+
+def state_graph(sequences: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states, transitions) of the turn-aware graph, with dense state ids.
+
+    states: state_id, node_id, prefix (empty for the base state of a node).  Base states come
+    first, by node, then prefixes in their order.  ``edges``: core edges edge_id, u, v and
+    time_s, length_m.  transitions: src, dst, edge_id, time_s, length_m.
+    """
+    scratch = Scratch(edges.sparkSession, "states")
+    moves = scratch.cut(state_transitions(sequences, edges))
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node_id")).where("node_id is not null").distinct()
+    last = edges.select(F.col("edge_id").alias("last_edge"), F.col("v").alias("node_id"))
+    held = prefixes(sequences).join(last, "last_edge").select("node_id", "prefix")
+    named = ends.select("node_id", F.array().cast("array<bigint>").alias("prefix")).unionByName(held).distinct()
+    named = named.withColumns({"_kind": (F.size("prefix") > 0).cast("int"), "_all": F.lit(0), "_first": F.when(F.size("prefix") == 0, F.col("node_id"))})
+    ranked = grouped_rank(named, ["_all"], ["_kind", "_first", "prefix", "node_id"], "state_id", scratch, few_groups=True)
+    states = scratch.cut(ranked.select("state_id", "node_id", "prefix"))
+    at = lambda n, p, out: states.select(F.col("node_id").alias(n), F.col("prefix").alias(p), F.col("state_id").alias(out))
+    t = moves.join(at("from_node", "from_prefix", "src"), ["from_node", "from_prefix"]).join(at("to_node", "to_prefix", "dst"), ["to_node", "to_prefix"])
+    return states, scratch.cut(t.select("src", "dst", "edge_id").join(edges.select("edge_id", "time_s", "length_m"), "edge_id"))
+
+
+def repeated_transitions(transitions: DataFrame) -> DataFrame:
+    """(src, dst, n) of transitions that aren't unique; the graph is sound if there is none."""
+    return transitions.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def turn_paths(states: DataFrame, transitions: DataFrame, pairs: DataFrame, order: DataFrame | None = None, part_nodes: int = routing.PART_NODES) -> DataFrame:
+    """(source, target, time_s, length_m, state_id, edges) of node pairs over the turn-aware graph.
+
+    A path starts in the base state of its source and may end in any state of its target; of
+    states that cost within 1e-12 of the least the one with the least id counts.  The length is
+    summed along the path that is best in time.  Pairs without a way have nulls.
+    """
+    base = states.where("size(prefix) = 0").select(F.col("node_id").alias("source"), F.col("state_id").alias("s"))
+    ends = states.select(F.col("node_id").alias("target"), F.col("state_id").alias("e"))
+    wanted = pairs.select("source", "target").distinct()
+    asked = wanted.join(base, "source").join(ends, "target")
+    arcs = transitions.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("time_s").alias("w"), "edge_id")
+    near = None if order is None else states.join(order, "node_id").select(F.col("state_id").alias("node"), *[c for c in order.columns if c != "node_id"])
+    found = routing.route(arcs, asked.select(F.col("s").alias("source"), F.col("e").alias("target")), near, part_nodes).where("cost is not null")
+    back = found.select(F.col("source").alias("s"), F.col("target").alias("e"), "cost", "edges").join(base, "s").join(ends, "e")
+    least = back.groupBy("source", "target").agg(F.min("cost").alias("least"))
+    best = back.join(least, ["source", "target"]).where("cost <= least + 1e-12").groupBy("source", "target").agg(F.min_by(F.struct("cost", "e", "edges"), "e").alias("b"))
+    legs = best.select("source", "target", F.posexplode("b.edges").alias("pos", "edge_id")).join(transitions.select("edge_id", "length_m").dropDuplicates(["edge_id"]), "edge_id")
+    length = legs.groupBy("source", "target").agg(F.sum("length_m").alias("length_m"))
+    out = wanted.join(best, ["source", "target"], "left").join(length, ["source", "target"], "left")
+    return out.select("source", "target", F.col("b.cost").alias("time_s"), F.when(F.col("b").isNotNull(), F.coalesce("length_m", F.lit(0.0))).alias("length_m"), F.col("b.e").alias("state_id"), F.col("b.edges").alias("edges"))

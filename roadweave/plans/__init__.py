@@ -1,0 +1,3 @@
+"""Registered queries; importing the package registers those of every module."""
+
+from roadweave.plans import reference, turnroutes  # noqa: F401

@@ -570,14 +570,19 @@ def interval_owner(s, d):
     return paths.owner_of_position(e.select("event_id"), ranges, "event_id", "lo", "hi", "owner").select("event_id", "owner")
 
 
-@query()
+_PLAIN = f"""with recursive {_EDGE}, {_CAND}, acc as (select distinct node_id as n from ranked where rank = 1), grid as (select a.n as source, b.n as target from acc a join acc b on a.n <> b.n),
+  arc as (select u, v, min(length_m) as w from edge where u is not null and v is not null and length_m >= 0 and not isnan(length_m) group by 1, 2),
+  lab(n, st, t, hops) using key (n, st) as (select n, n, 0.0::double, 0::bigint from acc
+    union (select x.n, y.v, min(x.t + y.w), arg_min(x.hops + 1, x.t + y.w) from lab x join arc y on y.u = x.st left join recurring.lab o on o.n = x.n and o.st = y.v where o.t is null or x.t + y.w < o.t group by 1, 2))"""
+
+
+@query(_PLAIN + " select source, target, round(t, 6) as cost, cast(hops as integer) as edges from grid left join lab on lab.n = source and lab.st = target")
 def shortest_paths(s, d):
-    """Cheapest ways between the nearest access nodes of the zones with the lowest codes."""
-    near = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 1).orderBy("PRO_COM").limit(12)
-    one = near.select(F.col("node_id").alias("source")).distinct()
-    everyone = one.agg(F.collect_set("source").alias("t"))
-    pairs = one.join(F.broadcast(everyone)).select("source", F.explode("t").alias("target"))
-    return routing.tree_paths(edges1(s, d), pairs, "length_m").select("source", "target", F.round("cost", 6).alias("cost"), F.size("edges").alias("edges"))
+    """Shortest ways between the nearest access nodes of all zones, over the cheapest of parallel edges."""
+    near = access.ranked_candidates(candidates(s, d), "PRO_COM", "node_id", "distance_m", 1)
+    order = nodes1(s, d).select(F.col("node_id").alias("node"), F.floor(F.col("x") / 5000).alias("px"), F.floor(F.col("y") / 5000).alias("py"))
+    t = routing.tree_paths(edges1(s, d), routing.all_pairs(near, "node_id"), "length_m", order)
+    return t.select("source", "target", F.round("cost", 6).alias("cost"), F.when(F.col("edges").isNotNull(), F.size("edges")).alias("edges"))
 
 
 # Demand

@@ -113,3 +113,41 @@ def test_neighbourhood_and_runs(spark):
     assert {r["topo_id"] for r in topo.collect()} == {"1:0-3", "1:4-7", "2:0-0", "3:0-0"}
     inc = {r["node_id"]: r["topo_ids"] for r in network.incident_topo(topo).collect()}
     assert inc[4] == ["1:0-3", "1:4-7"]
+
+
+def test_parts_of_any_size_give_the_same_paths(spark):
+    """Paths over one part, tiny parts and a brute Dijkstra; zero costs, loops, parallel arcs, unknown nodes."""
+    import heapq
+
+    rng = random.Random(17)
+    arcs = [(rng.randrange(40), rng.randrange(40), rng.choice([0.0, 1.0, 2.5, 4.0]), 1000 + i) for i in range(110)] + [(1, 2, None, 5), (None, 2, 1.0, 6), (3, 4, float("nan"), 7), (3, 4, -1.0, 8)]
+    good = [a for a in arcs if a[0] is not None and a[2] is not None and a[2] >= 0]
+
+    def brute(s):
+        best, heap = {s: 0.0}, [(0.0, s)]
+        while heap:
+            c, x = heapq.heappop(heap)
+            for u, v, w, _ in good:
+                if u == x and c == best[x] and c + w < best.get(v, 1e9):
+                    best[v] = c + w
+                    heapq.heappush(heap, (c + w, v))
+        return best
+
+    df = spark.createDataFrame(arcs, "s long, d long, w double, edge_id long")
+    asked = [(s, t) for s in (0, 7, 900) for t in [*range(40), 901]] + [(0, 1), (None, 3)]
+    pairs = spark.createDataFrame(asked, "source long, target long")
+    by = {a[3]: a for a in good}
+    for size, group in ((100, 8), (7, 1)):
+        got = routing.route(df, pairs, part_nodes=size, group_sources=group).collect()
+        assert len(got) == 3 * 41
+        for r in got:
+            want = brute(r["source"]).get(r["target"])
+            assert r["cost"] == want, (size, r, want)
+            if want is not None:
+                at = r["source"]
+                for e in r["edges"]:
+                    assert by[e][0] == at
+                    at = by[e][1]
+                assert at == r["target"] and abs(sum(by[e][2] for e in r["edges"]) - want) < 1e-9
+    assert routing.route(df.limit(0), pairs.limit(0)).count() == 0
+    assert {(r["source"], r["target"]) for r in routing.all_pairs(spark.createDataFrame([(1,), (2,), (2,), (None,), (5,)], "n long"), "n").collect()} == {(a, b) for a in (1, 2, 5) for b in (1, 2, 5) if a != b}
