@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ def gravity_shares(pairs: DataFrame, beta: float) -> DataFrame:
     """p a exp(-beta c) over its sum over all pairs of different zones."""
     w = F.col("p") * F.col("a") * deterrence(F.col("c"), F.lit(beta))
     t = pairs.where("o <> d").withColumn("w", w)
-    return t.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy())).drop("w")
+    # One row of the sum is broadcast, so no task gets all pairs.
+    return t.join(F.broadcast(t.agg(F.sum("w").alias("_all")))).withColumn("share", F.col("w") / F.col("_all")).drop("w", "_all")
 
 
 def origin_constrained(pairs: DataFrame, beta: float, total: float) -> DataFrame:
@@ -80,12 +82,20 @@ def surface_minima(surface: DataFrame, i: str, k: str, value: str) -> DataFrame:
 
 
 def threshold_stats(prof: DataFrame, factors: list[float]) -> DataFrame:
-    """Range and correlation of the parameters among points with a loss near the least."""
+    """Range of the parameters among points with a loss near the least; ``threshold_correlation`` tells how they move together."""
     least = prof.agg(F.min("j").alias("least"))
     t = prof.join(F.broadcast(least)).withColumn("factor", F.explode(F.array(*[F.lit(x) for x in factors]))).where(F.col("j") <= F.col("factor") * F.col("least"))
     return t.groupBy("factor").agg(F.count(F.lit(1)).alias("points"), F.min("beta").alias("beta_lo"), F.max("beta").alias("beta_hi"), F.round(F.min("q"), 6).alias("q_lo"), F.round(F.max("q"), 6).alias("q_hi"))
 
 
+def threshold_correlation(prof: DataFrame, factors: list[float]) -> DataFrame:
+    """Per factor: points with a loss near the least, widths in n and beta, and the correlation of the two (null if one is constant)."""
+    least = prof.agg(F.min("j").alias("least"))
+    t = prof.join(F.broadcast(least)).withColumn("factor", F.explode(F.array(*[F.lit(x) for x in factors]))).where(F.col("j") <= F.col("factor") * F.col("least"))
+    g = t.groupBy("factor").agg(F.count(F.lit(1)).alias("points"), (F.max("n") - F.min("n")).alias("n_width"), (F.max("beta") - F.min("beta")).alias("beta_width"), F.corr("n", "beta").alias("r"))
+    return g.select("factor", "points", F.round("n_width", 6).alias("n_width"), F.round("beta_width", 6).alias("beta_width"), F.round(F.nanvl("r", F.lit(None).cast("double")), 6).alias("r"))
+
+
 def leave_one_out(pairs: DataFrame, exposures: DataFrame, observed: DataFrame, sections: list, grid: list[tuple[float, float]]) -> DataFrame:
     """The best grid point without each section in turn."""
     out = None
@@ -128,6 +138,154 @@ def refine(pairs: DataFrame, exposures: DataFrame, observed: DataFrame, lo: floa
     return best
 
 
+#: Rows of pairs that are weighed against the whole grid at once.
+BLOCK_ROWS = 4_096
+
+
+def grid_values(low: float, high: float, points: int) -> list[float]:
+    """Evenly spaced values, both ends included."""
+    return [low + (high - low) * k / (points - 1) for k in range(points)] if points > 1 else [low]
+
+
+def surface(pairs: DataFrame, exposures: DataFrame, observed: DataFrame, ns: list[float], betas: list[float]) -> DataFrame:
+    """(i, k, n, beta, q, j, rel_j) over a whole grid: as ``profile``, without repeating pairs per grid point.
+
+    c^n exp(-beta c) splits into a factor of n and one of beta, so the sums of a block of
+    pairs over the grid are one product of two small matrices, weighed by p a (and the
+    exposure).  Each task adds up its blocks and gives one row per section and n, with the
+    sums over all betas; only those meet in a shuffle.  Pairs must have c > 0.
+    """
+    n_values, b_values = np.array(ns, dtype=float), np.array(betas, dtype=float)
+    width = len(betas)
+
+    def moments(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for lo in range(0, len(pdf), BLOCK_ROWS):
+                block = pdf.iloc[lo : lo + BLOCK_ROWS]
+                c = block["c"].to_numpy(dtype=float)
+                by_n, by_beta = np.exp(np.outer(n_values, np.log(c))), np.exp(-np.outer(c, b_values))
+                weight = block["w"].to_numpy(dtype=float)
+                for s in block["section"].unique():
+                    mine = (block["section"] == s).to_numpy()
+                    part = (by_n[:, mine] * weight[mine]) @ by_beta[mine]
+                    sums[s] = part if s not in sums else sums[s] + part
+        rows = [(int(s), i, m[i].tolist()) for s, m in sums.items() for i in range(len(n_values))]
+        yield pd.DataFrame(rows, columns=["section", "i", "m"])
+
+    base = pairs.where("o <> d and c > 0")
+    weight = F.col("p") * F.col("a")
+    # Section numbers from 1; 0 stands for the sum over all pairs.
+    names = observed.select("section").distinct().withColumn("_s", F.dense_rank().over(Window.orderBy("section")))
+    seen = base.join(exposures, ["o", "d"]).join(F.broadcast(names), "section").select("c", (weight * F.col("share")).alias("w"), F.col("_s").cast("int").alias("section"))
+    rows = base.select("c", weight.alias("w"), F.lit(0).alias("section")).unionByName(seen)
+    parts = rows.mapInPandas(moments, "section int, i int, m array<double>")
+    long = parts.select("section", "i", F.posexplode("m").alias("k", "v")).groupBy("section", "i", "k").agg(F.sum("v").alias("v"))
+    down = long.where("section = 0").select("i", "k", F.col("v").alias("down"))
+    up = long.where("section > 0").select(F.col("section").alias("_s"), "i", "k", F.col("v").alias("up"))
+    spots = down.select("i", "k", "down")
+    at = observed.join(names, "section").select(F.col("_s").cast("int").alias("_s"), "y", F.col("base").alias("_base"))
+    g = spots.join(F.broadcast(at)).join(up, ["_s", "i", "k"], "left").withColumn("g", F.coalesce(F.col("up") / F.col("down"), F.lit(0.0)))
+    r, y2 = F.col("y") - F.col("_base"), F.col("y") * F.col("y")
+    sums = g.groupBy("i", "k").agg(
+        F.sum(F.col("g") * r).alias("gr"), F.sum(F.col("g") * F.col("g")).alias("gg"), F.sum(r * r).alias("rr"), F.sum(F.col("g") * r / y2).alias("gr2"), F.sum(F.col("g") ** 2 / y2).alias("gg2"), F.sum(r * r / y2).alias("rr2")
+    )
+    q = F.greatest(F.lit(0.0), F.coalesce(F.try_divide("gr", "gg"), F.lit(0.0)))
+    value = lambda xs, i: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), F.col(i) + 1)
+    at_q = lambda rr, gr, gg: F.col(rr) - 2 * F.col("q") * F.col(gr) + F.col("q") * F.col("q") * F.col(gg)
+    beta = value(betas, "k") if width <= 1000 else F.lit(float(betas[0])) + F.col("k") * F.lit((float(betas[-1]) - float(betas[0])) / (width - 1))
+    return sums.withColumn("q", q).select("i", "k", value(ns, "i").alias("n"), beta.alias("beta"), "q", at_q("rr", "gr", "gg").alias("j"), at_q("rr2", "gr2", "gg2").alias("rel_j"))
+
+
+def seeds(surf: DataFrame, count: int = 5, reach: int = 2) -> list[tuple[float, float, float]]:
+    """(n, beta, j) of the best grid points that lie more than ``reach`` steps apart in n or beta, best first.
+
+    Each is one aggregation of the surface without the neighbourhoods of those before.
+    """
+    out: list[tuple[int, int]] = []
+    found = []
+    for _ in range(count):
+        free = surf
+        for i, k in out:
+            free = free.where(~((F.abs(F.col("i") - i) <= reach) & (F.abs(F.col("k") - k) <= reach)))
+        best = free.agg(F.min(F.struct("j", "i", "k", "n", "beta")).alias("b")).select("b.*").first()
+        if best is None or best["j"] is None:
+            break
+        out.append((best["i"], best["k"]))
+        found.append((best["n"], best["beta"], best["j"]))
+    return found
+
+
+def refine_surface(pairs: DataFrame, exposures: DataFrame, observed: DataFrame, start: list[tuple[float, float, float]], n_range: tuple[float, float], beta_range: tuple[float, float], half: tuple[float, float] = (0.4, 0.01), points: int = 25, rounds: int = 4) -> tuple[float, float, float, float]:
+    """(n, beta, q, j) of the least loss found by narrowing grids around each start, ends of the ranges included.
+
+    A round looks at ``points`` squared places in one job and shrinks to two steps around the best.
+    """
+    best = None
+    for n0, b0, _ in start:
+        hn, hb = half
+        for _ in range(rounds):
+            ns = grid_values(max(n_range[0], n0 - hn), min(n_range[1], n0 + hn), points)
+            bs = grid_values(max(beta_range[0], b0 - hb), min(beta_range[1], b0 + hb), points)
+            r = surface(pairs, exposures, observed, ns, bs).agg(F.min(F.struct("j", "n", "beta", "q")).alias("b")).select("b.*").first()
+            n0, b0, hn, hb = r["n"], r["beta"], 4 * hn / (points - 1), 4 * hb / (points - 1)
+            if best is None or r["j"] < best[3]:
+                best = (r["n"], r["beta"], r["q"], r["j"])
+    return best
+
+
+def predictions(pairs: DataFrame, exposures: DataFrame, observed: DataFrame, n: float, beta: float, q: float) -> DataFrame:
+    """(section, y, fitted, residual, share_of_sse): each section's modelled count and its part of the squared error."""
+    w = F.col("p") * F.col("a") * deterrence(F.col("c"), F.lit(float(beta)), F.lit(float(n)))
+    t = pairs.where("o <> d and c > 0").withColumn("w", w)
+    whole = F.broadcast(t.agg(F.sum("w").alias("_all")))
+    g = t.join(exposures, ["o", "d"]).groupBy("section").agg(F.sum(F.col("share") * F.col("w")).alias("u"))
+    fit = observed.join(g, "section", "left").join(whole).withColumn("fitted", F.col("base") + F.lit(float(q)) * F.coalesce(F.col("u") / F.col("_all"), F.lit(0.0)))
+    fit = fit.withColumn("residual", F.col("y") - F.col("fitted"))
+    sse = F.broadcast(fit.agg(F.sum(F.col("residual") * F.col("residual")).alias("_sse")))
+    return fit.join(sse).select("section", "y", "fitted", "residual", F.try_divide(F.col("residual") * F.col("residual"), F.col("_sse")).alias("share_of_sse"))
+
+
+def compare_models(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(section, old_error, new_error, improved) of two ``predictions``; an equal error isn't improved."""
+    a = old.select("section", F.abs("residual").alias("old_error"))
+    return a.join(new.select("section", F.abs("residual").alias("new_error")), "section").withColumn("improved", F.col("new_error") < F.col("old_error"))
+
+
+def origin_gaps(pairs: DataFrame, betas: list[float], totals: list[float]) -> DataFrame:
+    """(beta, total, gap): the greatest relative gap between an origin's modelled sum and total times p."""
+    out = []
+    for b in betas:
+        per = origin_constrained(pairs, b, 1.0).groupBy("o").agg(F.sum("flow").alias("s"), F.max("p").alias("p"))
+        out.append(per.select(F.lit(float(b)).alias("beta"), F.explode(F.array(*[F.lit(float(x)) for x in totals])).alias("total"), "s", "p"))
+    t = out[0]
+    for more in out[1:]:
+        t = t.unionAll(more)
+    return t.groupBy("beta", "total").agg(F.max(F.coalesce(F.abs(F.try_divide(F.col("total") * F.col("s") - F.col("total") * F.col("p"), F.col("total") * F.col("p"))), F.lit(0.0))).alias("gap"))
+
+
+def normal_equations(sens: DataFrame) -> np.ndarray:
+    """J'J of the sensitivities of all sections, summed in Spark: two by two, whatever their number."""
+    s = sens.agg(F.sum(F.col("d_q") ** 2).alias("a"), F.sum(F.col("d_q") * F.col("d_beta")).alias("b"), F.sum(F.col("d_beta") ** 2).alias("c")).first()
+    return np.array([[s["a"] or 0.0, s["b"] or 0.0], [s["b"] or 0.0, s["c"] or 0.0]])
+
+
+def identifiability_of(normal: np.ndarray) -> dict[str, float]:
+    """Rank, condition (raw and with unit columns) and cosine of the two columns behind J'J.
+
+    Both columns are scaled to unit length before the eigenvalues are taken, so a great
+    difference of units costs no digits; the raw condition follows from the same numbers.
+    """
+    a, b, c = normal[0, 0], normal[0, 1], normal[1, 1]
+    if a <= 0 or c <= 0:
+        return {"rank": int(a > 0) + int(c > 0), "condition": math.inf, "scaled_condition": math.inf, "cosine": math.nan}
+    cos = abs(b) / math.sqrt(a * c)
+    off = max(0.0, 1 - cos * cos)
+    high = (a + c + math.sqrt((a - c) ** 2 + 4 * b * b)) / 2
+    low = a * c * off / high
+    return {"rank": 2 if off > 1e-14 else 1, "condition": math.sqrt(high / low) if low > 0 else math.inf, "scaled_condition": math.sqrt((1 + cos) / (1 - cos)) if cos < 1 else math.inf, "cosine": cos}
+
+
 def sensitivities(pairs: DataFrame, exposures: DataFrame, beta: float, q: float) -> DataFrame:
     """Per section the modelled value and its derivatives by q and beta."""
     w = F.col("p") * F.col("a") * deterrence(F.col("c"), F.lit(beta))
@@ -175,15 +333,34 @@ def concentration(attributed: DataFrame, section: str, level: float = 0.5, top:
 
 
 def balance(pairs: DataFrame, rounds: int, beta: float) -> DataFrame:
-    """Doubly constrained flows: rows and columns are scaled in turn to p and a.
-
-    Each round is one window per side; after a fixed number of rounds rows fit exactly and
-    columns nearly.  Every fifth round cuts the plan by a table in the shared folder.
-    """
-    scratch = Scratch(pairs.sparkSession, "balance")
+    """Doubly constrained flows after a fixed number of rounds; ``balance_until`` goes on until they fit."""
     t = pairs.where("o <> d").withColumn("f", deterrence(F.col("c"), F.lit(beta)))
+    return _balanced(t, rounds, Scratch(pairs.sparkSession, "balance"))
+
+
+def _balanced(t: DataFrame, rounds: int, scratch: Scratch) -> DataFrame:
+    """Columns, then rows scaled to a and p, ``rounds`` times; every fifth round cuts the plan by a table in the shared folder."""
     for k in range(rounds):
         t = scratch.cut(t) if k and k % 5 == 0 else t
         t = t.withColumn("f", F.col("f") * F.col("a") / F.sum("f").over(Window.partitionBy("d")))
         t = t.withColumn("f", F.col("f") * F.col("p") / F.sum("f").over(Window.partitionBy("o")))
     return t
+
+
+def balance_until(pairs: DataFrame, beta: float, tolerance: float = 1e-9, most_rounds: int = 500) -> tuple[DataFrame, int, float]:
+    """(flows, rounds, gap): doubly constrained flows whose column sums are within ``tolerance`` of a, relative to it.
+
+    Rows fit exactly after every round.  p and a are taken as shares with equal sums.  Raises
+    RuntimeError if ``most_rounds`` don't do, as for columns that no pair reaches.
+    """
+    scratch = Scratch(pairs.sparkSession, "balance")
+    t = scratch.cut(pairs.where("o <> d").withColumn("f", deterrence(F.col("c"), F.lit(beta))))
+    done = 0
+    while done < most_rounds:
+        nxt = scratch.cut(_balanced(t, 4, scratch))
+        scratch.drop(t)
+        t, done = nxt, done + 4
+        off = t.groupBy("d").agg(F.sum("f").alias("s"), F.max("a").alias("a")).agg(F.max(F.coalesce(F.abs(F.try_divide(F.col("s") - F.col("a"), F.col("a"))), F.abs("s"))).alias("gap")).first()["gap"]
+        if off is None or off <= tolerance:
+            return t, done, off or 0.0
+    raise RuntimeError(f"columns are still off by {off} after {done} rounds")

@@ -8,6 +8,8 @@ the longest suffix of the travelled edges that is a known prefix.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,29 +33,31 @@ def via_node_sequences(relations: DataFrame, edges: DataFrame) -> DataFrame:
     return hit.select("relation_id", F.array("e1", "e2").alias("seq")).distinct()
 
 
-def via_way_sequences(relations: DataFrame, edges: DataFrame, max_length: int = 50, max_variants: int = 20) -> DataFrame:
-    """(relation_id, seq, ways): chains over one via way, from way to to way.
+def via_way_sequences(relations: DataFrame, edges: DataFrame, max_variants: int = 20) -> DataFrame:
+    """(relation_id, seq, ambiguous): chains over one via way, from way to to way.
 
     ``relations``: relation_id, from_way, via_way, to_way.  The via way is followed edge by
-    edge in one direction from where the from way ends to where the to way starts.  Relations
-    with more than ``max_variants`` chains are marked ``ambiguous``, not cut.
+    edge in one direction from where the from way ends to where the to way starts, however
+    long it is: no edge is used twice, so the walk ends.  Relations with more than
+    ``max_variants`` chains are marked ``ambiguous``, not cut.  ``restrictions`` compiles
+    chains over several via ways.
     """
+    scratch = Scratch(edges.sparkSession, "chains")
     e = edges.select("edge_id", "way_id", "u", "v", "way_direction")
     first = e.select(F.col("edge_id").alias("e1"), F.col("way_id").alias("from_way"), F.col("v").alias("at"))
     chain = relations.join(first, "from_way").select("relation_id", "via_way", "to_way", "at", F.array("e1").alias("seq"), F.lit(None).cast("string").alias("dir"))
-    step = e.select(F.col("edge_id").alias("en"), F.col("way_id").alias("via_way"), F.col("u").alias("at"), F.col("v").alias("to"), "way_direction")
-    last = e.select(F.col("edge_id").alias("e2"), F.col("way_id").alias("to_way"), F.col("u").alias("at"))
-    done = None
-    for _ in range(max_length):
-        chain = chain.join(step, ["via_way", "at"]).where("(dir is null or dir = way_direction) and not array_contains(seq, en)")
-        chain = chain.select("relation_id", "via_way", "to_way", F.col("to").alias("at"), F.array_append("seq", F.col("en")).alias("seq"), F.col("way_direction").alias("dir"))
-        found = chain.join(last, ["to_way", "at"]).select("relation_id", F.array_append("seq", F.col("e2")).alias("seq"))
-        done = found if done is None else done.unionAll(found)
-        if chain.isEmpty():
+    step = scratch.cut(e.select(F.col("edge_id").alias("en"), F.col("way_id").alias("via_way"), F.col("u").alias("at"), F.col("v").alias("to"), "way_direction"))
+    last = scratch.cut(e.select(F.col("edge_id").alias("e2"), F.col("way_id").alias("to_way"), F.col("u").alias("at")))
+    done = []
+    while True:
+        more = chain.join(step, ["via_way", "at"]).where("(dir is null or dir = way_direction) and not array_contains(seq, en)")
+        chain, n = scratch.cut_with(more.select("relation_id", "via_way", "to_way", F.col("to").alias("at"), F.array_append("seq", F.col("en")).alias("seq"), F.col("way_direction").alias("dir")))
+        if not n["rows"]:
             break
-    done = done.distinct()
-    n = done.groupBy("relation_id").agg((F.count(F.lit(1)) > max_variants).alias("ambiguous"))
-    return done.join(n, "relation_id")
+        done.append(chain.join(last, ["to_way", "at"]).select("relation_id", F.array_append("seq", F.col("e2")).alias("seq")))
+    found = scratch.cut(reduce(DataFrame.unionAll, done).distinct()) if done else chain.select("relation_id", "seq")
+    n = found.groupBy("relation_id").agg((F.count(F.lit(1)) > max_variants).alias("ambiguous"))
+    return found.join(n, "relation_id")
 
 
 def prefixes(sequences: DataFrame) -> DataFrame:

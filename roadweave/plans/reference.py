@@ -668,10 +668,7 @@ def beta_refined(s, d):
 
 @query()
 def jacobian_condition(s, d):
-    import numpy as np
-
-    rows = demand.sensitivities(gravity_pairs(s, d), exposures(s, d), 0.04, 1e6).orderBy("section").limit(1000).collect()
-    r = demand.identifiability(np.array([[x["d_q"], x["d_beta"]] for x in rows]))
+    r = demand.identifiability_of(demand.normal_equations(demand.sensitivities(gravity_pairs(s, d), exposures(s, d), 0.04, 1e6)))
     return s.createDataFrame([(k, float(v)) for k, v in r.items()], "measure string, value double")
 
 

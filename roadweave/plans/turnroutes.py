@@ -42,13 +42,13 @@ _CORE = "core as (select edge_id, u, v, time_s, length_m from edge where core_el
 _MOVES = f"""{_EDGE}, {_CORE}, {_CORESEQ}, steps as (select relation_id, rule_kind, seq, unnest(range(1, len(seq))) as k from sequ where len(seq) >= 2),
   pre as (select distinct seq[1:k] as prefix, seq[k] as last_edge from steps),
   held as (select prefix, v as node from pre join core on last_edge = edge_id),
-  cand as (select prefix, node, c.edge_id, c.v as tn, list_append(prefix, c.edge_id) as path from held join core c on c.u = node),
+  onward as (select prefix, node, c.edge_id, c.v as tn, list_append(prefix, c.edge_id) as path from held join core c on c.u = node),
   suf as (select prefix, prefix[i:len(prefix)] as suffix from (select prefix, unnest(range(1, len(prefix) + 1)) as i from held)),
   nor as (select distinct seq[1:len(seq) - 1] as suffix, seq[len(seq)] as e from sequ where rule_kind = 'NO_SEQUENCE' and len(seq) >= 2),
   onl as (select seq[1:k] as suffix, relation_id, seq[k + 1] as e from steps where rule_kind = 'ONLY_SEQUENCE'),
   ban as (select distinct prefix, e from suf join nor using (suffix)),
   allow as (select prefix, suffix, relation_id, list(e) as ok from suf join onl using (suffix) group by 1, 2, 3),
-  free as (select * from cand where not exists (select 1 from ban where ban.prefix = cand.prefix and ban.e = cand.edge_id) and not exists (select 1 from allow where allow.prefix = cand.prefix and not list_contains(ok, cand.edge_id))),
+  free as (select * from onward where not exists (select 1 from ban where ban.prefix = onward.prefix and ban.e = onward.edge_id) and not exists (select 1 from allow where allow.prefix = onward.prefix and not list_contains(ok, onward.edge_id))),
   nxt as (select f.prefix, f.edge_id, max_by(sfx, len(sfx)) as nx from (select prefix, edge_id, path[i:len(path)] as sfx from (select prefix, edge_id, path, unnest(range(1, len(path) + 1)) as i from free)) f join pre on pre.prefix = f.sfx group by 1, 2),
   moves as (select u as fn, {_NONE} as fp, c.edge_id, v as tn, coalesce(p.prefix, {_NONE}) as tp from core c left join pre p on len(p.prefix) = 1 and p.last_edge = c.edge_id
     union all select node, free.prefix, free.edge_id, tn, coalesce(nx, {_NONE}) from free left join nxt on nxt.prefix = free.prefix and nxt.edge_id = free.edge_id),
