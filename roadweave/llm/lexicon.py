@@ -74,10 +74,8 @@ ask for|asked for|contact|contact on site|spoke with|spoke to|speak to|met with|
 ansprechpartner|ansprechpartner vor ort|ansprechpartnerin|kontakt|gez.|grüßen|gruß|lieber|liebe|geehrter|geehrte|ich heiße|mein name ist|verfasst von|gemeldet von|stammt von|unterschrift|gehen an|vor- und nachname
 spoštovani|spoštovana|lep pozdrav|pozdrav|oseba|kontaktna oseba|odgovorna oseba|podpisan|podpisana|podpis|ime|ime in priimek|pripravil|pripravila|prijavil|prijavila
 """.replace("\n", "|").strip("|").split("|")
-#: What stands right after a person's name, in lower case, from the first character after it.
-PERSON_TAILS = "|".join([
-    r"\s*[(,;]?\s*(?:tel|cell|cellulare|telefono|phone|mobile|telefon|gsm|handy|e-?mail|mail)\b", r",?\s+(?:nato|nata|residente|abitante|born|geboren|wohnhaft|rojen|rojena|stanujoč|stanujoča)\b",
-])
+#: Words that stand right after a person's name, perhaps behind a comma or bracket, in lower case.
+PERSON_TAILS = "tel cell cellulare telefono phone mobile telefon gsm handy email e-mail mail nato nata residente abitante born geboren wohnhaft rojen rojena stanujoč stanujoča".split()
 
 #: Family names that anchor a name beside a word of name's shape (common ones of several countries).
 FAMILY_NAMES = """

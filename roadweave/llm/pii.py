@@ -52,6 +52,8 @@ def _anchors():
         words.setdefault(lower(w), set()).add("family")
     for w in lex.PERSON_CUES:
         words.setdefault(w, set()).add("cue")
+    for w in lex.PERSON_TAILS:
+        words.setdefault(w, set()).add("tail")
     for w in (*"0123456789", "+", "(0"):
         words.setdefault(w, set()).add("number")
     words.setdefault(".", set()).add("dot")
@@ -66,7 +68,8 @@ def _anchors():
     for w in lex.STREET_ENDINGS:
         words.setdefault(w, set()).add("german")
     for w, kinds in words.items():
-        a.add_word(w, (len(w), tuple(sorted(kinds))))
+        # Numbers are by far the most hits; they carry no kinds and are told by that.
+        a.add_word(w, (len(w), None if kinds == {"number"} else tuple(sorted(kinds))))
     a.make_automaton()
     return a
 
@@ -177,6 +180,7 @@ def _phone(text: str, start: int) -> tuple[int, int] | None:
     return best
 
 
+_MONTHS = set("ABCDEHLMPRSTabcdehlmprst")
 _MONTH = "[ABCDEHLMPRSTabcdehlmprst]"
 _ID = re.compile(
     rf"""(?<![A-Za-z0-9])(?:
@@ -202,7 +206,19 @@ def personal_number_ok(s: str) -> bool:
 _ID_REACH = 9
 
 
-def _ids(text: str, low: str, runs: list[int]) -> list[tuple[int, int]]:
+def _runs(text: str, marks: list[int]) -> Iterator[int]:
+    """Starts of the runs of digits that a document number can have first: a year and its month's letter, the 1 of a licence, or five and more."""
+    start = last = -2
+    for i in [*marks, len(text) + 9]:
+        if i != last + 1 or not text[i : i + 1].isdigit():
+            size = last + 1 - start
+            if start >= 0 and (size >= 5 or (size == 2 and text[last + 1 : last + 2] in _MONTHS) or (size == 1 and text[start] == "1" and text[start - 1 : start] in ("U", "u"))):
+                yield start
+            start = i if text[i : i + 1].isdigit() else -2
+        last = i
+
+
+def _ids(text: str, low: str, runs: Iterator[int]) -> list[tuple[int, int]]:
     """Document numbers around runs of digits that begin at ``runs``."""
     out: list[tuple[int, int]] = []
     for run in runs:
@@ -414,7 +430,8 @@ def _initialled(text: str, m: re.Match, blocked) -> tuple[int, int] | None:
 _NO_PERSONS = {lower(w) for w in lex.NO_PERSONS} | {lower(w) for w in lex.STREET_AFTER} | {w.strip(".") for w in lex.STREET_BEFORE}
 _FAMILIES = {lower(w) for w in lex.FAMILY_NAMES}
 _AFTER_CUE = re.compile(rf"(?:{_BLANK}{{0,2}}[:,.])?(?:{_BLANK}{{1,3}}|{_BLANK}*\n{_BLANK}*)")
-_TAIL = re.compile(lex.PERSON_TAILS, re.IGNORECASE)
+_BEFORE_TAIL = re.compile(rf"\s{{0,2}}[(,;]?\s{{0,2}}\Z")
+_GOES_ON = re.compile(rf"{_BLANK}*(?:\Z|[\n,;.)<(])|{_BLANK}+[a-zà-ÿ]")
 _DIGIT_NEAR = re.compile(rf"[.,]?{_BLANK}{{0,2}}(?:n\.?{_BLANK}?)?\d")
 _STREET_END = tuple(lex.STREET_ENDINGS)
 
@@ -470,13 +487,18 @@ def _listed(text: str, end: int, after_name: bool, blocked) -> tuple[int, int] |
     return _shaped(text, m.end(), blocked) or (_shaped(text, m.end(), blocked, "upper") if capitals else None)
 
 
+def _opens(text: str, at: int) -> str:
+    """What stands before a place, blanks and bullets aside; only a few characters are looked at."""
+    return text[max(0, at - 8) : at].rstrip(" \xa0\t-*")
+
+
 def _signed_off(text: str, start: int, blocked) -> tuple[int, int] | None:
     """A line of nothing but a name's words above a line that begins with a phone or mail at ``start``."""
     m = re.search(rf"{_BLANK}*\n{_BLANK}*\Z", text[max(0, start - 8) : start])
     if not m:
         return None
     span = _before_tail(text, start - len(m.group()), blocked)
-    return span if span and text[: span[0]].rstrip(" \xa0\t")[-1:] in ("", "\n") else None
+    return span if span and _opens(text, span[0])[-1:] in ("", "\n") else None
 
 
 def _before_tail(text: str, tail: int, blocked) -> tuple[int, int] | None:
@@ -505,9 +527,9 @@ def _known_family(text: str, start: int, end: int, blocked) -> tuple[int, int] |
     s = _left_token(text, start, False)
     t = _TOKEN.match(text, s[0]) if s else None
     if s and t and t.end() == s[1] and _name_word(text, t, blocked) and not _DIGIT_NEAR.match(text, end):
-        opens = s[0] == 0 or text[:s[0]].rstrip(" \xa0\t-*")[-1:] in (".", "!", "?", "\n", "")
+        opens = _opens(text, s[0])[-1:] in (".", "!", "?", "\n", "")
         # A first word of a sentence may be any word: there the text must end or go on as after a name.
-        if not opens or re.match(rf"{_BLANK}*(?:$|[\n,;.)<(])|{_BLANK}+[a-zà-ÿ]", text[end:]):
+        if not opens or _GOES_ON.match(text, end):
             return s[0], end
     return None
 
@@ -521,7 +543,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         return []
     low = lower(text)
     hits: dict[str, list[tuple[int, int]]] = {}
+    marks: list[int] = []
     for end, (n, kinds) in _anchors().iter(low):
+        if kinds is None:
+            marks.append(end + 1 - n)
+            continue
         for k in kinds:
             hits.setdefault(k, []).append((end + 1 - n, end + 1))
     taken: list[tuple[int, int, str]] = []
@@ -538,12 +564,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for i, j in hits.get("mail", ()):
         bare = text[i:j].strip(" \xa0").lower() in ("at", "chiocciola")
         take(_mail(text, i, j, bare), "email")
-    marks = [i for i, _ in hits.get("number", ())]
-    digits = [i for i in marks if text[i] not in "+(" and not (i and text[i - 1].isascii() and text[i - 1].isdigit())]
-    for span in _ids(text, low, digits):
+    for span in _ids(text, low, _runs(text, marks)):
         take(span, "id_number")
     for i in marks:
-        if not used[i] and _NUMBER_START.match(text, i):
+        if text[i] in "+(03" and not used[i] and _NUMBER_START.match(text, i):
             take(_phone(text, i), "phone")
     word_edge = lambda i, j: (not i or not (text[i - 1].isalnum() or text[i - 1] == "_")) and (j == len(text) or not (text[j].isalnum() or text[j] == "_"))
     addresses = []
@@ -568,8 +592,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for i, j in sorted(hits.get("cue", ()), key=lambda h: (h[1], h[0])):
         if not used[i]:
             take(_after_cue(text, i, j, blocked), "name")
-    for m in _TAIL.finditer(text):
-        take(_before_tail(text, m.start(), blocked), "name")
+    for i, j in hits.get("tail", ()):
+        if word_edge(i, j) and text[i - 1 : i] not in ("", "@", "-", "."):
+            m = _BEFORE_TAIL.search(text, max(0, i - 5), i)
+            take(_before_tail(text, m.start(), blocked), "name")
     for i, _, k in list(taken):
         if k in ("phone", "email"):
             take(_signed_off(text, i, blocked), "name")
