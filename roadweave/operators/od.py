@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.operators.routing import all_pairs
+
 #: Vehicle trips a day per commuter relation (a fixed value).
 ALPHA = 0.42855
 
@@ -63,12 +65,10 @@ def both_directions(od: DataFrame, times: DataFrame) -> DataFrame:
 def symmetric_flows(od: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Dense grid of ordered pairs of different zones with alpha (P_od + P_do), missing as zero.
 
-    The grid pairs the zones, a table of a few thousand rows at most by its meaning; it is
-    built from two exploded copies joined on a constant-size key, not from the flow rows.
+    The grid is the result's own size; ``all_pairs`` makes it without a list of zones in one task.
     """
     zones = od.select(F.explode(F.array("o", "d")).alias("z")).distinct()
-    everyone = zones.agg(F.sort_array(F.collect_set("z")).alias("all"))
-    grid = zones.join(F.broadcast(everyone)).select(F.col("z").alias("o"), F.explode("all").alias("d")).where("o <> d")
+    grid = all_pairs(zones, "z").select(F.col("source").alias("o"), F.col("target").alias("d"))
     p = od.groupBy("o", "d").agg(F.sum("flow").alias("p"))
     back = p.select(F.col("d").alias("o"), F.col("o").alias("d"), F.col("p").alias("p_back"))
     both = grid.join(p, ["o", "d"], "left").join(back, ["o", "d"], "left").na.fill(0, ["p", "p_back"])
@@ -77,9 +77,9 @@ def symmetric_flows(od: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 def territorial_shares(zones: DataFrame) -> DataFrame:
     """P from cars, A as the even blend of tourism and retail shares; each sums to one."""
-    whole = lambda c: F.sum(c).over(Window.partitionBy())
-    a = 0.5 * F.col("tourism") / whole("tourism") + 0.5 * F.col("retail") / whole("retail")
-    return zones.withColumns({"p_share": F.col("cars") / whole("cars"), "a_share": a})
+    whole = F.broadcast(zones.agg(*[F.sum(c).alias(f"_{c}") for c in ("cars", "tourism", "retail")]))  # one row
+    a = 0.5 * F.col("tourism") / F.col("_tourism") + 0.5 * F.col("retail") / F.col("_retail")
+    return zones.join(whole).withColumns({"p_share": F.col("cars") / F.col("_cars"), "a_share": a}).drop("_cars", "_tourism", "_retail")
 
 
 def completeness(matrix: DataFrame, by: list[str], o: str, d: str) -> DataFrame:

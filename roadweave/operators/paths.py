@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.operators.routing import all_pairs
+
 
 def access_pairs(accesses: DataFrame, zone: str) -> DataFrame:
     """All access pairs of different zones with the product of their weights.
 
-    The access table has a fixed few rows per zone; the grid of zones is exploded from one
-    row that lists them.
+    The access table has a fixed few rows per zone; it is joined to both ends of the grid of zones.
     """
     a = accesses.select(F.col(zone).alias("zone"), "node", "lambda")
-    others = a.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("node", "lambda"))).alias("acc")).agg(F.collect_list(F.struct("zone", "acc")).alias("all"))
-    grid = a.join(F.broadcast(others)).select(F.col("zone").alias("o"), F.col("node").alias("source"), F.col("lambda").alias("lo"), F.explode("all").alias("t")).where("o <> t.zone")
-    pairs = grid.select("o", "source", "lo", F.col("t.zone").alias("d"), F.explode("t.acc").alias("x"))
-    return pairs.select("o", "d", "source", F.col("x.node").alias("target"), (F.col("lo") * F.col("x.lambda")).alias("weight"))
+    end = lambda z, n, w: a.select(F.col("zone").alias(z), F.col("node").alias(n), F.col("lambda").alias(w))
+    grid = all_pairs(a, "zone").withColumnsRenamed({"source": "o", "target": "d"})
+    pairs = grid.join(end("o", "source", "lo"), "o").join(end("d", "target", "ld"), "d")
+    return pairs.select("o", "d", "source", "target", (F.col("lo") * F.col("ld")).alias("weight"))
 
 
 def weighted_summary(paths: DataFrame) -> DataFrame:

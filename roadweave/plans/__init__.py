@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers those of every module."""
 
-from roadweave.plans import checks, fitting, reference, turnroutes  # noqa: F401
+from roadweave.plans import checks, fitting, reference, small, turnroutes  # noqa: F401

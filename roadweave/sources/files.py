@@ -21,13 +21,15 @@ def detect_separator(header: str, candidates: str = ";,\t|") -> str:
 def read_delimited(spark: SparkSession, path: str | list[str], sep: str | None = None, types: dict[str, str] | None = None, decimal_comma: tuple[str, ...] = (), provenance: str | None = None) -> DataFrame:
     """A delimited file as text columns, with trimmed names, no byte-order mark and chosen types.
 
-    Without ``sep`` it is taken from the header.  ``types`` casts columns (null if the text
+    Without ``sep``, or if the header has one column by it, it is taken from the header.  ``types`` casts columns (null if the text
     doesn't convert); ``decimal_comma`` columns become doubles.  ``provenance`` names a column
     for the file path.  Several files must have one header.
     """
     first = path if isinstance(path, str) else path[0]
     header = header_of(spark, first)
     sep = sep or detect_separator(header)
+    if sep not in header and detect_separator(header) in header:  # one column by the given separator: the file has another
+        sep = detect_separator(header)
     names = [n.strip().strip('"').strip() for n in header.split(sep)]
     if len(set(names)) != len(names):
         raise ValueError(f"header repeats a name: {names}")
@@ -69,6 +71,15 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def reload(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """``df``, once its keys are found complete and unique and, if given, its rows as many as they were."""
+    missing = F.sum(F.when(F.greatest(*[F.col(k).isNull().cast("int") for k in [*keys, keys[0]]]) > 0, 1).otherwise(0))
+    r = require_columns(df, *keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*keys).alias("d"), F.coalesce(missing, F.lit(0)).alias("null")).first()
+    if r["null"] or r["d"] != r["n"] or (rows is not None and r["n"] != rows):
+        raise ValueError(f"{r['n']} rows, {r['d']} keys, {r['null']} without a key; wanted {rows if rows is not None else 'unique keys'}")
+    return df
+
+
 def find_tables(spark: SparkSession, wanted: dict[str, set[str]]) -> dict[str, str]:
     """For each role the catalog table that has most of its columns, if it has them all."""
     tables = {t.name: {c.name for c in spark.catalog.listColumns(t.name)} for t in spark.catalog.listTables()}
