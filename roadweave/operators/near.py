@@ -144,14 +144,15 @@ def _points_of(a: DataFrame, b: DataFrame, level: int, pairs: DataFrame, radius_
     return out.select("pa._id", F.col("pb._id").alias("_id2"))
 
 
-def in_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, x: str, y: str, ring: str, buffer: float = 0.0, cells: int = 8) -> DataFrame:
+def in_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, x: str, y: str, ring: str, buffer: float = 0.0, cells: int = 32) -> DataFrame:
     """(point, region) pairs where the point lies in the region's ring or within ``buffer`` of it.
 
     ``ring`` is an array of structs (x, y), closed or not; planar coordinates.  A region's
     box, widened by the buffer, is covered with at most (``cells`` + 1) squared cells whose
     side is a power of two, so regions of any sizes lie side by side.  Points look only at
     levels that a region has.  Tree nodes of the points (bounding box per cell) are compared
-    with the region's box first; those outside are discarded, the rest is refined to points,
+    with the ring first: a node that no side comes near lies wholly inside and is accepted
+    with all its points, or wholly outside and is discarded; the rest is refined to points,
     for which even-odd ray casting and the distance to each side decide.  Null coordinates
     and rings of fewer than three points match nothing; a ring with a null corner neither.
     """
@@ -173,21 +174,37 @@ def in_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id:
     p = scratch.cut(p)
     at = ["_level", "_cx", "_cy"]
     boxes = p.groupBy(*at).agg(F.min("_px").alias("_nx0"), F.max("_px").alias("_nx1"), F.min("_py").alias("_ny0"), F.max("_py").alias("_ny1"))
-    met = cover.join(boxes, at).where("_nx0 <= _x1 and _nx1 >= _x0 and _ny0 <= _y1 and _ny1 >= _y0").select(region_id, "_ring", *at)
+    near = cover.join(boxes, at).where("_nx0 <= _x1 and _nx1 >= _x0 and _ny0 <= _y1 and _ny1 >= _y0")
     sides = F.arrays_zip(F.col("_ring").alias("p"), F.concat(F.slice("_ring", 2, F.size("_ring")), F.slice("_ring", 1, 1)).alias("q"))
-    px, py = F.col("_px"), F.col("_py")
+    ends = lambda s: [(s[n]["x"], s[n]["y"]) for n in ("p", "q")]
+
+    def crosses(px: Column, py: Column):
+        def one(s: Column) -> Column:
+            (x0, y0), (x1, y1) = ends(s)
+            return ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / F.nullif(y1 - y0, F.lit(0.0)) + x0)
+
+        return F.size(F.filter("_sides", lambda s: F.coalesce(one(s), F.lit(False)))) % 2 == 1
 
-    def crosses(s: Column) -> Column:
-        (x0, y0), (x1, y1) = [(s[n]["x"], s[n]["y"]) for n in ("p", "q")]
-        return ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / F.nullif(y1 - y0, F.lit(0.0)) + x0)
+    def touches(s: Column) -> Column:
+        """A side may come within the buffer of the node's box: their boxes meet, and the corners don't all lie on one side of its line."""
+        (x0, y0), (x1, y1) = ends(s)
+        bx0, bx1, by0, by1 = F.col("_nx0") - buffer, F.col("_nx1") + buffer, F.col("_ny0") - buffer, F.col("_ny1") + buffer
+        turn = [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) for x in (bx0, bx1) for y in (by0, by1)]
+        meet = (F.least(x0, x1) <= bx1) & (F.greatest(x0, x1) >= bx0) & (F.least(y0, y1) <= by1) & (F.greatest(y0, y1) >= by0)
+        return meet & ~((F.least(*turn) > 0) | (F.greatest(*turn) < 0))
+
+    px, py = F.col("_px"), F.col("_py")
 
     def close(s: Column) -> Column:
-        (x0, y0), (x1, y1) = [(s[n]["x"], s[n]["y"]) for n in ("p", "q")]
+        (x0, y0), (x1, y1) = ends(s)
         dx, dy = x1 - x0, y1 - y0
         t = F.coalesce(((px - x0) * dx + (py - y0) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
         t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
         return _square([px - (x0 + t * dx), py - (y0 + t * dy)]) <= buffer * buffer
 
-    inside = F.size(F.filter(sides, lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
-    hit = met.join(p, at).where(inside | F.exists(sides, close))
-    return hit.select(point_id, region_id).distinct()
+    middle = crosses((F.col("_nx0") + F.col("_nx1")) / 2, (F.col("_ny0") + F.col("_ny1")) / 2)
+    judged = near.withColumn("_sides", sides).withColumn("_unsure", F.exists("_sides", touches))
+    judged = scratch.cut(judged.where(F.col("_unsure") | middle).select(region_id, "_sides", "_unsure", *at))
+    sure = judged.where("not _unsure").select(region_id, *at).join(p, at).select(point_id, region_id)
+    open_ = judged.where("_unsure").join(p, at).where(crosses(px, py) | F.exists("_sides", close)).select(point_id, region_id)
+    return sure.unionAll(open_).distinct()

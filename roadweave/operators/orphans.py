@@ -185,7 +185,7 @@ def replay(spark: SparkSession, tables: dict[str, DataFrame], relations: list[Re
 
     A batch holds the rows loaded in its span and, once more with their deletion stamp, the
     rows loaded earlier that were withdrawn in it; a row isn't known as withdrawn before
-    (the last batch takes in every deletion stamp).  Relations are independent and run side
+    (the last batch takes in every deletion stamp).  Relations are independent; two run side
     by side.  ``path`` names the folder of the states; those in it are carried on.
     """
     cuts = load_cuts(list(tables.values()), relations[0].loaded, increments)
@@ -204,7 +204,8 @@ def replay(spark: SparkSession, tables: dict[str, DataFrame], relations: list[Re
             state.advance(batch, tables[r.child].where(_span(at, cuts, k)))
         return state
 
-    with ThreadPoolExecutor(len(relations)) as pool:
+    # Two at a time: every batch holds some plans in the driver's memory.
+    with ThreadPoolExecutor(2) as pool:
         return list(pool.map(run, relations))
 
 

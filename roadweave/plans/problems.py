@@ -127,8 +127,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Waiting references per table, month and kind after each of three batches."""
-    return reduce(DataFrame.unionAll, [s.snapshots() for s in orphans.replay(spark, _network(spark, d), orphans.NETWORK_RELATIONS, increments=3)])
+    """Waiting references per table, month and kind after each of two batches."""
+    return reduce(DataFrame.unionAll, [s.snapshots() for s in orphans.replay(spark, _network(spark, d), orphans.NETWORK_RELATIONS, increments=2)])
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
