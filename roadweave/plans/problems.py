@@ -83,7 +83,7 @@ def _all_copies(spark: SparkSession, d: str) -> tuple[list[DataFrame], dict]:
 def p2_all_rows(spark: SparkSession, d: str) -> DataFrame:
     """The same comparison over all rows, superseded and repeated ones included, so that keys repeat."""
     sides, fields = _all_copies(spark, d)
-    return diff.diff_copies(*sides, "section_id", fields, ("review", "mapping")).groupBy("diff", "field").agg(F.sum("n").alias("n"))
+    return diff.diff_copies(*sides, "section_id", fields, ("review", "mapping"))
 
 
 def p2_pairing(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,11 @@ _TYPED = ", ".join(
     + [f"cast(replace({_CODE.format(i=i)}, ',', '.') as double) as {f.name}" for i, f in enumerate(rejects.TRAVEL_MATRIX, 1) if f.type == "double"]
 )
 
+_RE2_FIELDS = [f'[ \\t]*(?:"[0-9]{{1,{n}}}"|[0-9]{{1,{n}}})[ \\t]*' for n in (2, 3, 6, 2, 3, 6)] + ['[ \\t]*(?:"(?:[0-9]+,?[0-9]*|,[0-9]+)"|(?:[0-9]+,?[0-9]*|,[0-9]+))[ \\t]*'] * 3
+_BROKEN = "case " + " ".join(f"when not regexp_matches(t, '^{';'.join(_RE2_FIELDS[:k])}(?:;|$)') then {k}" for k in range(1, 10)) + " else 10 end"
+
 ORACLE = {
+    "p7_rejects": _LINES.replace("where line_no > 1", "where line_no is null or line_no > 1") + f"select source_file, reason as reject_reason, cast({_BROKEN} as integer) as broken_field, count(*) as n from judged where reason is not null group by 1, 2, 3",
     "p2_found": f"select section_id, diff, field from ({_DIFFS})",
     "p2_differences": f"select *, cast(1 as bigint) as n from ({_DIFFS})",
     "p3_found": f"""select distinct {_SECTION} as section_id, node_id from stations s join nodes n on

@@ -351,14 +351,16 @@ def topo_segments(s, d):
     return network.topo_segments(_way_segments(s, d), network.structural_nodes(edges1(s, d)))
 
 
-@query(f"""with recursive {_EDGE}, l as (select distinct u as a, v as b from edge where u is not null and v is not null union select v, u from edge where u is not null and v is not null),
-  n as (select distinct unnest([u, v]) as id from edge), cc(id, comp) using key (id) as (select id, id from n where id is not null union (select x.id, min(y.comp) from recurring.cc as x join l on l.a = x.id join cc as y on y.id = l.b where y.comp < x.comp group by x.id))
-  select id as node_id, comp as component from cc""")
+_WCC = f"""with recursive {_EDGE}, l as (select distinct u as a, v as b from edge where u is not null and v is not null union select v, u from edge where u is not null and v is not null),
+  n as (select distinct unnest([u, v]) as id from edge), cc(id, comp) using key (id) as (select id, id from n where id is not null union (select x.id, min(y.comp) from recurring.cc as x join l on l.a = x.id join cc as y on y.id = l.b where y.comp < x.comp group by x.id))"""
+
+
+@query(_WCC + " select id as node_id, comp as component from cc")
 def wcc_labels(s, d):
     return closure.weak_components(edges1(s, d).select("u", "v"))
 
 
-@query()
+@query(_WCC + ", g as (select comp as component, count(*) as size from cc group by 1) select component, size, component = (select component from g order by size desc, component limit 1) as is_giant from g")
 def giant_component(s, d):
     return closure.component_sizes(closure.weak_components(edges1(s, d).select("u", "v")))
 
@@ -712,7 +714,21 @@ def _plane_segments(s, d):
     return segments1(s, d).select("segment_uid", "ref", "u", "v").join(at("u"), "u").join(at("v"), "v").select("segment_uid", "ref", "x_u", "y_u", "x_v", "y_v")
 
 
-@query()
+_NORM = "regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"
+_UTM32 = (
+    "(select *, 500000.0 + 0.9996 * {r} * (eta + " + " + ".join(f"{{a{j}}} * cos(2 * {j} * xi) * sinh(2 * {j} * eta)" for j in (1, 2, 3)) + ") as x, 0.9996 * {r} * (xi + " + " + ".join(f"{{a{j}}} * sin(2 * {j} * xi) * cosh(2 * {j} * eta)" for j in (1, 2, 3)) + ") as y from "
+    "(select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from (select *, sinh(atanh(sn) - {e} * atanh({e} * sn)) as t from (select *, sin(radians(lat)) as sn, radians(lon - 9) as lam from st0))))"
+).format(r=f"{geo._RADIUS!r}::double", e=f"{2 * geo.math.sqrt(geo._N) / (1 + geo._N)!r}::double", **{f"a{j}": f"{a!r}::double" for j, a in enumerate(geo._ALPHA, 1)})
+
+
+@query(f"""with {_SEG}, {_NODE}, st0 as (select SECTION_ID as section_id, r[1] as road, r[2] as lon, r[3] as lat from (select SECTION_ID, min(row(ROAD, LON, LAT)) as r from stations where LAT between 40 and 50 and LON between 5 and 20 group by 1)),
+  st as {_UTM32},
+  g as (select segment_uid, ref, a.x as x0, a.y as y0, b.x - a.x as dx, b.y - a.y as dy from seg join node a on a.node_id = u join node b on b.node_id = v where a.x is not null and b.x is not null and a.y is not null and b.y is not null),
+  nr as (select section_id, segment_uid, road, ref, sqrt(power(st.x - (x0 + t * dx), 2) + power(st.y - (y0 + t * dy), 2)) as dist from (select st.section_id, st.road, st.x, st.y, g.*, greatest(0, least(1, coalesce(((st.x - x0) * dx + (st.y - y0) * dy) / nullif(dx * dx + dy * dy, 0), 0))) as t
+    from st join g on st.x between least(x0, x0 + dx) - 500 and greatest(x0, x0 + dx) + 500 and st.y between least(y0, y0 + dy) - 500 and greatest(y0, y0 + dy) + 500) st),
+  c as (select *, coalesce(list_contains(list_filter(list_transform(regexp_split_to_array(coalesce(ref, ''), '[;,/|]+'), lambda z: {_NORM.format(c='z')}), lambda z: z <> ''), {_NORM.format(c='road')}), false) as same from nr where dist <= 500),
+  k as (select *, row_number() over (partition by section_id order by not (same and dist <= 300), dist, segment_uid) as n, count(*) over (partition by section_id) as candidates, count(*) filter (dist <= 100) over (partition by section_id) as within_100 from c)
+  select section_id, segment_uid, round(dist, 4) as distance, case when same and dist <= 300 then 'REF_CONFIRMED' else 'NEAREST_ONLY_REF_NOT_CONFIRMED' end as status, candidates, within_100 from k where n = 1""")
 def station_match(s, d):
     return stations.match_segments(_plane_stations(s, d), _plane_segments(s, d))
 
@@ -740,7 +756,11 @@ def weighted_centroid(s, d):
     return od.weighted_centroid(t, "PRO_COM", 1 / (1 + F.col("distance_m")), "x", "y")
 
 
-@query()
+@query(f"""with recursive {_NODE}, p as (select node_id as i, x, y, cast(floor(x / 25) as bigint) as gx, cast(floor(y / 25) as bigint) as gy from node where x is not null and y is not null),
+  a as (select i, x, y, gx + ox as gx, gy + oy as gy from p cross join (select unnest([-1, 0, 1]) as ox) cross join (select unnest([-1, 0, 1]) as oy)),
+  l as (select a.i as a, p.i as b from a join p using (gx, gy) where a.i <> p.i and sqrt(power(a.x - p.x, 2) + power(a.y - p.y, 2)) <= 25),
+  cc(id, comp) using key (id) as (select i, i from p union (select x.id, min(y.comp) from recurring.cc as x join l on l.a = x.id join cc as y on y.id = l.b where y.comp < x.comp group by x.id))
+  select comp as cluster, count(*) as n, round(avg(x), 6) as cx, round(avg(y), 6) as cy from cc join p on p.i = id group by 1""")
 def endpoint_clusters(s, d):
     return closure.cluster_points(nodes1(s, d), "node_id", "x", "y", 25.0)
 
@@ -812,7 +832,7 @@ def station_quality(s, d):
     return table(s, d, "stations").groupBy("SECTION_ID", "QUALITY_CLASS").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("select segment_uid, way_id, seq, row_number() over (order by way_id nulls first, seq nulls first, segment_uid nulls first) - 1 as number from (select distinct segment_uid, way_id, seq from segments)")
 def dense_edge_numbers(s, d):
     t = table(s, d, "segments").select("segment_uid", "way_id", "seq").distinct()
     return network.numbered(t, ["way_id", "seq", "segment_uid"], "number", Scratch(s, "numbers"))
