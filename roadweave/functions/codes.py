@@ -165,3 +165,55 @@ def has_bit(mask: Column, index: Column) -> Column:
 
 def any_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags)
+
+
+#: Access tag values by class (fixed values): what cars may do, most open first.
+ACCESS_CLASSES = {
+    "open": ("yes", "permissive", "designated", "official"),
+    "local_restricted": ("destination", "customers", "delivery", "residents"),
+    "permission_restricted": ("private", "permit"),
+    "authorized_only": ("agricultural", "forestry", "emergency", "psv", "bus"),
+    "prohibited": ("no",),
+}
+#: Routing code of each access class (fixed values).
+ACCESS_CODES = {"open": 1, "local_restricted": 2, "permission_restricted": 0, "authorized_only": 0, "prohibited": 0}
+
+
+def access_class(tags: Column, way: str | None = None) -> Column:
+    """The class of the first access tag that is there, from the most specific to ``access``; open without any.
+
+    ``way`` (forward or backward) puts the tags of that direction before the general ones of
+    the same name.  A value of no class is prohibited, as nothing allows it.
+    """
+    names = [n for base in ("motorcar", "motor_vehicle", "vehicle", "access") for n in ([f"{base}:{way}", base] if way else [base])]
+    value = F.lower(F.trim(first_tag(tags, *names)))
+    out = F.when(value.isNull(), "open")
+    for name, values in ACCESS_CLASSES.items():
+        out = out.when(value.isin(*values), name)
+    return out.otherwise("prohibited")
+
+
+def routing_status(access: Column, closed_direction: Column) -> Column:
+    """closed_direction, closed_access, local_restricted or open; a closed direction counts first."""
+    code = F.create_map(*[F.lit(x) for kv in ACCESS_CODES.items() for x in kv])[access]
+    return F.when(closed_direction, "closed_direction").when(code == 0, "closed_access").when(code == 2, "local_restricted").otherwise("open")
+
+
+def annual(daily: Column, days: float = 365.0) -> Column:
+    """A daily amount over a year of ``days`` days."""
+    return daily * F.lit(float(days))
+
+
+def thinned(flow: Column, *shares: Column | float) -> Column:
+    """A flow reduced by shares one after another; a share outside 0 to 1 gives null."""
+    out = flow
+    for s in shares:
+        c = s if isinstance(s, Column) else F.lit(float(s))
+        out = out * F.when((c >= 0) & (c <= 1), c)
+    return out
+
+
+def swapped(flag: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """Two columns, exchanged where the flag is set (null counts as not set)."""
+    on = F.coalesce(flag, F.lit(False))
+    return F.when(on, b).otherwise(a), F.when(on, a).otherwise(b)

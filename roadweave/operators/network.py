@@ -107,3 +107,20 @@ def neighbourhood(segments: DataFrame, wanted: DataFrame, reach: int = 2) -> Dat
     ends = seeds.select(F.explode(F.array("u", "v")).alias("n")).distinct()
     touch = segments.select("segment_uid", F.explode(F.array("u", "v")).alias("n")).join(ends, "n", "left_semi").select("segment_uid")
     return near.union(touch).distinct().join(wanted.select("segment_uid"), "segment_uid", "left_anti")
+
+
+def contracted_chains(segments: DataFrame, segment: str = "segment_uid") -> DataFrame:
+    """(chain, segments, length_m): segments joined across nodes where exactly two ends meet, whatever their ways.
+
+    A chain is named after its least segment; a ring of such nodes is one chain.  Loops and
+    segments without ends stand alone.
+    """
+    from roadweave.operators.closure import weak_components
+
+    s = segments.where(F.col(segment).isNotNull())
+    ids = s.select(F.col(segment).alias("s"), "u", "v", "length_m", F.xxhash64(segment).alias("h"))
+    ends = ids.where("u <> v").select("s", "h", F.explode(F.array("u", "v")).alias("n")).where("n is not null")
+    loops = ids.where("u = v").select(F.col("u").alias("n")).distinct()
+    meet = ends.join(loops, "n", "left_anti").groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.min("h").alias("a"), F.max("h").alias("b")).where("k = 2 and a <> b")
+    labels = weak_components(meet.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(ids.select("h", "h")))
+    return ids.join(labels.select(F.col("node_id").alias("h"), "component"), "h").groupBy("component").agg(F.min("s").alias("chain"), F.count(F.lit(1)).alias("segments"), F.sum("length_m").alias("length_m")).drop("component")

@@ -79,3 +79,12 @@ def edge_use(slots: DataFrame, weights: DataFrame, path: list[str]) -> DataFrame
     """Per edge the number of distinct paths over it and their summed weight."""
     one = slots.select(*path, "edge_id").distinct()
     return one.join(weights, path).groupBy("edge_id").agg(F.count(F.lit(1)).alias("paths"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+def path_sanity(paths: DataFrame, hit: str, reported: DataFrame | None = None) -> DataFrame:
+    """(o, d, n, hits, hit_weight[, delta]): how many of a pair's paths hit, their weight, and how far that is from a reported exposure."""
+    on = F.col(hit)
+    g = paths.groupBy("o", "d").agg(F.count(F.lit(1)).alias("n"), F.sum(on.cast("int")).alias("hits"), F.coalesce(F.sum(F.when(on, F.col("weight"))), F.lit(0.0)).alias("hit_weight"))
+    if reported is None:
+        return g
+    return g.join(reported.select("o", "d", "p"), ["o", "d"], "left").withColumn("delta", F.least("hit_weight", F.lit(1.0)) - F.coalesce("p", F.lit(0.0))).drop("p")

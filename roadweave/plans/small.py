@@ -343,3 +343,57 @@ def databases(folder: str) -> list[str]:
     return [str(p) for p in sorted(Path(folder).rglob("*")) if p.is_file() and p.read_bytes()[:16] == b"SQLite format 3\0"]
 
 
+
+
+@query("select event_id, case when event_id % 5 = 0 and event_type = 'view' then 'closed_direction' when c in (0) then 'closed_access' when c = 2 then 'local_restricted' else 'open' end as status, n as class from (select *, case n when 'open' then 1 when 'local_restricted' then 2 else 0 end as c from (select event_id, event_type, case when event_type = 'view' then 'open' when event_type = 'click' then 'local_restricted' when event_type = 'error' then 'prohibited' when event_type = 'purchase' then 'permission_restricted' else 'open' end as n from events))")
+def access_classes(s, d):
+    """Access class and routing status from tags, the tag of the direction before the general one."""
+    e = F.col("event_type")
+    tag = F.when(e == "view", F.lit("yes")).when(e == "click", "destination").when(e == "error", "no").when(e == "purchase", "private")
+    tags = F.map_filter(F.create_map(F.lit("motor_vehicle:forward"), tag, F.lit("access"), F.when(tag.isNotNull(), "no")), lambda k, v: v.isNotNull())
+    t = table(s, d, "events").withColumn("class", codes.access_class(tags, "forward"))
+    return t.select("event_id", codes.routing_status(F.col("class"), (F.col("event_id") % 5 == 0) & (e == "view")).alias("status"), "class")
+
+
+@query(f"with {_OD}, k as (select sum(flow) filter (o <> d and (o + d) % 4 <> 0) as known, sum(o + d) filter (o <> d and (o + d) % 4 = 0) as cap from od) select case when o > d then d else o end as lo, case when o > d then o else d end as hi, case when o = d then 0 else round(case when (o + d) % 4 <> 0 then flow else 1000.0 * (o + d) / (select cap from k) end, 6) end as flow, round(flow * 0.42855 * 365, 6) as yearly, round(flow * 0.2 * 0.5, 6) as thinned from od")
+def flow_transforms(s, d):
+    """Ends in order, diagonal as zero, unknown flows by their share of a capacity, a year's amount, a thinned flow."""
+    from roadweave.operators.od import ALPHA
+
+    f = ref.od_flows(s, d)
+    o, t = F.col("o"), F.col("d")
+    hidden = (o + t) % 4 == 0
+    cap = F.broadcast(f.where((o != t) & hidden).agg(F.sum(o + t).alias("cap")))
+    lo, hi = codes.swapped(o > t, o, t)
+    known = F.when(~hidden, F.col("flow").cast("double"))
+    filled = misc.imputed(known, (o + t).cast("double"), F.lit(1000.0), F.col("cap"))
+    return f.join(cap).select(lo.alias("lo"), hi.alias("hi"), F.when(o == t, 0.0).otherwise(F.round(filled, 6)).alias("flow"), F.round(codes.annual(F.col("flow") * ALPHA), 6).alias("yearly"), F.round(codes.thinned(F.col("flow").cast("double"), 0.2, 0.5), 6).alias("thinned"))
+
+
+@query(_APATHS + ", h as (select *, (source * 31 + target * 17) % 5 = 0 as hit from path) select o, d, count(*) as n, cast(sum(cast(hit as integer)) as bigint) as hits, round(coalesce(sum(weight) filter (hit), 0), 6) as hit_weight, round(least(coalesce(sum(weight) filter (hit), 0), 1.0) - coalesce(sum(weight) filter (hit), 0) * 0.5, 6) as delta from h group by 1, 2")
+def pair_sanity(s, d):
+    """Hits among the access paths of every pair, against half the exposure as reported."""
+    from roadweave.operators import paths as p
+
+    t = ref.access_paths(s, d).withColumn("hit", (F.col("source") * 31 + F.col("target") * 17) % 5 == 0)
+    reported = t.where("hit").groupBy("o", "d").agg((F.sum("weight") * 0.5).alias("p"))
+    r = p.path_sanity(t, "hit", reported)
+    return r.select("o", "d", "n", "hits", F.round("hit_weight", 6).alias("hit_weight"), F.round("delta", 6).alias("delta"))
+
+
+@query(f"""with recursive {_SEG}, e as (select segment_uid as s, unnest([u, v]) as n from seg where u <> v), lp as (select u as n from seg where u = v),
+  m as (select min(s) as a, max(s) as b from e where n is not null and n not in (select n from lp where n is not null) group by n having count(*) = 2 and min(s) <> max(s)), l as (select a, b from m union select b, a from m),
+  cc(id, comp) using key (id) as (select segment_uid, segment_uid from seg where segment_uid is not null union (select x.id, min(y.comp) from recurring.cc as x join l on l.a = x.id join cc as y on y.id = l.b where y.comp < x.comp group by x.id))
+  select comp as chain, count(*) as segments, round(sum(length_m), 4) as length_m from cc join seg on segment_uid = id group by 1""")
+def contracted_chains(s, d):
+    """Segments joined across nodes where exactly two ends meet."""
+    return network.contracted_chains(segments1(s, d)).withColumn("length_m", F.round("length_m", 4))
+
+
+@query("select user_id, make_timestamp(cast(floor(epoch_us(ts) / 1800000000) as bigint) * 1800000000) as start, make_timestamp(cast(floor(epoch_us(ts) / 1800000000) as bigint) * 1800000000 + 1800000000) as \"end\", count(*) as n from events where ts is not null group by 1, 2, 3")
+def windowed_visits(s, d):
+    """Visits per user and half hour, by the operator that also runs on a stream."""
+    from roadweave.streaming.windows import windowed_counts
+
+    t = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return windowed_counts(t, ["user_id"], "ts", "30 minutes")
