@@ -8,14 +8,14 @@ shuffles over the links, cut by a table in the shared folder.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.runtime import Scratch, ship
+from roadweave.operators import routing
+from roadweave.runtime import Scratch
 
-#: Arcs up to which a graph is flooded in one task.
-KERNEL_ARCS = 400_000
+#: Nodes of the part of a graph, with their arcs, that one task floods.
+KERNEL_ARCS = routing.PART_NODES
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -55,56 +55,15 @@ def weak_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return nodes.join(links.select(F.col("u").alias("node_id"), F.col("v").alias("m")), "node_id", "left").select("node_id", F.coalesce("m", "node_id").alias("component"))
 
 
-def _flood(arcs: DataFrame, start: DataFrame) -> DataFrame:
-    """Reachability of a bounded number of arcs, breadth first in one task."""
-
-    def run(batches):
-        out: dict[int, list[int]] = {}
-        frontier: list[int] = []
-        for pdf in batches:
-            for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-                if b == b:
-                    out.setdefault(int(a), []).append(int(b))
-                else:
-                    frontier.append(int(a))
-        hops = dict.fromkeys(frontier, 0)
-        while frontier:
-            new = []
-            for x in frontier:
-                for y in out.get(x, ()):
-                    if y not in hops:
-                        hops[y] = hops[x] + 1
-                        new.append(y)
-            frontier = new
-        yield pd.DataFrame({"node_id": pd.Series(list(hops), dtype="int64"), "hops": pd.Series(list(hops.values()), dtype="int32")})
-
-    ship(arcs.sparkSession)
-    both = arcs.select("a", "b").unionAll(start.select("node_id", F.lit(None).cast("bigint")))
-    return both.coalesce(1).mapInPandas(run, "node_id bigint, hops int")
-
-
-def reachable(edges: DataFrame, start: DataFrame, forward: bool = True, kernel_arcs: int = KERNEL_ARCS, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, forward: bool = True, part_nodes: int = KERNEL_ARCS) -> DataFrame:
     """(node_id, hops) of all nodes reached from the start nodes.
 
-    Up to ``kernel_arcs`` arcs and start nodes together one task of that fixed size floods
-    the graph; a larger one is expanded frontier by frontier, one job a hop.
+    The graph is flooded part by part: rounds follow the parts that a way crosses, not its
+    hops, and a graph of any size or depth ends.  ``part_nodes`` below 1 counts as 1.
     """
     a, b = ("u", "v") if forward else ("v", "u")
-    scratch = Scratch(edges.sparkSession, "reach")
-    arcs, n = scratch.cut_with(edges.where("u is not null and v is not null and u <> v").select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).distinct())
-    seeds, k = scratch.cut_with(start.select(F.col(start.columns[0]).cast("bigint").alias("node_id")).where("node_id is not null").distinct().withColumn("hops", F.lit(0)))
-    if n["rows"] + k["rows"] <= kernel_arcs:
-        return _flood(arcs, seeds)
-    frontier = seen = seeds
-    for hop in range(1, max_rounds):
-        step = arcs.join(frontier.select(F.col("node_id").alias("a")), "a", "left_semi").select(F.col("b").alias("node_id")).distinct()
-        new, n = scratch.cut_with(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("hops", F.lit(hop)))
-        if not n["rows"]:
-            return seen
-        seen, frontier = seen.unionByName(new), new
-        if hop % 10 == 0:  # the union of frontiers is written once in a while to keep the plan short
-            seen = scratch.cut(seen)
-    raise RuntimeError("the frontier did not end")
+    arcs = edges.where("u is not null and v is not null and u <> v").select(F.col(a).alias("s"), F.col(b).alias("d")).distinct().withColumns({"w": F.lit(1.0), "edge_id": F.lit(0).cast("bigint")})
+    return routing.spread(arcs, start, part_nodes=max(1, part_nodes)).select(F.col("node").alias("node_id"), F.col("cost").cast("int").alias("hops"))
 
 
 def mutual_set(edges: DataFrame, anchor: DataFrame) -> DataFrame:

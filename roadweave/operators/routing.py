@@ -124,33 +124,27 @@ def _round(todo: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def route(arcs: DataFrame, pairs: DataFrame, order: DataFrame | None = None, part_nodes: int = PART_NODES, group_sources: int = GROUP_SOURCES) -> DataFrame:
-    """(source, target, cost, edges): the cheapest path of each pair as an array of edge ids.
+def _sound(arcs: DataFrame) -> DataFrame:
+    good = arcs.where("s is not null and d is not null and w is not null and not isnan(w) and w >= 0 and edge_id is not null")
+    return good.select(F.col("s").cast("bigint").alias("s"), F.col("d").cast("bigint").alias("d"), F.col("w").cast("double").alias("w"), F.col("edge_id").cast("bigint").alias("edge_id"))
 
-    ``arcs``: s, d, w (not negative), edge_id; ``pairs``: source, target.  ``order``: node and
-    any sortable columns that put near nodes side by side; without it nodes go by number.  A
-    pair without a way has null cost and edges; a node to itself costs 0.  Parallel arcs are
-    allowed.  Null ends, null, NaN or negative costs and null pairs are left out; repeated
-    pairs count once; no rows give no rows.
-    """
-    spark = arcs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "route")
-    good = arcs.where("s is not null and d is not null and w is not null and not isnan(w) and w >= 0 and edge_id is not null").select(F.col("s").cast("bigint").alias("s"), F.col("d").cast("bigint").alias("d"), F.col("w").cast("double").alias("w"), F.col("edge_id").cast("bigint").alias("edge_id"))
-    pairs = scratch.cut(pairs.select(F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target")).where("source is not null and target is not null").distinct())
-    nodes = good.select(F.col("s").alias("node")).unionAll(good.select("d")).unionAll(pairs.select("source")).unionAll(pairs.select("target")).distinct()
+
+def _parts(nodes: DataFrame, order: DataFrame | None, part_nodes: int, scratch: Scratch) -> DataFrame:
+    """(node, part) of distinct nodes, in the order of place."""
     by = []
     if order is not None:
         by = [F.col(c) for c in order.columns if c != "node"]
         nodes = nodes.join(order.dropDuplicates(["node"]), "node", "left")
     placed = grouped_rank(nodes.select("node", F.lit(0).alias("_all"), *[c.alias(f"_o{k}") for k, c in enumerate(by)]), ["_all"], [*[f"_o{k}" for k in range(len(by))], "node"], "_rank", scratch, few_groups=True)
-    part = scratch.cut(placed.select("node", F.floor(F.col("_rank") / part_nodes).cast("int").alias("part")))
+    return scratch.cut(placed.select("node", F.floor(F.col("_rank") / part_nodes).cast("int").alias("part")))
+
+
+def _labels(good: DataFrame, part: DataFrame, starts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Settled labels, packed per part and source, from ``starts``: source, grp, node."""
     at = lambda c, p: part.select(F.col("node").alias(c), F.col("part").alias(p))
     cut = scratch.cut(good.join(at("s", "part"), "s").join(at("d", "dpart"), "d"))
-    one = pairs.select("source").distinct().withColumn("_all", F.lit(0))
-    sources = scratch.cut(grouped_rank(one, ["_all"], ["source"], "_n", scratch, few_groups=True).select("source", F.floor(F.col("_n") / group_sources).cast("int").alias("grp")))
     null = {c: F.lit(None).cast("binary").alias(c) for c in ("states", "costs", "preds", "edges")}
-    first = sources.join(at("source", "part"), "source").select("part", "grp", "source", F.col("source").alias("state"), F.lit(0.0).alias("cost"), F.lit(-1).cast("bigint").alias("pred"), F.lit(-1).cast("bigint").alias("edge"), *null.values())
+    first = starts.join(at("node", "part"), "node").select("part", "grp", "source", F.col("node").alias("state"), F.lit(0.0).alias("cost"), F.lit(-1).cast("bigint").alias("pred"), F.lit(-1).cast("bigint").alias("edge"), *null.values())
     todo, n = scratch.cut_with(first)
     labels = None
     while n["rows"]:
@@ -163,11 +157,53 @@ def route(arcs: DataFrame, pairs: DataFrame, order: DataFrame | None = None, par
         labels = kept if labels is None else scratch.cut(kept.unionByName(labels.join(keys, here(labels), "left_anti")))
         better = out.where("states is null").groupBy("part", "grp", "source", "state").agg(F.min(F.struct("cost", "pred", "edge")).alias("b"))
         todo, n = scratch.cut_with(better.select("part", "grp", "source", "state", "b.cost", "b.pred", "b.edge", *null.values()))
+    return labels
+
+
+def route(arcs: DataFrame, pairs: DataFrame, order: DataFrame | None = None, part_nodes: int = PART_NODES, group_sources: int = GROUP_SOURCES) -> DataFrame:
+    """(source, target, cost, edges): the cheapest path of each pair as an array of edge ids.
+
+    ``arcs``: s, d, w (not negative), edge_id; ``pairs``: source, target.  ``order``: node and
+    any sortable columns that put near nodes side by side; without it nodes go by number.  A
+    pair without a way has null cost and edges; a node to itself costs 0.  Parallel arcs are
+    allowed.  Null ends, null, NaN or negative costs and null pairs are left out; repeated
+    pairs count once; no rows give no rows.
+    """
+    ship(arcs.sparkSession)
+    scratch = Scratch(arcs.sparkSession, "route")
+    good = _sound(arcs)
+    pairs = scratch.cut(pairs.select(F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target")).where("source is not null and target is not null").distinct())
+    part = _parts(good.select(F.col("s").alias("node")).unionAll(good.select("d")).unionAll(pairs.select("source")).unionAll(pairs.select("target")).distinct(), order, part_nodes, scratch)
+    one = pairs.select("source").distinct().withColumn("_all", F.lit(0))
+    sources = scratch.cut(grouped_rank(one, ["_all"], ["source"], "_n", scratch, few_groups=True).select("source", F.floor(F.col("_n") / group_sources).cast("int").alias("grp")))
+    labels = _labels(good, part, sources.withColumn("node", F.col("source")), scratch)
     if labels is None:
         return pairs.select("source", "target", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("array<bigint>").alias("edges"))
     return _read_back(labels, pairs, part, sources, scratch)
 
 
+def spread(arcs: DataFrame, starts: DataFrame, order: DataFrame | None = None, part_nodes: int = PART_NODES) -> DataFrame:
+    """(node, cost) of every node that some start reaches, with the least cost from any of them.
+
+    As ``route`` with all starts as one source; ``starts`` has one column.
+    """
+    ship(arcs.sparkSession)
+    scratch = Scratch(arcs.sparkSession, "spread")
+    good = _sound(arcs)
+    begin = scratch.cut(starts.select(F.col(starts.columns[0]).cast("bigint").alias("node")).where("node is not null").distinct())
+    part = _parts(good.select(F.col("s").alias("node")).unionAll(good.select("d")).unionAll(begin.select("node")).distinct(), order, part_nodes, scratch)
+    labels = _labels(good, part, begin.select("node", F.lit(0).cast("bigint").alias("source"), F.lit(0).alias("grp")), scratch)
+    if labels is None:
+        return begin.select("node", F.lit(0.0).alias("cost"))
+
+    def rows(batches):
+        for pdf in batches:
+            for states, costs in zip(pdf["states"], pdf["costs"]):
+                yield pd.DataFrame({"node": np.frombuffer(states, "i8"), "cost": np.frombuffer(costs, "f8")})
+
+    return labels.select("states", "costs").mapInPandas(rows, "node bigint, cost double")
+
+
 _ASK = "source bigint, target bigint, leg int, state bigint, total double, open boolean, edges array<bigint>"
 
 
