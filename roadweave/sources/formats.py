@@ -70,9 +70,11 @@ def read_sqlite(spark: SparkSession, path: str, table: str, columns: list[str] |
     known = sqlite_schema(path)[table]
     names = columns or list(known)
     with closing(_open(path)) as c:
+        view = c.execute("select type from sqlite_master where name = ?", (table,)).fetchone()[0] == "view"
         try:
-            low, high = c.execute(f"select min(rowid), max(rowid) from {_quoted(table)}").fetchone()
-            ranges = [] if low is None else [(a, min(a + range_rows - 1, high)) for a in range(low, high + 1, range_rows)]
+            # Every range_rows-th row id begins a range, so gaps in the ids cost nothing.
+            starts = [] if view else [r[0] for r in c.execute(f"select rowid from (select rowid, row_number() over (order by rowid) as n from {_quoted(table)}) where (n - 1) % ? = 0 order by rowid", (range_rows,))]
+            ranges = [(None, None)] if view else [(a, b) for a, b in zip(starts, [*[x - 1 for x in starts[1:]], 2**63 - 1])]
         except sqlite3.OperationalError:
             ranges = [(None, None)]
     kinds = {n: known[n] for n in names}
@@ -88,11 +90,12 @@ def read_sqlite(spark: SparkSession, path: str, table: str, columns: list[str] |
         for pdf in batches:
             for lo, hi in zip(pdf["lo"], pdf["hi"]):
                 with closing(_open(path)) as c:
-                    got = c.execute(sql) if lo != lo or lo is None else c.execute(f"{sql} where rowid between ? and ?", (int(lo), int(hi)))
+                    got = c.execute(sql) if not lo else c.execute(f"{sql} where rowid between ? and ?", (int(lo), int(hi)))
                     while rows := got.fetchmany(10_000):
                         yield pd.DataFrame({n: pd.Series([convert(r[i], k) for r in rows], dtype={"bigint": "Int64", "double": "float64"}.get(k, object)) for i, (n, k) in enumerate(kinds.items())})
 
-    work = spark.createDataFrame(ranges, "lo bigint, hi bigint").repartition(max(1, min(len(ranges), spark.sparkContext.defaultParallelism)))
+    # As text: a null beside them would turn whole numbers into floats.
+    work = spark.createDataFrame([(None if a is None else str(a), None if b is None else str(b)) for a, b in ranges], "lo string, hi string").repartition(max(1, min(len(ranges), spark.sparkContext.defaultParallelism)))
     return work.mapInPandas(read, ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
 
 
