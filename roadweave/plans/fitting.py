@@ -117,3 +117,18 @@ def balanced_margins(s, d):
     t, _, _ = demand.balance_until(gravity_pairs(s, d), 0.04)
     rows = t.groupBy(F.col("o").alias("z")).agg(F.round(F.sum("f"), 7).alias("row_sum"))
     return rows.join(t.groupBy(F.col("d").alias("z")).agg(F.round(F.sum("f"), 7).alias("column_sum")), "z")
+
+
+_SUMS = "sum(g * (y - base)) as gr, sum(g * g) as gg, sum((y - base) * (y - base)) as rr"
+
+
+@query(f"{_GLOBAL}, lo as (select unnest([0, 1, 2]) as left_out), s2 as (select left_out, n, beta, {_SUMS} from pts join lo on section <> left_out group by 1, 2, 3), pr as (select left_out, n, beta, greatest(0, gr / gg) as q, rr - 2 * greatest(0, gr / gg) * gr + power(greatest(0, gr / gg), 2) * gg as j from s2) select cast(left_out as integer) as left_out, round(min(j), 2) as j from pr group by 1")
+def leave_one_out_global(s, d):
+    """The least loss over the global grid without each section in turn."""
+    p, e, o = _inputs(s, d)
+    ns, bs = demand.grid_values(*N_RANGE, N_POINTS), demand.grid_values(*BETA_RANGE, BETA_POINTS)
+    out = None
+    for left_out in (0, 1, 2):
+        one = demand.surface(p, e.where(F.col("section") != left_out), o.where(F.col("section") != left_out), ns, bs).agg(F.round(F.min("j"), 2).alias("j")).select(F.lit(left_out).alias("left_out"), "j")
+        out = one if out is None else out.unionAll(one)
+    return out
