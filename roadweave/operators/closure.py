@@ -8,14 +8,18 @@ shuffles over the links, cut by a table in the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.operators import routing
-from roadweave.runtime import Scratch
+from roadweave.runtime import Scratch, ship
 
 #: Nodes of the part of a graph, with their arcs, that one task floods.
 KERNEL_ARCS = routing.PART_NODES
+#: The same where only the nodes are asked for, not the hops: an arc then takes some thirty bytes.
+FLOOD_NODES = 1_000_000
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -72,6 +76,79 @@ def mutual_set(edges: DataFrame, anchor: DataFrame) -> DataFrame:
     return f.join(reachable(edges, anchor, forward=False).withColumnRenamed("hops", "hops_to"), "node_id")
 
 
+_FLOOD = "part int, node bigint, reached binary"
+
+
+def _flood_part(todo: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """One part: take in nodes sent here, spread, keep all that is reached and send on what leaves."""
+    if not len(todo):
+        return pd.DataFrame({"part": [], "node": [], "reached": []})
+    here = int(todo["part"].iloc[0])
+    old = np.concatenate([np.empty(0, "i8"), *[np.frombuffer(x, "i8") for x in todo["reached"] if x is not None]])
+    sent = todo["node"][todo["reached"].isna()].to_numpy("i8")
+    s, d, inside = arcs["s"].to_numpy("i8"), arcs["d"].to_numpy("i8"), arcs["dpart"].to_numpy() == here
+    nodes = np.unique(np.concatenate([old, sent, s, d[inside]]))
+    seen = np.zeros(len(nodes), bool)
+    seen[np.searchsorted(nodes, old)] = True
+    before = seen.copy()
+    begin, end = np.searchsorted(nodes, s[inside]), np.searchsorted(nodes, d[inside])
+    end = end[np.argsort(begin, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(begin, minlength=len(nodes)))])
+    front = np.unique(np.searchsorted(nodes, sent))
+    front = front[~seen[front]]
+    while front.size:
+        seen[front] = True
+        n = at[front + 1] - at[front]
+        k = np.repeat(at[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        front = np.unique(end[k])
+        front = front[~seen[front]]
+    fresh = seen & ~before
+    leaves = ~inside & fresh[np.searchsorted(nodes, s)]
+    out = pd.DataFrame({"part": arcs["dpart"][leaves], "node": d[leaves]}).drop_duplicates()
+    return pd.DataFrame({"part": [here, *out["part"].tolist()], "node": [-1, *out["node"].tolist()], "reached": [nodes[seen].tobytes(), *[None] * len(out)]})
+
+
+def _flooded(arcs: DataFrame, begin: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node_id) of all that ``begin`` (part, node) reaches over ``arcs`` (s, d, part, dpart)."""
+    todo, n = scratch.cut_with(begin.select("part", "node", F.lit(None).cast("binary").alias("reached")))
+    known = None
+    while n["rows"]:
+        keys = todo.select("part").distinct()
+        work = todo if known is None else todo.unionByName(known.join(keys, "part", "left_semi"))
+        mine = arcs.join(keys, "part", "left_semi")
+        out, n = scratch.cut_with(work.groupBy("part").cogroup(mine.groupBy("part")).applyInPandas(_flood_part, _FLOOD), rows=F.sum(F.col("reached").isNull().cast("int")))
+        kept = out.where("reached is not null")
+        known = kept if known is None else scratch.cut(kept.unionByName(known.join(keys, "part", "left_anti")))
+        todo = out.where("reached is null").distinct()
+
+    def rows(batches):
+        for pdf in batches:
+            for x in pdf["reached"]:
+                yield pd.DataFrame({"node_id": np.frombuffer(x, "i8")})
+
+    return begin.select(F.col("node").alias("node_id")).limit(0) if known is None else known.select("reached").mapInPandas(rows, "node_id bigint")
+
+
+def mutual_nodes(edges: DataFrame, anchor: DataFrame, order: DataFrame | None = None, part_nodes: int = FLOOD_NODES) -> DataFrame:
+    """(node_id) of the nodes that the anchor reaches and that reach it, itself among them.
+
+    As ``mutual_set`` without the hops, so a node is settled when it is first met.  ``order`` as
+    in ``routing.route``.
+    """
+    ship(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, "mutual")
+    whole = lambda c: F.col(c).cast("bigint")
+    links = scratch.cut(edges.where("u is not null and v is not null and u <> v").select(whole("u").alias("u"), whole("v").alias("v")).distinct())
+    first = scratch.cut(anchor.select(whole(anchor.columns[0]).alias("node")).where("node is not null").distinct())
+    part = routing._parts(links.select(F.explode(F.array("u", "v")).alias("node")).unionAll(first).distinct(), order, max(1, part_nodes), scratch)
+    at = lambda c, p: part.select(F.col("node").alias(c), F.col("part").alias(p))
+    placed = scratch.cut(links.join(at("u", "upart"), "u").join(at("v", "vpart"), "v"))
+    begin = scratch.cut(first.join(part, "node"))
+    ahead = placed.select(F.col("u").alias("s"), F.col("v").alias("d"), F.col("upart").alias("part"), F.col("vpart").alias("dpart"))
+    back = placed.select(F.col("v").alias("s"), F.col("u").alias("d"), F.col("vpart").alias("part"), F.col("upart").alias("dpart"))
+    return _flooded(ahead, begin, scratch).join(_flooded(back, begin, scratch), "node_id")
+
+
 def component_sizes(labels: DataFrame, component: str = "component") -> DataFrame:
     """Size per component and whether it is the giant one (greatest, ties by label)."""
     g = labels.groupBy(component).agg(F.count(F.lit(1)).alias("size"))

@@ -151,3 +151,12 @@ def test_parts_of_any_size_give_the_same_paths(spark):
                 assert at == r["target"] and abs(sum(by[e][2] for e in r["edges"]) - want) < 1e-9
     assert routing.route(df.limit(0), pairs.limit(0)).count() == 0
     assert {(r["source"], r["target"]) for r in routing.all_pairs(spark.createDataFrame([(1,), (2,), (2,), (None,), (5,)], "n long"), "n").collect()} == {(a, b) for a in (1, 2, 5) for b in (1, 2, 5) if a != b}
+
+
+def test_mutual_nodes_over_parts(spark):
+    """The nodes of mutual_set whatever the parts; a null end, a loop, an anchor without edges."""
+    df = edges_df(spark, ROWS + [(12, 1, 1), (2, 13, 1), (13, 14, 1), (14, 2, 1)])
+    for anchor, want in ((3, {1, 2, 3, 4, 5, 13, 14}), (12, {12}), (77, {77})):
+        start = spark.createDataFrame([(anchor,)], "n long")
+        assert sorted(r[0] for r in closure.mutual_nodes(df, start).collect()) == sorted(want)
+    assert sorted(r[0] for r in closure.mutual_nodes(df, spark.createDataFrame([(3,)], "n long"), part_nodes=3).collect()) == [1, 2, 3, 4, 5, 13, 14]
