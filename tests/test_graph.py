@@ -160,3 +160,32 @@ def test_mutual_nodes_over_parts(spark):
         start = spark.createDataFrame([(anchor,)], "n long")
         assert sorted(r[0] for r in closure.mutual_nodes(df, start).collect()) == sorted(want)
     assert sorted(r[0] for r in closure.mutual_nodes(df, spark.createDataFrame([(3,)], "n long"), part_nodes=3).collect()) == [1, 2, 3, 4, 5, 13, 14]
+
+
+def test_reduced_graph_keeps_costs_and_sums(spark):
+    """Least costs, lengths, hops and ends between terminals against plain paths, over one part and over tiny ones."""
+    rng = random.Random(23)
+    arcs = [(i, i + 1, rng.uniform(1, 2), rng.uniform(1, 2)) for i in range(60)] + [(i + 1, i, rng.uniform(1, 2), rng.uniform(1, 2)) for i in range(60)]
+    arcs += [(rng.randrange(70), rng.randrange(70), rng.uniform(3, 20), rng.uniform(1, 2)) for _ in range(40)] + [(3, 3, 0.0, 1.0), (3, 4, None, 1.0), (3, 4, -1.0, 1.0)]
+    arcs = [(*a, 1000 + i) for i, a in enumerate(arcs)]
+    df = spark.createDataFrame(arcs, "s long, d long, w double, length double, edge_id long")
+    ends = [(0, True), (17, True), (44, False), (60, True), (66, False), (900, True), (901, False)]
+    terminals = spark.createDataFrame(ends, "node long, starts boolean")
+    pairs = spark.createDataFrame([(s, t) for s, starts in ends if starts for t, _ in ends if s != t], "source long, target long")
+    by = {a[4]: a for a in arcs}
+    want = {}
+    for r in routing.route(df, pairs).where("cost is not null").collect():
+        e = r["edges"]
+        want[r["source"], r["target"]] = (round(r["cost"], 6), round(sum(by[x][3] for x in e), 6), len(e), e[0], e[-1])
+    assert len(want) > 8
+    for size, group in ((1000, 8), (25, 2)):
+        got = routing.among(df, terminals, part_nodes=size, group_sources=group).collect()
+        assert {(r["source"], r["target"]): (round(r["cost"], 6), round(r["length"], 6), r["hops"], r["first"], r["last"]) for r in got} == want, size
+        assert len(got) == len(want)
+    assert routing.among(df.limit(0), terminals).count() == 0
+
+
+def test_all_pairs_are_not_broadcast(spark):
+    """The repeated side looks as small as its nodes; a broadcast of it would bring every pair to the driver."""
+    plan = routing.all_pairs(spark.range(50), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan.split("ShuffledHashJoin")[0] and "ShuffledHashJoin" in plan
