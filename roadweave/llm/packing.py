@@ -138,18 +138,34 @@ def _repeated(counts: dict[int, int], capacity: int, budget: int) -> list[tuple[
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
-    """Best fit decreasing, item by item."""
-    rooms: list[tuple[int, int]] = []
-    inside: list[list[int]] = []
+    """Best fit decreasing, for all containers of one room at once, so the number of items doesn't matter.
+
+    The tightest container takes items of a size until none fits, which is what best fit does
+    item by item.
+    """
+    rooms: list[int] = []  # the rooms that some container has, upwards
+    inside: dict[int, list[tuple[int, Filling]]] = {}
+
+    def put(room: int, times: int, filling: Filling) -> None:
+        if room not in inside:
+            insort(rooms, room)
+        inside.setdefault(room, []).append((times, filling))
+
     for s in sorted(counts, reverse=True):
-        for _ in range(counts[s]):
-            at = bisect_left(rooms, (s, -1))
-            room, c = rooms.pop(at) if at < len(rooms) else (capacity, len(inside))
-            if c == len(inside):
-                inside.append([])
-            inside[c].append(s)
-            insort(rooms, (room - s, c))
-    return [(1, [(s, x.count(s)) for s in sorted(set(x), reverse=True)]) for x in inside]
+        n = counts[s]
+        while n:
+            at = bisect_left(rooms, s)
+            room = rooms[at] if at < len(rooms) else capacity
+            times, filling = inside[room].pop() if at < len(rooms) else (n, [])
+            if at < len(rooms) and not inside[room]:
+                del inside[room], rooms[at]
+            k = min(n, room // s)
+            some = min(times, n // k)
+            if times > some and filling:
+                put(room, times - some, filling)
+            put(room - k * s, some, [*filling, (s, k)])
+            n -= some * k
+    return [x for room in rooms for x in inside[room]]
 
 
 def _dominated(taken: list[int], free: int, out: list[int]) -> bool:
@@ -304,8 +320,7 @@ def plan(counts: dict[int, int], capacity: int, budget: int = NODE_BUDGET) -> Pl
         return Plan()
     best = Plan(_repeated(have, capacity, budget), least_containers(have, capacity), 0, False)
     if best.containers > best.bound:
-        # Item by item only while the items are few; the repeated fillings stand for any number.
-        fit = _best_fit(have, capacity) if sum(have.values()) <= budget else best.fillings
+        fit = _best_fit(have, capacity)
         best.fillings = fit if sum(t for t, _ in fit) < best.containers else best.fillings
     while best.containers > best.bound and best.nodes < budget and _shorter(best, capacity, budget - best.nodes):
         pass

@@ -121,3 +121,34 @@ def test_report_states_the_gap(spark):
     r = packing.report(texts(spark, rows), "doc", "text", 64).first()
     assert (r["containers"], r["bound"], r["gap"], r["proven"]) == (5, 5, 0, True)
     assert packing.plan({40: 5, 23: 3}, 64, budget=1).containers == 5
+
+
+def test_best_fit_at_any_number_of_items():
+    """Best fit for all containers of a room at once needs as many as item by item, and is tried whatever the number of items."""
+    from bisect import bisect_left, insort
+
+    import roadweave.llm.packing as p
+
+    rng = random.Random(31)
+    for _ in range(60):
+        capacity = rng.randint(5, 60)
+        counts = {s: rng.randint(1, 9) for s in rng.sample(range(1, capacity + 1), rng.randint(1, min(capacity, 12)))}
+        rooms: list[int] = []
+        n = 0
+        for s in sorted((s for s, k in counts.items() for _ in range(k)), reverse=True):
+            at = bisect_left(rooms, s)
+            n += at == len(rooms)
+            insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - s)
+        got = p._best_fit(counts, capacity)
+        assert sum(t for t, _ in got) == n
+        assert all(sum(s * k for s, k in f) <= capacity for _, f in got)
+        assert {s: sum(t * k for t, f in got for x, k in f if x == s) for s in counts} == counts
+    tried = []
+    old, p._best_fit = p._best_fit, lambda *a: tried.append(1) or old(*a)
+    try:
+        p.plan({6: 5, 5: 5, 3: 7, 2: 1}, 10, 3)  # more items than search nodes
+        assert not tried or len(tried) == 1
+        p.plan({6: 10, 4: 3, 3: 19}, 10, 1)
+    finally:
+        p._best_fit = old
+    assert tried
