@@ -1,121 +1,207 @@
 """Differences between two copies of a dataset, row by row and field by field.
 
 Identical rows cancel by multiplicity in one hash aggregation of both copies.  What is
-left is paired inside each key so that the total number of differing fields is least.
-Keys with one leftover on a side, nearly all in practice, are paired in the JVM; others
-go through an assignment.
+left is paired inside each key so that the total number of differing fields is least,
+whatever the number of rows.  Keys with one leftover on a side, nearly all in practice, are
+paired in the JVM; others go through an assignment, one task for each key.
 
 The assignment is primal-dual on whole numbers: a pair's worth is the number of fields it
 shares, so dual values lie between 0 and the number of fields, and there are at most that
 many rounds of augmenting paths over the pairs whose dual values are tight, whatever the
-number of rows.  A task holds one byte for each pair of one part.
-
-A key too large for one task is cut down first: rows that agree in all fields but one, then
-in all but two and so on, are paired over range-partitioned ranks, so that a key with a third
-of all rows never meets in one task; the rest is cut into parts of the exact size.
+number of rows.  No pair is stored: the tight partners of many rows are found together, as
+the rows that have the same values in a set of fields, so a task's memory grows with the
+rows of its key and not with their square.
 ``pairing_bound`` gives a total that no pairing can go below, to hold the result against.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.runtime import Scratch, grouped_rank, ship
+from roadweave.runtime import ship
 
-#: Leftovers of a key (larger side) that one task pairs, at a byte for each pair.
+#: Rows a side that are compared pair by pair to see which fields they share; for more, all
+#: sets of fields are tried.  Either way the same pairs are found.
 MAX_EXACT = 8_000
-#: Fields in which rows of a larger key may differ to be paired before it is cut into parts.
+#: Pairs compared in one strip.
+STRIP = 1 << 18
+#: Differing fields up to which ``pairing_bound`` counts.
 STAGES = 2
 
 
-def _assign(shared: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of greatest total; rows <= columns, whole numbers from 0.
+def _words(codes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A 64-bit word for each code, one line a field (splitmix64)."""
+    x = codes.T.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[:, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shared_sets(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> list[tuple[int, ...]]:
+    """Sets of fields, in a fixed order, with all those in which a tight pair (sharing u + v fields) agrees.
 
-    All rows without a column grow one alternating forest over the tight pairs (row value
-    plus column value equal to the worth), column by column without building the graph; a
-    free column ends a path, which is turned over.  Without a path left the values of the
-    forest's rows fall and those of its columns rise by the least slack, which makes new
-    pairs tight.
+    Sets that no tight pair agrees in may be among them, they find nothing.
     """
-    n, m = shared.shape
-    worth = shared.astype(np.int8 if shared.max(initial=0) < 64 else np.int32)
-    u, v = worth.max(axis=1), np.zeros(m, dtype=worth.dtype)
+    k = a.shape[1]
+    sizes = sorted({int(x + y) for x in np.unique(u) for y in np.unique(v) if x + y <= k})
+    if sizes == [0]:
+        return [()]
+    number, pairs = sum(comb(k, s) for s in sizes), len(a) * len(b)
+    if pairs > most * most or pairs * k > 100 * number * (1_000 + len(a) + len(b)):
+        return [c for s in sizes for c in combinations(range(k), s)]
+    found: set[tuple[int, ...]] = set()
+    step, kind = max(1, STRIP // len(b)), np.int8 if k < 64 else np.int32
+    ta, tb, v = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), v.astype(kind)
+    for at in range(0, len(a), step):
+        part = slice(at, at + step)
+        lack = u[part, None].astype(kind) + v
+        for f in range(k):
+            lack -= (ta[f, part, None] == tb[f]).view(np.int8)
+        i, j = np.nonzero(lack == 0)
+        for bits in np.unique(np.packbits(a[part][i] == b[j], axis=1), axis=0):
+            found.add(tuple(int(f) for f in np.flatnonzero(np.unpackbits(bits, count=k))))
+    return sorted(found, key=lambda c: (len(c), c))
+
+
+def _assign(a: np.ndarray, b: np.ndarray, most: int = MAX_EXACT) -> np.ndarray:
+    """Row of b for each row of a so that the fields shared are most; codes of fields, rows of a <= rows of b.
+
+    All rows without a partner grow one alternating forest over the tight pairs (row value
+    plus column value equal to the worth), layer by layer; a free column ends a path, which
+    is turned over.  Without a path left the values of the forest's rows fall and those of
+    its columns rise by one, which makes new pairs tight.
+
+    A tight pair agrees in exactly as many fields as its values say and no pair in more, so
+    for every set of that many fields the rows and columns with equal values in it are
+    tight partners.  They meet by hashes; a meeting by chance is seen, and hashed anew.
+    """
+    n, m = len(a), len(b)
+    # Fields with one value throughout, or none on both sides, count the same for every pair.
+    keep = [f for f in range(a.shape[1]) if np.isin(a[:, f], b[:, f]).any() and not ((a[:, f] == a[0, f]).all() and (b[:, f] == a[0, f]).all())]
+    a, b, k = a[:, keep].astype(np.int32), b[:, keep].astype(np.int32), len(keep)
+    u, v = np.full(n, k), np.zeros(m, dtype=int)
     mate, owner = np.full(n, -1), np.full(m, -1)
-    for i in range(n):  # a first matching over tight pairs
-        j = int(np.argmax((worth[i] == u[i]) & (owner < 0)))
-        if owner[j] < 0 and worth[i, j] == u[i]:
-            mate[i], owner[j] = j, i
+    random = np.random.default_rng(0)
+
+    def salted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        salt = random.integers(0, 1 << 63, 2 * k + 1, dtype=np.uint64)
+        return _words(a, salt[:k]), _words(b, salt[:k]), salt[k:]
+
+    wa, wb, level = salted()
     while True:
-        grown = True
-        while grown:
-            grown = False
-            came, root, done = np.full(m, -1), {i: i for i in np.flatnonzero(mate < 0)}, set()
-            fresh = np.ones(m, dtype=bool)
-            frontier = list(root)
-            if not frontier:
-                return mate
-            while frontier:
-                later = []
-                for i in frontier:
-                    if root[i] in done:
-                        continue
-                    hit = np.flatnonzero(fresh & (worth[i] == u[i] + v))
-                    came[hit] = i
-                    fresh[hit] = False
-                    free = hit[owner[hit] < 0]
-                    if free.size:
-                        done.add(root[i])
-                        grown = True
-                        j = int(free[0])
-                        fresh[free[1:]] = True  # other trees may still end there
-                        while j >= 0:
-                            i = int(came[j])
-                            before = int(mate[i])
-                            mate[i], owner[j] = j, i
-                            j = before
-                        continue
-                    for j in hit:
-                        root[int(owner[j])] = root[i]
-                        later.append(int(owner[j]))
-                frontier = later
-        rows = np.fromiter(root, dtype=int)
-        out = np.flatnonzero(fresh)
-        slack = min(int((u[rows[k : k + 256], None] + v[None, out] - worth[np.ix_(rows[k : k + 256], out)]).min()) for k in range(0, len(rows), 256))
-        u[rows] -= slack
-        v[~fresh] += slack
-
-
-def pair_leftovers(left: list[tuple], right: list[tuple]) -> list[tuple[int | None, int | None]]:
+        came, root, fresh = np.full(m, -1), np.full(n, -1), np.ones(m, dtype=bool)
+        done, grown, chance = np.zeros(n, dtype=bool), False, False
+        front = np.flatnonzero(mate < 0)
+        if not front.size:
+            return mate
+        root[front] = front
+        while front.size and not chance:
+            cols = np.flatnonzero(fresh)
+            uf, vf, free = u[front], v[cols], owner[cols] < 0
+            ha, hb, live, open_ = wa[:, front], wb[:, cols], np.ones(len(front), dtype=bool), np.ones(len(cols), dtype=bool)
+            levels, ends, later = (np.unique(uf), np.unique(vf)), [], []
+            size = -1
+            for fields in _shared_sets(a[front], b[cols], uf, vf, most):
+                if size != len(fields):
+                    size = len(fields)
+                    row_fits, col_fits = np.isin(size - uf, levels[1]), np.isin(size - vf, levels[0])
+                r, c = np.flatnonzero(live & row_fits), np.flatnonzero(open_ & col_fits)
+                if not r.size or not c.size:
+                    continue
+                kr, kc = level[size - uf[r]], level[vf[c]]
+                for f in fields:
+                    kr, kc = kr + ha[f, r], kc + hb[f, c]
+                o = np.argsort(kr, kind="stable")
+                r, kr = r[o], kr[o]
+                first = np.searchsorted(kr, kc)
+                first[first == len(kr)] = 0
+                hit = kr[first] == kc
+                if not hit.any():
+                    continue
+                c, first = c[hit], first[hit]
+                taken = ~free[c]
+                i, j = front[r[first[taken]]], cols[c[taken]]
+                # Free columns: in each bucket the n-th goes to the n-th tree.
+                cf, bucket = c[~taken], first[~taken]
+                if cf.size:
+                    o = np.argsort(bucket, kind="stable")
+                    cf, bucket = cf[o], bucket[o]
+                    rank = np.arange(len(cf)) - np.searchsorted(bucket, bucket)
+                    home, tree = np.searchsorted(kr, kr), root[front[r]]
+                    o = np.lexsort((tree, home))
+                    one = np.ones(len(o), dtype=bool)
+                    one[1:] = (home[o][1:] != home[o][:-1]) | (tree[o][1:] != tree[o][:-1])
+                    o = o[one]
+                    at = np.searchsorted(home[o], bucket) + rank
+                    fits = at < np.searchsorted(home[o], bucket, side="right")
+                    fi, cf = front[r[o[at[fits]]]], cf[fits]
+                    _, once = np.unique(root[fi], return_index=True)
+                    fi, cf = fi[once], cf[once]
+                else:
+                    fi = front[:0]
+                fj, every = cols[cf], list(fields)
+                if (a[np.ix_(i, every)] != b[np.ix_(j, every)]).any() or (a[np.ix_(fi, every)] != b[np.ix_(fj, every)]).any() or (u[i] + v[j] != size).any() or (u[fi] + v[fj] != size).any():
+                    chance = True
+                    break
+                came[j], fresh[j], open_[c[taken]] = i, False, False
+                root[owner[j]] = root[i]
+                later.append(owner[j])
+                if fi.size:
+                    came[fj], fresh[fj], open_[cf] = fi, False, False
+                    done[root[fi]] = True
+                    live &= ~done[root[front]]
+                    ends.append(fj)
+            for j in (int(j) for e in ends for j in e):
+                grown = True
+                while j >= 0:
+                    i = int(came[j])
+                    before = int(mate[i])
+                    mate[i], owner[j] = j, i
+                    j = before
+            front = np.sort(np.concatenate(later)) if later else front[:0]
+            front = front[~done[root[front]]]
+        if chance:
+            wa, wb, level = salted()
+        elif not grown:
+            u[root >= 0] -= 1
+            v[~fresh] += 1
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, most: int = MAX_EXACT) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a least-cost assignment of rows of codes, -1 where a row has no partner.
+
+    Rows are sorted first, so the result doesn't depend on the order of arrival.
+    """
+    lo, ro = np.lexsort(a.T[::-1]), np.lexsort(b.T[::-1])
+    if len(lo) > len(ro):
+        j, i = _pairs(b, a, most)
+        return i, j
+    to = _assign(a[lo], b[ro], most) if len(lo) else lo
+    alone = np.ones(len(ro), dtype=bool)
+    alone[to] = False
+    return np.concatenate([lo, np.full(alone.sum(), -1)]), np.concatenate([ro[to], ro[alone]])
+
+
+def pair_leftovers(left: list[tuple], right: list[tuple], most: int = MAX_EXACT) -> list[tuple[int | None, int | None]]:
     """Index pairs of a least-cost assignment on differing-field counts; None has no partner.
 
     Rows are sorted first, so the result doesn't depend on the order of arrival.
     """
-    key = lambda r: tuple((x is not None, x or "") for x in r)
-    lo, ro = sorted(range(len(left)), key=lambda i: key(left[i])), sorted(range(len(right)), key=lambda i: key(right[i]))
-    if not lo or not ro:
-        return [(i, None) for i in lo] + [(None, j) for j in ro]
-    a, b = [left[i] for i in lo], [right[j] for j in ro]
-    swap = len(a) > len(b)
-    if swap:
-        a, b = b, a
-    codes: dict = {}
-    code = lambda rows: np.array([[codes.setdefault((k, x), len(codes)) for k, x in enumerate(r)] for r in rows])
-    ca, cb = code(a), code(b)
-    shared = np.zeros((len(a), len(b)), dtype=np.uint8 if ca.shape[1] < 256 else np.uint32)
-    for k in range(ca.shape[1]):
-        shared += ca[:, None, k] == cb[None, :, k]
-    to = _assign(shared)
-    pairs = [(i, int(j)) for i, j in enumerate(to)]
-    rest = set(range(len(b))) - {j for _, j in pairs}
-    if swap:
-        return [(lo[j], ro[i]) for i, j in pairs] + [(lo[j], None) for j in sorted(rest)]
-    return [(lo[i], ro[j]) for i, j in pairs] + [(None, ro[j]) for j in sorted(rest)]
+    fields = len((left or right or [()])[0])
+    codes = np.zeros((len(left) + len(right), fields), dtype=int)
+    for f in range(fields):
+        texts = [x[f] for x in (*left, *right)]
+        code = {x: n for n, x in enumerate(sorted(set(texts), key=lambda x: (x is not None, x or "")))}
+        codes[:, f] = [code[x] for x in texts]
+    name = lambda x: None if x < 0 else int(x)
+    return [(name(i), name(j)) for i, j in zip(*_pairs(codes[: len(left)], codes[len(left) :], most))]
 
 
 def diff_copies(
@@ -134,11 +220,9 @@ def diff_copies(
     occurs (repeated rows).  Rows with a null key form one key of their own.
 
     Within a key identical rows cancel by multiplicity, then leftovers are paired by
-    minimum-cost assignment, copies of a row each for themselves.  A key with more than
-    ``exact_rows`` leftovers on a side is first paired by agreement in all fields but one up
-    to STAGES, then in parts of that many rows in the order of their values: every row is
-    kept and as many as possible have a partner, and the total is the least whenever it
-    meets ``pairing_bound``.  Extra columns of either side are ignored.
+    minimum-cost assignment, copies of a row each for themselves, whatever their number.
+    ``exact_rows`` says up to what size rows are compared pair by pair in the search for
+    partners; the result doesn't depend on it.  Extra columns of either side are ignored.
     """
     names_ = list(fields)
     left_over = _left_over(left, right, key, fields)
@@ -150,7 +234,7 @@ def diff_copies(
     )
     simple = rows.where("_l <= 1 and _r <= 1").select("_k", F.col("_lv").alias("_a"), F.col("_rv").alias("_b"), F.lit(1).cast("bigint").alias("n"))
     kinds = [f"f{n}" for n in range(len(names_))]
-    hard = _paired(left_over, rows.where("_l > 1 or _r > 1").select("_k", F.greatest("_l", "_r").alias("_m")), kinds, exact_rows)
+    hard = _paired(left_over, rows.where("_l > 1 or _r > 1").select("_k"), kinds, exact_rows)
     return _fields_of(simple.unionByName(hard), key, names_, names)
 
 
@@ -170,72 +254,38 @@ def _all_but(kinds: list[str], differing: int) -> Column:
     return F.array(*[part(n, r) for n, r in enumerate(rest)])
 
 
-def _stage(rows: DataFrame, kinds: list[str], differing: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rest) of rows (_k, _v, _side, _i) paired until no two sides agree in all but ``differing`` fields.
-
-    In every bucket of agreeing rows the i-th of one side is proposed to the i-th of the
-    other, ranked over range partitions; proposals of smaller buckets go first, as their rows
-    have fewer others to turn to, and one that is the first of both its rows holds.  The
-    first of all proposals always holds, so the rounds end.
-    """
-    pairs: list[DataFrame] = []
-    turn = 0
-    differ = lambda a, b: sum((~F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))).cast("int") for k in kinds)
-    while True:
-        in_buckets = rows.select("_k", "_side", "_i", F.explode(_all_but(kinds, differing)).alias("_b"))
-        both = in_buckets.groupBy("_k", "_b").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"), F.count(F.lit(1)).alias("_c")).where("_lo <> _hi").select(F.col("_k").alias("_bk"), F.col("_b").alias("_bb"), "_c")
-        live = in_buckets.join(both, in_buckets["_k"].eqNullSafe(F.col("_bk")) & (in_buckets["_b"] == F.col("_bb"))).drop("_bk", "_bb").withColumn("_o", F.xxhash64("_i", F.lit(turn)))
-        ranked = grouped_rank(live, ["_k", "_b", "_side"], ["_o", "_i"], "_rank", scratch)
-        one = lambda side, name: ranked.where(F.col("_side") == side).select("_k", "_b", "_c", "_rank", F.col("_i").alias(name))
-        a, b = one(True, "_ia"), one(False, "_ib").withColumnRenamed("_k", "_k2").drop("_c")
-        met = a.join(b, (a["_k"].eqNullSafe(F.col("_k2"))) & (a["_b"] == b["_b"]) & (a["_rank"] == b["_rank"])).groupBy("_ia", "_ib").agg(F.min("_c").alias("_c"))
-        met = met.withColumn("_p", F.struct("_c", F.xxhash64("_ia", "_ib").alias("_h"), "_ia", "_ib"))
-        first = lambda c: met.groupBy(c).agg(F.min("_p").alias("_p")).select("_p")
-        held = first("_ia").join(first("_ib"), "_p").select("_p._ia", "_p._ib")
-        at = lambda i, v: rows.select(F.col("_i").alias(i), F.col("_k").alias(f"_k{v}"), F.col("_v").alias(v))
-        joined = held.join(at("_ia", "_a"), "_ia").join(at("_ib", "_b"), "_ib").where(differ("_a", "_b") <= differing)
-        found, n = scratch.cut_with(joined.select("_ia", "_ib", F.col("_k_a").alias("_k"), "_a", "_b"))
-        if not n["rows"]:
-            break
-        pairs.append(found)
-        used = found.select(F.col("_ia").alias("_i")).unionAll(found.select("_ib"))
-        rows, turn = scratch.cut(rows.join(used, "_i", "left_anti")), turn + 1
-    done = [p.select("_k", "_a", "_b") for p in pairs]
-    return reduce(DataFrame.unionAll, done) if done else rows.select("_k", F.col("_v").alias("_a"), F.col("_v").alias("_b")).limit(0), rows
-
-
 def _paired(left_over: DataFrame, keys: DataFrame, kinds: list[str], exact_rows: int) -> DataFrame:
-    """Pairs of keys with several leftovers: one bounded group per key and part."""
+    """Pairs of keys with several leftovers: one group a key, of any size."""
     ship(left_over.sparkSession)
-    todo = left_over.alias("x").join(keys.alias("y"), F.col("x._k").eqNullSafe(F.col("y._k"))).select("x._k", "_v", "_n", "_m", (F.col("_n") > 0).alias("_side"))
-    few = todo.where(F.col("_m") <= exact_rows).select("_k", "_v", "_n", F.lit(0).cast("bigint").alias("_block"))
-    large = todo.where(F.col("_m") > exact_rows)
-    staged: list[DataFrame] = []
-    if not large.isEmpty():
-        scratch = Scratch(left_over.sparkSession, "diff")
-        # Copies of a row become rows of their own again: no more than were read.
-        rows = scratch.cut(large.select("_k", "_v", "_side", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_n")))).select("_k", "_v", "_side", F.monotonically_increasing_id().alias("_i")))
-        for differing in range(1, min(STAGES, len(kinds) - 1) + 1):
-            found, rows = _stage(rows, kinds, differing, scratch)
-            staged.append(found.groupBy("_k", "_a", "_b").agg(F.count(F.lit(1)).alias("n")))
-        ranked = grouped_rank(rows, ["_k", "_side"], ["_v", "_i"], "_rank", scratch)
-        few = few.unionByName(ranked.select("_k", "_v", F.when(F.col("_side"), 1).otherwise(-1).cast("bigint").alias("_n"), F.floor(F.col("_rank") / exact_rows).alias("_block")))
+    todo = left_over.alias("x").join(keys.alias("y"), F.col("x._k").eqNullSafe(F.col("y._k"))).select("x._k", "_n", *[F.col(f"_v.{k}").alias(k) for k in kinds])
     key_type = left_over.schema["_k"].dataType.simpleString()
     row_type = left_over.schema["_v"].dataType.simpleString()
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides: tuple[list, list] = ([], [])
-        for v, n in zip(pdf["_v"], pdf["_n"]):
-            sides[n < 0].extend([tuple(v[k] for k in kinds)] * abs(int(n)))
-        out = [(None if i is None else sides[0][i], None if j is None else sides[1][j], 1) for i, j in pair_leftovers(*sides)]
-        as_row = lambda t: None if t is None else dict(zip(kinds, t))
-        return pd.DataFrame({
-            "_k": pd.Series([pdf["_k"].iloc[0]] * len(out), dtype=pdf["_k"].dtype),
-            "_a": [as_row(x) for x, _, _ in out], "_b": [as_row(y) for _, y, _ in out], "n": [n for _, _, n in out],
-        })
-
-    exact = few.groupBy("_k", "_block").applyInPandas(solve, f"_k {key_type}, _a {row_type}, _b {row_type}, n bigint")
-    return reduce(DataFrame.unionByName, [exact, *staged])
+    def solve(group: pa.Table) -> pa.Table:
+        texts, codes = [], []
+        for k in kinds:
+            t = pa.concat_arrays(group[k].chunks)
+            known = t.dictionary_encode()
+            order = np.empty(len(known.dictionary), dtype=int)
+            order[pc.sort_indices(known.dictionary).to_numpy()] = np.arange(len(order))
+            at = known.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            codes.append(np.where(at < 0, -1, order[at] if len(order) else -1))
+            texts.append(t)
+        table, n = np.stack(codes, axis=1), group["_n"].to_numpy()
+        # Copies of a row become rows of their own again: no more than were read.
+        left, right = (np.repeat(np.flatnonzero(s * n > 0), np.abs(n[s * n > 0])) for s in (1, -1))
+        i, j = _pairs(table[left], table[right], exact_rows)
+        both = np.stack([np.where(i < 0, -1, left[i] if len(left) else -1), np.where(j < 0, -1, right[j] if len(right) else -1)], axis=1)
+        both, times = np.unique(both, axis=0, return_counts=True)
+
+        def rows(at: np.ndarray) -> pa.Array:
+            index = pa.array(at, mask=at < 0)
+            return pa.StructArray.from_arrays([t.take(index) for t in texts], names=kinds, mask=pa.array(at < 0))
+
+        key = pa.concat_arrays(group["_k"].chunks).take(pa.array(np.zeros(len(both), dtype=int)))
+        return pa.table({"_k": key, "_a": rows(both[:, 0]), "_b": rows(both[:, 1]), "n": pa.array(times, pa.int64())})
+
+    return todo.groupBy("_k").applyInArrow(solve, f"_k {key_type}, _a {row_type}, _b {row_type}, n bigint")
 
 
 def pairing_total(differences: DataFrame, key: str, names: tuple[str, str] = ("left", "right")) -> DataFrame:

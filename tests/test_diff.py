@@ -82,3 +82,39 @@ def test_parts_of_a_large_key(spark):
     assert [(x["k"], x["n"]) for x in out.where("diff <> 'value'").collect()] == [(None, 1)]
     whole = diff.diff_copies(l, r, "k", fields)
     assert {x["k"]: x["differing"] for x in diff.pairing_total(whole, "k").collect()} == total
+
+
+def traps(number):
+    """Groups of two rows a side where pairing the two that differ least (1 + 5) isn't the least in all (2 + 2)."""
+    left, right = [], []
+    for t in range(number):
+        x, y = [f"x{t}.{f}" for f in range(5)], [f"y{t}.{f}" for f in range(5)]
+        left += [(7, *x), (7, *y[:3], *x[3:])]
+        right += [(7, y[0], *x[1:]), (7, *x[:3], *y[3:])]
+    return left, right
+
+
+def test_least_whatever_the_size(spark):
+    """One result on either side of MAX_EXACT leftovers and of exact_rows."""
+    schema = "k int, a string, b string, c string, d string, e string"
+    fields = {c: (F.col(c), F.col(c)) for c in "abcde"}
+    for number in (2, diff.MAX_EXACT // 2 + 50):
+        l, r = (spark.createDataFrame(x, schema) for x in traps(number))
+        out = diff.diff_copies(l, r, "k", fields)
+        assert [tuple(x) for x in diff.pairing_total(out, "k").collect()] == [(7, 4 * number)]
+    rng = random.Random(5)
+    row = lambda k: (k, *[rng.choice(["p", "q", "", None]) for _ in range(5)])
+    left, right = [[row(k) for k in (1, 1, 1, None) for _ in range(n)] for n in (20, 25)]
+    l, r = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    whole, small = (sorted(map(tuple, diff.diff_copies(l, r, "k", fields, exact_rows=n).collect()), key=str) for n in (diff.MAX_EXACT, 0))
+    assert whole == small and sum(x[5] for x in whole if x[1] == "only_in_right") == 20
+
+
+def test_partners_found_either_way():
+    """Comparing pairs and trying all sets of fields give the same pairs, the least by brute force."""
+    rng = random.Random(6)
+    for _ in range(40):
+        a, b = ([tuple(rng.choice("xyz") for _ in range(4)) for _ in range(rng.randint(1, 6))] for _ in range(2))
+        pairs = diff.pair_leftovers(a, b)
+        assert pairs == diff.pair_leftovers(a, b, most=0)
+        assert sum(x != y for i, j in pairs if i is not None and j is not None for x, y in zip(a[i], b[j])) == brute(a, b)
