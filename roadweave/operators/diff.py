@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from roadweave.runtime import ship
 
-#: Rows a side that are compared pair by pair to see which fields they share; for more, all
-#: sets of fields are tried.  Either way the same pairs are found.
+#: Rows of the smaller side that are compared pair by pair to see which fields they share; for
+#: more, all sets of fields are tried.  Either way the same pairs are found.
 MAX_EXACT = 8_000
 #: Pairs compared in one strip.
 STRIP = 1 << 18
@@ -44,19 +44,20 @@ def _words(codes: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _shared_sets(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> list[tuple[int, ...]]:
-    """Sets of fields, in a fixed order, with all those in which a tight pair (sharing u + v fields) agrees.
+def _shared_sets(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> list[tuple[tuple[int, ...], np.ndarray | slice, np.ndarray | slice]]:
+    """(fields, rows, columns) in a fixed order, with all sets of fields in which tight pairs (sharing u + v fields) agree.
 
-    Sets that no tight pair agrees in may be among them, they find nothing.
+    The rows and columns are those of such pairs or more, and sets that no tight pair agrees
+    in may be among them: what is too much finds nothing.
     """
-    k = a.shape[1]
+    k, whole = a.shape[1], slice(None)
     sizes = sorted({int(x + y) for x in np.unique(u) for y in np.unique(v) if x + y <= k})
     if sizes == [0]:
-        return [()]
+        return [((), whole, whole)]
     number, pairs = sum(comb(k, s) for s in sizes), len(a) * len(b)
-    if pairs > most * most or pairs * k > 100 * number * (1_000 + len(a) + len(b)):
-        return [c for s in sizes for c in combinations(range(k), s)]
-    found: set[tuple[int, ...]] = set()
+    if min(len(a), len(b)) > most or pairs * k > 200 * number * (750 + len(a) + len(b)):
+        return [(c, whole, whole) for s in sizes for c in combinations(range(k), s)]
+    met, kept = [], 0
     step, kind = max(1, STRIP // len(b)), np.int8 if k < 64 else np.int32
     ta, tb, v = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), v.astype(kind)
     for at in range(0, len(a), step):
@@ -65,9 +66,22 @@ def _shared_sets(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, mos
         for f in range(k):
             lack -= (ta[f, part, None] == tb[f]).view(np.int8)
         i, j = np.nonzero(lack == 0)
-        for bits in np.unique(np.packbits(a[part][i] == b[j], axis=1), axis=0):
-            found.add(tuple(int(f) for f in np.flatnonzero(np.unpackbits(bits, count=k))))
-    return sorted(found, key=lambda c: (len(c), c))
+        bits = np.packbits(a[part][i] == b[j], axis=1)
+        kept += len(i)
+        if kept > 16 * STRIP:  # too many to keep: only their sets
+            met = [(np.unique(x, axis=0), None, None) for x, _, _ in [*met, (bits, None, None)]]
+        else:
+            met.append((bits, i + at, j))
+    bits, which = np.unique(np.concatenate([x for x, _, _ in met]), axis=0, return_inverse=True)
+    sets = [tuple(int(f) for f in np.flatnonzero(np.unpackbits(x, count=k))) for x in bits]
+    if kept > 16 * STRIP:
+        of = [(whole, whole)] * len(sets)
+    else:
+        i, j, which = np.concatenate([x for _, x, _ in met]), np.concatenate([x for _, _, x in met]), which.ravel()
+        o = np.argsort(which, kind="stable")
+        ends = np.searchsorted(which[o], np.arange(len(sets) + 1))
+        of = [(np.unique(i[o[x:y]]), np.unique(j[o[x:y]])) for x, y in zip(ends[:-1], ends[1:])]
+    return sorted(((c, r, j) for c, (r, j) in zip(sets, of)), key=lambda x: (len(x[0]), x[0]))
 
 
 def _assign(a: np.ndarray, b: np.ndarray, most: int = MAX_EXACT) -> np.ndarray:
@@ -95,6 +109,7 @@ def _assign(a: np.ndarray, b: np.ndarray, most: int = MAX_EXACT) -> np.ndarray:
         return _words(a, salt[:k]), _words(b, salt[:k]), salt[k:]
 
     wa, wb, level = salted()
+    short, seen = np.uint64(44), np.zeros(1 << 20, dtype=bool)  # the first bits of words, to pass over most others
     while True:
         came, root, fresh = np.full(m, -1), np.full(n, -1), np.ones(m, dtype=bool)
         done, grown, chance = np.zeros(n, dtype=bool), False, False
@@ -108,16 +123,24 @@ def _assign(a: np.ndarray, b: np.ndarray, most: int = MAX_EXACT) -> np.ndarray:
             ha, hb, live, open_ = wa[:, front], wb[:, cols], np.ones(len(front), dtype=bool), np.ones(len(cols), dtype=bool)
             levels, ends, later = (np.unique(uf), np.unique(vf)), [], []
             size = -1
-            for fields in _shared_sets(a[front], b[cols], uf, vf, most):
+            all_rows, all_cols = np.arange(len(front)), np.arange(len(cols))
+            for fields, r, c in _shared_sets(a[front], b[cols], uf, vf, most):
                 if size != len(fields):
                     size = len(fields)
                     row_fits, col_fits = np.isin(size - uf, levels[1]), np.isin(size - vf, levels[0])
-                r, c = np.flatnonzero(live & row_fits), np.flatnonzero(open_ & col_fits)
+                r, c = all_rows[r], all_cols[c]
+                r, c = r[live[r] & row_fits[r]], c[open_[c] & col_fits[c]]
                 if not r.size or not c.size:
                     continue
                 kr, kc = level[size - uf[r]], level[vf[c]]
                 for f in fields:
                     kr, kc = kr + ha[f, r], kc + hb[f, c]
+                seen[kr >> short] = True
+                may = seen[kc >> short]
+                seen[kr >> short] = False
+                c, kc = c[may], kc[may]
+                if not c.size:
+                    continue
                 o = np.argsort(kr, kind="stable")
                 r, kr = r[o], kr[o]
                 first = np.searchsorted(kr, kc)
